@@ -46,6 +46,11 @@ def date_range(
     return f
 
 
+def moment(when: dt.datetime) -> Column:
+    """A timestamp literal read in the session time zone, as the stored ones are."""
+    return F.lit(when.isoformat(sep=" ")).cast("timestamp")
+
+
 def months_before(day: dt.date, months: int) -> dt.date:
     """Same day ``months`` earlier, clamped to the end of a shorter month."""
     year, month = divmod(day.year * 12 + day.month - 1 - months, 12)

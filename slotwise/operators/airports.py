@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
 from slotwise.functions.bands import SLOTS, is_late, time_slot
+from slotwise.functions.columns import arr_delay, dep_delay
 from slotwise.functions.filters import date_range, flown, only
 from slotwise.functions.measures import (
     averaged,
@@ -20,8 +21,6 @@ from slotwise.functions.measures import (
 )
 from slotwise.functions.rates import fixed, mean, pct, ratio
 
-ARR, DEP = F.col("arr_delay_mins"), F.col("dep_delay_mins")
-
 
 def departure_bottlenecks(
     f: DataFrame,
@@ -41,10 +40,10 @@ def departure_bottlenecks(
     """
     measures = [
         rows("total_departures"),
-        *averaged("dep", DEP),
-        rows_where("late_departures", is_late(DEP, limits.delayed_mins)),
-        highest("worst_dep_delay", DEP),
-        rows_where("extreme_delays", is_late(DEP, limits.severe_mins)),
+        *averaged("dep", dep_delay()),
+        rows_where("late_departures", is_late(dep_delay(), limits.delayed_mins)),
+        highest("worst_dep_delay", dep_delay()),
+        rows_where("extreme_delays", is_late(dep_delay(), limits.severe_mins)),
     ]
     per_route = summarise(date_range(flown(f), start, end), ["route_id"], measures)
     per_origin = merge(
@@ -101,7 +100,7 @@ def delay_propagation(
         *averaged("late_aircraft", F.col("late_aircraft_delay")),
         *averaged("carrier", F.col("carrier_delay")),
         *averaged("nas", F.col("nas_delay")),
-        *averaged("arr", ARR),
+        *averaged("arr", arr_delay()),
     ]
     affected = date_range(flown(f), start, end).filter(F.col("late_aircraft_delay") > 0)
     per_route = summarise(affected, ["route_id"], measures)
@@ -141,8 +140,8 @@ def od_matrix(
     """The ``k`` worst origin-destination pairs, with the delay beyond the schedule buffer."""
     measures = [
         rows("flights"),
-        *averaged("arr", ARR),
-        rows_where("delayed", is_late(ARR, limits.delayed_mins)),
+        *averaged("arr", arr_delay()),
+        rows_where("delayed", is_late(arr_delay(), limits.delayed_mins)),
     ]
     weighted = total("scheduled_sum", F.col("flights") * F.col("scheduled_mins"))
     per_route = summarise(date_range(flown(f), start, end), ["route_id"], measures)
@@ -192,8 +191,8 @@ def time_of_day(
     """Departure delay per origin and slot of the day."""
     measures = [
         rows("flights"),
-        *averaged("dep", DEP),
-        rows_where("delayed", is_late(DEP, limits.delayed_mins)),
+        *averaged("dep", dep_delay()),
+        rows_where("delayed", is_late(dep_delay(), limits.delayed_mins)),
     ]
     slot = time_slot(F.col("scheduled_dep")).alias("time_slot")
     per_route = summarise(date_range(flown(f), start, end), ["route_id", slot], measures)

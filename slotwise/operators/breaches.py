@@ -6,13 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.bands import pattern, route_label, severity, sla_status
-from slotwise.functions.filters import date_range, days_before, only
+from slotwise.functions.bands import pattern, severity, sla_status
+from slotwise.functions.columns import route
+from slotwise.functions.filters import date_range, days_before, moment, only
 from slotwise.functions.rates import fixed, mean, pct
 from slotwise.operators.carriers import route_carriers
 
-ROUTE = route_label(F.col("origin"), F.col("destination"))
-
 
 def active_breaches(
     bl: DataFrame,
@@ -43,7 +42,7 @@ def active_breaches(
         .select(
             "breach_id",
             "breach_date",
-            ROUTE.alias("route"),
+            route().alias("route"),
             "carrier_name",
             *codes,
             "total_flights",
@@ -101,7 +100,7 @@ def chronic_offenders(
         repeated.join(route_carriers(r, a, carrier), "route_id")
         .select(
             "breach_count",
-            ROUTE.alias("route"),
+            route().alias("route"),
             "carrier_name",
             "carrier_code",
             mean(F.col("rate_sum"), F.col("breach_count")).alias("avg_delay_rate"),
@@ -167,5 +166,5 @@ def recent_breaches(bl: DataFrame, now: dt.datetime, hours: int = 24) -> DataFra
     """Number of unresolved breaches logged in the last hours."""
     since = now - dt.timedelta(hours=hours)
     return bl.filter(
-        (F.col("resolved") == 0) & (F.col("created_at") >= F.lit(since))
+        (F.col("resolved") == 0) & (F.col("created_at") >= moment(since))
     ).agg(F.count(F.lit(1)).alias("cnt"))

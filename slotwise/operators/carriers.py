@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from slotwise.config import CAUSES, DEFAULT_LIMITS, Limits
 from slotwise.functions.bands import is_late, trend
+from slotwise.functions.columns import arr_delay
 from slotwise.functions.filters import date_range, flown, only
 from slotwise.functions.measures import (
     Measure,
@@ -19,8 +20,6 @@ from slotwise.functions.measures import (
 )
 from slotwise.functions.rates import fixed, mean, pct, ratio
 
-ARR = F.col("arr_delay_mins")
-
 
 def route_carriers(r: DataFrame, a: DataFrame, carrier: str | None = None) -> DataFrame:
     """Routes with their carrier, for one carrier or all."""
@@ -59,14 +58,14 @@ def carrier_ranking(
 
     The ranking windows span all carriers, so they run in one task, over one row each.
     """
-    late = is_late(ARR, limits.delayed_mins)
+    late = is_late(arr_delay(), limits.delayed_mins)
     measures = [
         rows("total_flights"),
         total("cancelled_flights", F.col("cancelled")),
         rows_where("delayed", late),
-        rows_where("severe_delays", is_late(ARR, limits.severe_mins)),
-        *averaged("arr", ARR),
-        total("late_sum", F.when(late, ARR)),
+        rows_where("severe_delays", is_late(arr_delay(), limits.severe_mins)),
+        *averaged("arr", arr_delay()),
+        total("late_sum", F.when(late, arr_delay())),
     ]
     stats = _per_carrier(date_range(flown(f), start, end), r, a, measures, carrier)
     share = fixed(ratio(F.col("delayed"), F.col("total_flights")), 4)
@@ -109,7 +108,7 @@ def monthly_trend(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Delay rate per carrier and month against the carrier's previous month with rows."""
-    measures = [rows("flights"), rows_where("delayed", is_late(ARR, limits.delayed_mins))]
+    measures = [rows("flights"), rows_where("delayed", is_late(arr_delay(), limits.delayed_mins))]
     month = F.date_format("flight_date", "yyyy-MM").alias("month_label")
     monthly = _per_carrier(
         date_range(flown(f), start, end), r, a, measures, carrier, (month,), ("month_label",)

@@ -5,20 +5,19 @@ from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
 from slotwise.functions.bands import delay_band, is_late
+from slotwise.functions.columns import arr_delay, dep_delay
 from slotwise.functions.filters import flown
 from slotwise.functions.rates import fixed, mean, pct, ratio
 from slotwise.operators.quality import cause_total
 
-ARR, DEP = F.col("arr_delay_mins"), F.col("dep_delay_mins")
-
 
 def delay_bands(f: DataFrame) -> DataFrame:
     """Share of each delay band per calendar month, over flown rows with a delay."""
     counted = (
         flown(f)
-        .filter(ARR.isNotNull())
+        .filter(arr_delay().isNotNull())
         .groupBy(F.date_format("flight_date", "yyyy-MM").alias("month_label"),
-                 delay_band(ARR).alias("delay_band"))
+                 delay_band(arr_delay()).alias("delay_band"))
         .agg(F.count(F.lit(1)).alias("flights"))
     )
     in_month = F.sum("flights").over(Window.partitionBy("month_label"))
@@ -35,7 +34,7 @@ def seasonality_index(f: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
         .groupBy(F.month("flight_date").alias("mo"))
         .agg(
             F.count(F.lit(1)).alias("flights"),
-            F.count_if(is_late(ARR, limits.delayed_mins)).alias("delayed"),
+            F.count_if(is_late(arr_delay(), limits.delayed_mins)).alias("delayed"),
         )
     )
     year = Window.partitionBy()
@@ -51,17 +50,17 @@ def seasonality_index(f: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFram
 
 def cause_reconciliation(f: DataFrame) -> DataFrame:
     """How many late rows have causes that do not add up to the delay."""
-    late = ARR > 0
+    late = arr_delay() > 0
     return f.agg(
         F.count_if(late).alias("late_flights"),
-        F.count_if(late & (cause_total() != ARR)).alias("mismatches"),
-        F.sum(F.when(late, cause_total() - ARR)).alias("net_difference_mins"),
+        F.count_if(late & (cause_total() != arr_delay())).alias("mismatches"),
+        F.sum(F.when(late, cause_total() - arr_delay())).alias("net_difference_mins"),
     )
 
 
 def dep_arr_drift(f: DataFrame) -> DataFrame:
     """Range and mean of departure minus arrival delay over flown rows."""
-    drift = DEP - ARR
+    drift = dep_delay() - arr_delay()
     return flown(f).agg(
         F.min(drift).alias("min_drift_mins"),
         F.max(drift).alias("max_drift_mins"),

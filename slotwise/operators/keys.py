@@ -5,6 +5,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.sources.scratch import settle
+
 
 def number_rows(
     df: DataFrame, lead: Sequence[str], order: Sequence[str], name: str, kind: str = "int"
@@ -12,8 +14,10 @@ def number_rows(
     """Dense numbers 1..n in the order of ``lead`` then ``order``.
 
     Rows are numbered inside each ``lead`` group, and the groups before it are added as an
-    offset. Only one row per group reaches the single task that sums the offsets.
+    offset. Only one row per group reaches the single task that sums the offsets. The input is
+    read twice, so it is written out first and not derived twice.
     """
+    df = settle(df, f"{name}-input")
     sizes = df.groupBy(*lead).agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy(*lead).rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(

@@ -7,13 +7,12 @@ from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
 from slotwise.functions.bands import is_late
+from slotwise.functions.columns import arr_delay
 from slotwise.functions.filters import date_range
 from slotwise.functions.rates import mean
 from slotwise.sources.scratch import settle
 from slotwise.sources.tables import run_sql
 
-ARR = F.col("arr_delay_mins")
-
 
 def date_range_summary(
     f: DataFrame, start: dt.date | None = None, end: dt.date | None = None
@@ -21,7 +20,7 @@ def date_range_summary(
     """Row count and mean arrival delay of a closed date range."""
     return date_range(f, start, end).agg(
         F.count(F.lit(1)).alias("total_flights"),
-        mean(F.sum(ARR), F.count(ARR)).alias("avg_arr_delay"),
+        mean(F.sum(arr_delay()), F.count(arr_delay())).alias("avg_arr_delay"),
     )
 
 
@@ -80,12 +79,12 @@ def carriers_with_severe_exists(
 
 
 def _severe_routes(f: DataFrame, limits: Limits) -> DataFrame:
-    return f.filter(is_late(ARR, limits.severe_mins)).select("route_id").distinct()
+    return f.filter(is_late(arr_delay(), limits.severe_mins)).select("route_id").distinct()
 
 
 def route_means(f: DataFrame) -> DataFrame:
     """Mean arrival delay per route over all dates, written out so that its size is known."""
-    return settle(f.groupBy("route_id").agg(F.avg(ARR).alias("avg_delay")), "route-means")
+    return settle(f.groupBy("route_id").agg(F.avg(arr_delay()).alias("avg_delay")), "route-means")
 
 
 def above_route_avg_join(f: DataFrame, since: dt.date) -> DataFrame:
@@ -93,7 +92,7 @@ def above_route_avg_join(f: DataFrame, since: dt.date) -> DataFrame:
     return (
         date_range(f, since)
         .join(route_means(f), "route_id")
-        .filter(ARR > F.col("avg_delay"))
+        .filter(arr_delay() > F.col("avg_delay"))
         .select("flight_id", "arr_delay_mins")
     )
 

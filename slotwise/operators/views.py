@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from slotwise.config import CAUSES, DEFAULT_LIMITS, Limits
-from slotwise.functions.bands import flag, is_late, route_label
+from slotwise.functions.bands import flag, is_late
+from slotwise.functions.columns import arr_delay, route
 from slotwise.functions.filters import date_range
 from slotwise.functions.measures import (
     averaged,
@@ -20,8 +21,6 @@ from slotwise.functions.measures import (
 )
 from slotwise.functions.rates import mean, pct
 
-ARR = F.col("arr_delay_mins")
-
 
 def flight_details(
     f: DataFrame, r: DataFrame, a: DataFrame, ap: DataFrame, limits: Limits = DEFAULT_LIMITS
@@ -55,9 +54,9 @@ def flight_details(
             "diverted",
             *[f"{c}_delay" for c in CAUSES],
             "distance_miles",
-            flag(is_late(ARR, limits.delayed_mins)).alias("is_delayed"),
-            flag(is_late(ARR, limits.severe_mins)).alias("is_severely_delayed"),
-            flag(ARR < 0).alias("is_early"),
+            flag(is_late(arr_delay(), limits.delayed_mins)).alias("is_delayed"),
+            flag(is_late(arr_delay(), limits.severe_mins)).alias("is_severely_delayed"),
+            flag(arr_delay() < 0).alias("is_early"),
         )
     )
 
@@ -72,15 +71,15 @@ def carrier_monthly_scorecard(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """On-time figures per carrier and calendar month."""
-    late = is_late(ARR, limits.delayed_mins)
+    late = is_late(arr_delay(), limits.delayed_mins)
     measures = [
         rows("total_flights"),
         total("cancelled_flights", F.col("cancelled")),
         rows_where("delayed_flights", late),
-        rows_where("severe_delays", is_late(ARR, limits.severe_mins)),
-        rows_where("early_flights", ARR < 0),
-        *averaged("arr", ARR),
-        total("late_sum", F.when(late, ARR)),
+        rows_where("severe_delays", is_late(arr_delay(), limits.severe_mins)),
+        rows_where("early_flights", arr_delay() < 0),
+        *averaged("arr", arr_delay()),
+        total("late_sum", F.when(late, arr_delay())),
     ]
     month = [F.year("flight_date").alias("yr"), F.month("flight_date").alias("mo")]
     per_route = summarise(date_range(f, start, end), ["route_id", *month], measures)
@@ -114,11 +113,11 @@ def route_performance(f: DataFrame, r: DataFrame, limits: Limits = DEFAULT_LIMIT
     """All-time figures per route; one aggregation, then the dimension."""
     measures = [
         rows("total_flights"),
-        *averaged("arr", ARR),
-        rows_where("delayed", is_late(ARR, limits.delayed_mins)),
+        *averaged("arr", arr_delay()),
+        rows_where("delayed", is_late(arr_delay(), limits.delayed_mins)),
         total("cancelled_flights", F.col("cancelled")),
-        highest("worst_delay", ARR),
-        lowest("best_time", ARR),
+        highest("worst_delay", arr_delay()),
+        lowest("best_time", arr_delay()),
     ]
     return (
         summarise(f, ["route_id"], measures)
@@ -128,7 +127,7 @@ def route_performance(f: DataFrame, r: DataFrame, limits: Limits = DEFAULT_LIMIT
             "carrier_code",
             "origin",
             "destination",
-            route_label(F.col("origin"), F.col("destination")).alias("route_label"),
+            route().alias("route_label"),
             "total_flights",
             mean(F.col("arr_sum"), F.col("arr_n")).alias("avg_arr_delay"),
             pct(F.col("delayed"), F.col("total_flights")).alias("delay_rate_pct"),

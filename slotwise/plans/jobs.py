@@ -11,16 +11,19 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from slotwise.config import DEFAULT_LIMITS, Limits
+from slotwise.functions.filters import moment
 from slotwise.operators.audit import audit_new, missing_alerts, with_audit_ids
 from slotwise.operators.flagging import flag_breaches, number_breaches
 from slotwise.operators.quality import accepted, rejected, validate
 from slotwise.sources.layout import write_flights
-from slotwise.sources.schemas import AUDIT_LOG, FLIGHTS_STORED, SLA_BREACH_LOG
+from slotwise.sources.schemas import AUDIT_LOG, FLIGHTS, FLIGHTS_STORED, SLA_BREACH_LOG
 from slotwise.sources.scratch import settle
 
+QUARANTINE = StructType([*FLIGHTS.fields, StructField("reject_reason", StringType())])
+
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stored table, or no rows while nothing has been written there."""
@@ -48,7 +51,10 @@ def ingest_flights(
     good = accepted(checked)
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED).select("flight_id")
     write_flights(good.join(stored, "flight_id", "left_anti"), flights_path)
-    rejected(checked).write.mode("append").parquet(quarantine_path)
+    aside = read_or_empty(spark, quarantine_path, QUARANTINE).select("flight_id")
+    rejected(checked).join(aside, "flight_id", "left_anti").select(*QUARANTINE.names).write.mode(
+        "append"
+    ).parquet(quarantine_path)
     audited = read_or_empty(spark, audit_path, AUDIT_LOG).filter(
         (F.col("table_name") == "flights") & (F.col("operation") == "INSERT")
     )
@@ -91,7 +97,7 @@ def append_breaches(
     """Appends what ``find`` returns for the current log, then the alerts the day still lacks."""
     log = read_or_empty(spark, log_path, SLA_BREACH_LOG)
     last = log.agg(F.coalesce(F.max("breach_id"), F.lit(0))).head()[0]
-    stamp = F.current_timestamp() if now is None else F.lit(now)
+    stamp = F.current_timestamp() if now is None else moment(now)
     fresh = settle(number_breaches(find(log), stamp, last), "new-breaches")
     fresh.write.mode("append").parquet(log_path)
     of_day = spark.read.schema(SLA_BREACH_LOG).parquet(log_path).filter(

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
+from slotwise.functions.filters import moment
 from slotwise.sources.schemas import CODES, DEFAULTS, TABLES
 
 
@@ -55,7 +56,7 @@ def upsert_rules(
     """Rules with changes applied by ``rule_id``; changed rows carry the change stamp."""
     stamped = changes.withColumns(
         {
-            "updated_at": F.lit(changed_at).cast("timestamp"),
+            "updated_at": moment(changed_at),
             "updated_by": F.lit(changed_by),
         }
     ).select(*TABLES["sla_rules"].names)
