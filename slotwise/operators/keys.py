@@ -5,6 +5,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slotwise.sources.schemas import ROUTES
 from slotwise.sources.scratch import settle
 
 
@@ -37,13 +38,14 @@ def route_dimension(
 ) -> DataFrame:
     """One row per (carrier, origin, destination) seen in the facts, numbered in key order.
 
-    ``sort_code`` says how airport codes order, for codes that are not plain text.
+    ``scheduled_mins`` aggregates the rows of a route. ``sort_code`` says how airport codes
+    order, for codes that are not plain text.
     """
-    seen = keyed.select("carrier_code", "origin", "destination").distinct()
+    seen = keyed.groupBy("carrier_code", "origin", "destination").agg(
+        scheduled_mins.cast("int").alias("scheduled_mins")
+    )
     ordered = seen.withColumns(
         {"_from": sort_code(F.col("origin")), "_to": sort_code(F.col("destination"))}
     )
     numbered = number_rows(ordered, ["carrier_code", "_from"], ["_to"], "route_id")
-    return numbered.select(
-        "route_id", "carrier_code", "origin", "destination", scheduled_mins.alias("scheduled_mins")
-    )
+    return numbered.select(*ROUTES.names)

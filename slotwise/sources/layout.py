@@ -16,7 +16,8 @@ def write_flights(f: DataFrame, path: str, mode: str = "append") -> None:
 
     The rebalance hint shuffles rows by month and lets adaptive execution cut a large month
     into many even tasks and merge small ones, so file sizes do not depend on how the months
-    are filled. The sort narrows the min/max statistics of each row group to a few routes.
+    are filled. The sort narrows the page statistics inside each file, so reading one route skips
+    most pages.
     """
     (
         with_month(f)

@@ -7,6 +7,7 @@ report layout, and every query scans only the months and columns it needs.
 
 import datetime as dt
 import os
+import threading
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -16,9 +17,8 @@ from pyspark.sql import functions as F
 from slotwise.operators.flagging import backfill_breaches, number_breaches
 from slotwise.sources import retail
 from slotwise.sources.layout import read_flights, write_flights
-from slotwise.sources.schemas import SLA_BREACH_LOG, SLA_RULES
+from slotwise.sources.schemas import SLA_BREACH_LOG, SLA_RULES, TABLES
 from slotwise.sources.scratch import scratch_path
-from slotwise.sources.tables import load
 
 AS_OF = dt.date(2023, 12, 31)
 WEEKLY = [dt.date(2023, 7, 2) + dt.timedelta(weeks=week) for week in range(27)]
@@ -48,19 +48,19 @@ class Star:
 
     @cached_property
     def routes(self) -> DataFrame:
-        return load(self.spark, "routes", f"{self.root}/routes")
+        return self._stored("routes")
 
     @cached_property
     def airlines(self) -> DataFrame:
-        return load(self.spark, "airlines", f"{self.root}/airlines")
+        return self._stored("airlines")
 
     @cached_property
     def airports(self) -> DataFrame:
-        return load(self.spark, "airports", f"{self.root}/airports")
+        return self._stored("airports")
 
     @cached_property
     def rules(self) -> DataFrame:
-        return load(self.spark, "sla_rules", f"{self.root}/sla_rules")
+        return self._stored("sla_rules")
 
     @cached_property
     def breach_log(self) -> DataFrame:
@@ -74,11 +74,15 @@ class Star:
         ).write.parquet(path)
         return self.spark.read.schema(SLA_BREACH_LOG).parquet(path)
 
+    def _stored(self, table: str) -> DataFrame:
+        return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}")
+
     def raw(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
 
 
 _LOADED: dict[tuple, Star] = {}
+_LOADING = threading.Lock()
 
 
 def open_star(spark: SparkSession, sf_dir: str) -> Star:
@@ -89,8 +93,9 @@ def open_star(spark: SparkSession, sf_dir: str) -> Star:
     """
     sf_dir = sf_dir.rstrip("/")
     key = (spark.conf.get("spark.app.id"), sf_dir, _local_versions(sf_dir))
-    if key not in _LOADED:
-        _LOADED[key] = _build(spark, sf_dir)
+    with _LOADING:
+        if key not in _LOADED:
+            _LOADED[key] = _build(spark, sf_dir)
     return _LOADED[key]
 
 
@@ -114,10 +119,9 @@ def _build(spark: SparkSession, sf_dir: str) -> Star:
 
 
 def rules_frame(spark: SparkSession, rules: list[dict] = RULES) -> DataFrame:
-    kinds = {field.name: field.dataType for field in SLA_RULES}
-    given = "rule_id int, carrier_code string, max_delay_rate_pct string, min_flights_window int, window_days int"
-    frame = spark.createDataFrame(rules, given)
-    missing = [name for name in SLA_RULES.names if name not in frame.columns]
-    return frame.withColumns({name: F.lit(None) for name in missing}).select(
-        *[F.col(name).cast(kinds[name]).alias(name) for name in SLA_RULES.names]
-    )
+    """A handful of settings as a frame of literals."""
+    rows = [
+        F.struct(*[F.lit(rule.get(f.name)).cast(f.dataType).alias(f.name) for f in SLA_RULES])
+        for rule in rules
+    ]
+    return spark.range(1).select(F.inline(F.array(*rows)))

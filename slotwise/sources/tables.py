@@ -46,7 +46,7 @@ def insert_if_absent(
     first = incoming.groupBy(*key).agg(
         F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first")
     )
-    absent = first.join(target.select(*key), list(key), "left_anti")
+    absent = first.join(target.select(*key).distinct(), list(key), "left_anti")
     return absent.select(*key, "_first.*").select(*incoming.columns)
 
 
