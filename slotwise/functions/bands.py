@@ -9,6 +9,13 @@ from slotwise.config import DEFAULT_LIMITS, Limits
 
 # Departure slots in day order.
 SLOTS = ("12AM-6AM", "6AM-10AM", "10AM-2PM", "2PM-6PM", "6PM-12AM")
+LONG_SLOTS = (
+    "12AM-6AM (Red-eye)",
+    "6AM-10AM (Morning)",
+    "10AM-2PM (Midday)",
+    "2PM-6PM (Afternoon)",
+    "6PM-12AM (Evening)",
+)
 SLOT_RANGES = ((0, 559), (600, 959), (1000, 1359), (1400, 1759))
 
 # Delay bands and the highest delay in each.
@@ -25,10 +32,10 @@ def is_late(delay: Column, minutes: int) -> Column:
     return delay >= minutes
 
 
-def time_slot(hhmm: Column) -> Column:
+def time_slot(hhmm: Column, slots: tuple = SLOTS) -> Column:
     """Slot of an HHMM integer; minutes 60-99 and NULL fall into the last slot."""
-    picked = F.lit(SLOTS[-1])
-    for label, (low, high) in zip(SLOTS, SLOT_RANGES):
+    picked = F.lit(slots[-1])
+    for label, (low, high) in zip(slots, SLOT_RANGES):
         picked = F.when(hhmm.between(low, high), label).otherwise(picked)
     return picked
 

@@ -186,15 +186,16 @@ def time_of_day(
     start: dt.date | None = None,
     end: dt.date | None = None,
     carrier: str | None = None,
+    slots: tuple = SLOTS,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
-    """Departure delay per origin and slot of the day."""
+    """Departure delay per origin and slot of the day, under short or long slot names."""
     measures = [
         rows("flights"),
         *averaged("dep", dep_delay()),
         rows_where("delayed", is_late(dep_delay(), limits.delayed_mins)),
     ]
-    slot = time_slot(F.col("scheduled_dep")).alias("time_slot")
+    slot = time_slot(F.col("scheduled_dep"), slots).alias("time_slot")
     per_route = summarise(date_range(flown(f), start, end), ["route_id", slot], measures)
     return (
         merge(

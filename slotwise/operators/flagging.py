@@ -4,7 +4,7 @@ import datetime as dt
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
@@ -14,6 +14,7 @@ from slotwise.functions.measures import merge, rows, rows_where, summarise
 from slotwise.functions.rates import pct
 from slotwise.operators.keys import number_rows
 from slotwise.sources.schemas import SLA_BREACH_LOG
+from slotwise.sources.scratch import settle
 
 
 class Rule(NamedTuple):
@@ -25,6 +26,10 @@ class Rule(NamedTuple):
 
 NO_RULE = Rule(None, None, None, None)
 
+# What callers are told.
+UNKNOWN_ID = "Breach ID not found"
+RESOLVED = ("Breach #", " marked as resolved.")
+
 
 def _measures(limits: Limits) -> list:
     return [
@@ -47,8 +52,8 @@ def global_rule(rules: DataFrame) -> Rule:
 
 def ruled_routes(
     r: DataFrame, rules: DataFrame, per_carrier_rules: bool = False
-) -> tuple[DataFrame, int | None]:
-    """Routes with the rule that applies to them, and the widest window among the rules.
+) -> tuple[DataFrame, list[int]]:
+    """Routes with the rule that applies to them, and the window lengths in use.
 
     Only the global rule counts unless ``per_carrier_rules`` lets a carrier's own first rule
     go before it.
@@ -58,20 +63,21 @@ def ruled_routes(
     fallback = {
         name: F.lit(value).cast(kinds[name]) for name, value in zip(Rule._fields, shared)
     }
+    windows = {shared.window_days}
     if not per_carrier_rules:
-        return r.select("route_id", *[v.alias(n) for n, v in fallback.items()]), shared.window_days
-    own = (
-        rules.filter(F.col("carrier_code").isNotNull())
-        .groupBy("carrier_code")
-        .agg(F.min_by(F.struct(*Rule._fields), "rule_id").alias("own"))
-    )
-    widest = own.agg(F.max("own.window_days")).head()[0]
-    windows = [w for w in (shared.window_days, widest) if w is not None]
-    ruled = r.join(own, "carrier_code", "left").select(
-        "route_id",
-        *[F.coalesce(F.col(f"own.{n}"), v).alias(n) for n, v in fallback.items()],
-    )
-    return ruled, max(windows, default=None)
+        ruled = r.select("route_id", *[v.alias(n) for n, v in fallback.items()])
+    else:
+        own = (
+            rules.filter(F.col("carrier_code").isNotNull())
+            .groupBy("carrier_code")
+            .agg(F.min_by(F.struct(*Rule._fields), "rule_id").alias("own"))
+        )
+        windows |= set(own.agg(F.collect_set("own.window_days")).head()[0])
+        ruled = r.join(own, "carrier_code", "left").select(
+            "route_id",
+            *[F.coalesce(F.col(f"own.{n}"), v).alias(n) for n, v in fallback.items()],
+        )
+    return ruled, sorted(windows - {None})
 
 
 def daily_counters(f: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
@@ -79,26 +85,53 @@ def daily_counters(f: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     return summarise(flown(f), ["route_id", "flight_date"], _measures(limits))
 
 
+def window_days(
+    spark: SparkSession, windows: Sequence[int], eval_dates: Sequence[dt.date]
+) -> DataFrame:
+    """The days of every window that ends on an evaluation date.
+
+    Its size depends on dates and rules only. It is written out so that the planner knows it.
+    """
+    ends = F.array(*[F.lit(d) for d in sorted(set(eval_dates))])
+    lengths = F.array(*[F.lit(w) for w in windows]).cast("array<int>")
+    return settle(
+        spark.range(1)
+        .select(F.explode(ends).alias("breach_date"))
+        .select("breach_date", F.explode(lengths).alias("window_days"))
+        .select(
+            "breach_date",
+            "window_days",
+            F.explode(
+                F.sequence(F.date_sub("breach_date", F.col("window_days")), F.col("breach_date"))
+            ).alias("flight_date"),
+        ),
+        "window-days",
+    )
+
+
 def trailing_breaches(
     counters: DataFrame,
     ruled: DataFrame,
+    windows: Sequence[int],
     eval_dates: Sequence[dt.date],
     log: DataFrame | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Breaches on each evaluation date from daily counters.
 
-    Every counter is repeated for the evaluation dates whose window covers its day. That
-    replaces a range join, and touches one small row per route and day instead of facts.
+    For several dates the windows are spelled out day by day, which turns the range condition
+    into an equality, on one small row per route and day instead of the facts.
     """
-    calendar = F.array(*[F.lit(d) for d in sorted(set(eval_dates))])
-    covering = F.filter(
-        calendar,
-        lambda d: (d >= F.col("flight_date"))
-        & (d <= F.date_add(F.col("flight_date"), F.col("window_days"))),
-    )
-    exploded = counters.join(ruled, "route_id").withColumn("breach_date", F.explode(covering))
-    totals = merge(exploded, ["route_id", "breach_date", *_RULE_KEYS], _measures(limits))
+    ruled_counters = counters.join(ruled, "route_id")
+    if len(set(eval_dates)) == 1:
+        end = F.lit(eval_dates[0])
+        covered = ruled_counters.filter(
+            F.col("flight_date").between(F.date_sub(end, F.col("window_days")), end)
+        ).withColumn("breach_date", end)
+    else:
+        days = window_days(counters.sparkSession, windows, eval_dates)
+        covered = ruled_counters.join(days, ["flight_date", "window_days"])
+    totals = merge(covered, ["route_id", "breach_date", *_RULE_KEYS], _measures(limits))
     return _over_threshold(totals, log, eval_dates)
 
 
@@ -145,8 +178,8 @@ def flag_breaches(
     as_of = as_of or dt.date.today()
     if per_carrier_rules:
         return backfill_breaches(f, r, rules, [as_of], log, True, limits)
-    ruled, window = ruled_routes(r, rules)
-    recent = date_range(flown(f), days_before(as_of, window or 0), as_of)
+    ruled, windows = ruled_routes(r, rules)
+    recent = date_range(flown(f), days_before(as_of, max(windows, default=0)), as_of)
     totals = (
         summarise(recent, ["route_id"], _measures(limits))
         .withColumn("breach_date", F.lit(as_of))
@@ -167,9 +200,10 @@ def backfill_breaches(
     """:func:`flag_breaches` for many dates in one pass over the facts."""
     if not eval_dates:
         raise ValueError("eval_dates is empty")
-    ruled, widest = ruled_routes(r, rules, per_carrier_rules)
-    span = date_range(f, days_before(min(eval_dates), widest or 0), max(eval_dates))
-    return trailing_breaches(daily_counters(span, limits), ruled, eval_dates, log, limits)
+    ruled, windows = ruled_routes(r, rules, per_carrier_rules)
+    earliest = days_before(min(eval_dates), max(windows, default=0))
+    counters = daily_counters(date_range(f, earliest, max(eval_dates)), limits)
+    return trailing_breaches(counters, ruled, windows, eval_dates, log, limits)
 
 
 def number_breaches(
@@ -193,12 +227,10 @@ def resolve_breaches(log: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFra
     wanted = ids.select("breach_id").distinct()
     unknown = wanted.join(log, "breach_id", "left_anti").orderBy("breach_id").head(5)
     if unknown:
-        raise LookupError(f"Breach ID not found: {[row.breach_id for row in unknown]}")
+        raise LookupError(f"{UNKNOWN_ID}: {[row.breach_id for row in unknown]}")
     status = wanted.select(
         "breach_id",
-        F.concat(F.lit("Breach #"), F.col("breach_id"), F.lit(" marked as resolved.")).alias(
-            "status"
-        ),
+        F.concat(F.lit(RESOLVED[0]), F.col("breach_id"), F.lit(RESOLVED[1])).alias("status"),
     )
     return current_log(log, wanted), status
 

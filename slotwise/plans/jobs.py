@@ -11,20 +11,23 @@ from collections.abc import Callable
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.filters import moment
+from slotwise.functions.filters import date_range, moment
 from slotwise.operators.audit import audit_new, missing_alerts, with_audit_ids
 from slotwise.operators.flagging import flag_breaches, number_breaches
 from slotwise.operators.quality import accepted, rejected, validate
-from slotwise.sources.layout import write_flights
-from slotwise.sources.schemas import AUDIT_LOG, FLIGHTS, FLIGHTS_STORED, SLA_BREACH_LOG
+from slotwise.sources.layout import write_audit, write_flights, write_quarantine
+from slotwise.sources.schemas import (
+    AUDIT_STORED,
+    FLIGHTS_STORED,
+    PERIOD_COLUMN,
+    QUARANTINE_STORED,
+    SLA_BREACH_LOG,
+)
 from slotwise.sources.scratch import settle
 
-QUARANTINE = StructType([*FLIGHTS.fields, StructField("reject_reason", StringType())])
-
-
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stored table, or no rows while nothing has been written there."""
     try:
@@ -45,24 +48,40 @@ def ingest_flights(
     limits: Limits = DEFAULT_LIMITS,
     clamp_early: bool = False,
 ) -> None:
-    """Validates arriving facts, stores the good ones, keeps the others aside, audits."""
+    """Validates arriving facts, stores the good ones, keeps the others aside, audits.
+
+    What is there already is looked up in the months of the batch only.
+    """
     spark = incoming.sparkSession
     checked = settle(validate(incoming, limits, clamp_early), "checked")
+    first, last = checked.agg(F.min("flight_date"), F.max("flight_date")).head()
+    if first is None:
+        return
     good = accepted(checked)
-    stored = read_or_empty(spark, flights_path, FLIGHTS_STORED).select("flight_id")
-    write_flights(good.join(stored, "flight_id", "left_anti"), flights_path)
-    aside = read_or_empty(spark, quarantine_path, QUARANTINE).select("flight_id")
-    rejected(checked).join(aside, "flight_id", "left_anti").select(*QUARANTINE.names).write.mode(
-        "append"
-    ).parquet(quarantine_path)
-    audited = read_or_empty(spark, audit_path, AUDIT_LOG).filter(
-        (F.col("table_name") == "flights") & (F.col("operation") == "INSERT")
-    )
-    unaudited = good.join(
-        audited.select(F.col("record_id").alias("flight_id")), "flight_id", "left_anti"
-    )
-    with_audit_ids(audit_new(unaudited, changed_by, changed_at)).write.mode("append").parquet(
-        audit_path
+    stored = date_range(read_or_empty(spark, flights_path, FLIGHTS_STORED), first, last)
+    write_flights(_unless_in(good, stored.select("flight_id")), flights_path)
+    aside = date_range(read_or_empty(spark, quarantine_path, QUARANTINE_STORED), first, last)
+    bad = _unless_in(rejected(checked), aside.select("flight_id"))
+    write_quarantine(bad, quarantine_path)
+    audited = audited_records(spark, audit_path, "flights", first, last)
+    unaudited = _unless_in(good, audited.select(F.col("record_id").alias("flight_id")))
+    write_audit(with_audit_ids(audit_new(unaudited, changed_by, changed_at)), audit_path)
+
+
+def _unless_in(rows: DataFrame, known: DataFrame) -> DataFrame:
+    return rows.join(known, "flight_id", "left_anti")
+
+
+def audited_records(
+    spark: SparkSession, path: str, table: str, first: dt.date, last: dt.date
+) -> DataFrame:
+    """Insert events of a table for records dated in the months of the range."""
+    return read_or_empty(spark, path, AUDIT_STORED).filter(
+        (F.col("table_name") == table)
+        & F.col(PERIOD_COLUMN).between(
+            first.year * 100 + first.month, last.year * 100 + last.month
+        )
+        & (F.col("operation") == "INSERT")
     )
 
 
@@ -103,7 +122,6 @@ def append_breaches(
     of_day = spark.read.schema(SLA_BREACH_LOG).parquet(log_path).filter(
         F.col("breach_date") == F.lit(day)
     )
-    audit = read_or_empty(spark, audit_path, AUDIT_LOG)
-    alerts = missing_alerts(of_day, audit, changed_at=now)
-    with_audit_ids(alerts).write.mode("append").parquet(audit_path)
+    sent = audited_records(spark, audit_path, "sla_breach_log", day, day)
+    write_audit(with_audit_ids(missing_alerts(of_day, sent, changed_at=now)), audit_path)
     return fresh.count()

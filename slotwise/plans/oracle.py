@@ -6,6 +6,7 @@ once, and finds breaches with a range join over the facts.
 
 from slotwise.config import CAUSES
 from slotwise.plans import registry as q
+from slotwise.sources.exports import DISPLAY
 from slotwise.sources.star import AS_OF, RULES, WEEKLY
 
 
@@ -672,7 +673,7 @@ def all_sql() -> dict[str, str]:
                    AND u.flight_number = x.flight_number AND u.flight_date < DATE '2023-07-01')
                ORDER BY route_id, flight_number, flight_date, flight_id"""
         ),
-        "export_roundtrip": sql(f"SELECT {', '.join(q.DISPLAY)} FROM ranking", _ALL_YEAR),
+        "export_roundtrip": sql(f"SELECT {', '.join(DISPLAY['carrier_rankings'])} FROM ranking", _ALL_YEAR),
         "stream_validate": sql(
             f"""SELECT CASE WHEN {_REJECT} THEN 'rejected' ELSE 'accepted' END AS outcome,
                        CASE WHEN {_REJECT} THEN 'cause minutes exceed arrival delay' END

@@ -23,6 +23,7 @@ from slotwise.operators import (
 )
 from slotwise.sources import retail
 from slotwise.sources import tables as stored
+from slotwise.sources.exports import displayed, export_reports
 from slotwise.sources.layout import read_flights, write_flights
 from slotwise.sources.schemas import FLIGHTS, SLA_BREACH_LOG
 from slotwise.sources.scratch import scratch_path
@@ -35,16 +36,6 @@ ROUTE_ID = 42
 SINCE = dt.date(2023, 6, 1)
 QUARTER = (dt.date(2023, 1, 1), dt.date(2023, 3, 31))
 NOW = dt.datetime(2023, 12, 31, 18)
-DISPLAY = [
-    "on_time_rank",
-    "carrier_name",
-    "total_flights",
-    "delay_rate_pct",
-    "avg_arr_delay_mins",
-    "avg_delay_when_late",
-    "severe_delays",
-    "cancel_rate_pct",
-]
 
 _QUERIES: dict[str, Callable[[Star], DataFrame]] = {}
 
@@ -459,9 +450,9 @@ def insert_if_absent(s: Star) -> DataFrame:
 def export_roundtrip(s: Star) -> DataFrame:
     ranking = carrier_ranking(s)
     path = scratch_path(s.spark, "ranking-csv")
-    stored.export_csv(ranking, path, DISPLAY, one_file=True)
-    schema = ranking.select(*DISPLAY).schema
-    return s.spark.read.schema(schema).option("header", True).csv(path)
+    export_reports({"carrier_rankings": ranking}, path)
+    schema = displayed("carrier_rankings", ranking).schema
+    return s.spark.read.schema(schema).option("header", True).csv(f"{path}/carrier_rankings")
 
 
 # Streams

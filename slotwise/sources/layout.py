@@ -4,7 +4,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from slotwise.functions.filters import MONTH_COLUMN, month_number
-from slotwise.sources.schemas import FLIGHTS, FLIGHTS_STORED
+from slotwise.sources.schemas import (
+    AUDIT_LOG,
+    AUDIT_STORED,
+    FLIGHTS,
+    FLIGHTS_STORED,
+    PERIOD_COLUMN,
+)
+
+# The members of an audit image that date its record.
+AUDIT_DATES = ("flight_date", "breach_date")
 
 
 def with_month(f: DataFrame) -> DataFrame:
@@ -29,5 +38,39 @@ def write_flights(f: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def write_quarantine(rejected: DataFrame, path: str) -> None:
+    """Refused facts with their reason, by month like the accepted ones."""
+    (
+        rejected.select(
+            *FLIGHTS.names, "reject_reason", month_number(F.col("flight_date")).alias(MONTH_COLUMN)
+        )
+        .hint("rebalance", F.col(MONTH_COLUMN))
+        .write.mode("append")
+        .partitionBy(MONTH_COLUMN)
+        .parquet(path)
+    )
+
+
 def read_flights(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FLIGHTS_STORED).parquet(path)
+
+
+def write_audit(rows: DataFrame, path: str) -> None:
+    """Partition by table and by the month of the audited record, 0 where its image has none.
+
+    The change log grows with the facts; this lets a job look up the events of its own
+    records without reading the rest.
+    """
+    dated = F.coalesce(*[F.get_json_object("new_values", f"$.{name}") for name in AUDIT_DATES])
+    period = F.coalesce(month_number(dated.cast("date")), F.lit(0))
+    (
+        rows.select(*AUDIT_LOG.names, period.alias(PERIOD_COLUMN))
+        .hint("rebalance", F.col("table_name"), F.col(PERIOD_COLUMN))
+        .write.mode("append")
+        .partitionBy("table_name", PERIOD_COLUMN)
+        .parquet(path)
+    )
+
+
+def read_audit(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(AUDIT_STORED).parquet(path)

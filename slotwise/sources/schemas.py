@@ -121,8 +121,14 @@ TABLES = {
     "audit_log": AUDIT_LOG,
 }
 
-# The stored fact table: the schema above plus its partition column.
+# Stored tables: the schemas above plus their partition columns.
+PERIOD_COLUMN = "period"
 FLIGHTS_STORED = StructType(FLIGHTS.fields + [StructField(MONTH_COLUMN, IntegerType(), False)])
+QUARANTINE_STORED = StructType(
+    FLIGHTS.fields
+    + [StructField("reject_reason", StringType()), StructField(MONTH_COLUMN, IntegerType())]
+)
+AUDIT_STORED = StructType(AUDIT_LOG.fields + [StructField(PERIOD_COLUMN, IntegerType(), False)])
 
 # Unique keys, foreign keys, defaults and closed value lists per table.
 KEYS = {

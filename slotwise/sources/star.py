@@ -52,15 +52,15 @@ class Star:
 
     @cached_property
     def airlines(self) -> DataFrame:
-        return self._stored("airlines")
+        return self._once("airlines", retail.airlines)
 
     @cached_property
     def airports(self) -> DataFrame:
-        return self._stored("airports")
+        return self._once("airports", retail.airports)
 
     @cached_property
     def rules(self) -> DataFrame:
-        return self._stored("sla_rules")
+        return rules_frame(self.spark)
 
     @cached_property
     def breach_log(self) -> DataFrame:
@@ -74,6 +74,10 @@ class Star:
         ).write.parquet(path)
         return self.spark.read.schema(SLA_BREACH_LOG).parquet(path)
 
+    def _once(self, table: str, derive) -> DataFrame:
+        derive(self.spark, self.sf_dir).write.parquet(f"{self.root}/{table}")
+        return self._stored(table)
+
     def _stored(self, table: str) -> DataFrame:
         return self.spark.read.schema(TABLES[table]).parquet(f"{self.root}/{table}")
 
@@ -112,9 +116,6 @@ def _build(spark: SparkSession, sf_dir: str) -> Star:
     staged = spark.read.parquet(staged_path)
     retail.routes(staged).write.parquet(f"{star.root}/routes")
     write_flights(retail.flights(staged, star.routes), star.flights_path)
-    retail.airlines(spark, sf_dir).write.parquet(f"{star.root}/airlines")
-    retail.airports(spark, sf_dir).write.parquet(f"{star.root}/airports")
-    rules_frame(spark).write.parquet(f"{star.root}/sla_rules")
     return star
 
 

@@ -190,13 +190,14 @@ def breach_stream(
         )
         if latest is None:
             return
-        ruled, widest = ruled_routes(r, rules, per_carrier_rules)
+        ruled, windows = ruled_routes(r, rules, per_carrier_rules)
+        earliest = days_before(latest, max(windows, default=0))
         recent = read_counters(spark, counters_path).filter(
-            F.col("flight_date").between(days_before(latest, widest or 0), latest)
+            F.col("flight_date").between(earliest, latest)
         )
 
         def find(log: DataFrame) -> DataFrame:
-            return trailing_breaches(recent, ruled, [latest], log, limits)
+            return trailing_breaches(recent, ruled, windows, [latest], log, limits)
 
         append_breaches(spark, find, log_path, audit_path, latest, now)
 

@@ -8,11 +8,15 @@ import pytest
 from frames import BASE, DAY, rows, table
 from pyspark.sql import functions as F
 
+from slotwise.operators import carriers
 from slotwise.operators.keys import number_rows
+from slotwise.plans.catalog import register
 from slotwise.plans.jobs import ingest_flights, run_daily_breaches
+from slotwise.session import partitions_for
 from slotwise.sources import ontime_csv, tables
-from slotwise.sources.layout import read_flights, write_flights
-from slotwise.sources.schemas import AUDIT_LOG, FLIGHTS, SLA_BREACH_LOG
+from slotwise.sources.exports import export_reports
+from slotwise.sources.layout import read_audit, read_flights, write_flights
+from slotwise.sources.schemas import FLIGHTS, SLA_BREACH_LOG
 from slotwise.sources.scratch import scratch_root
 
 NOW = dt.datetime(2023, 7, 1, 8)
@@ -27,7 +31,7 @@ def test_daily_run_twice_adds_nothing(spark, tmp_path):
     assert [run_daily_breaches(*args), run_daily_breaches(*args)] == [2, 0]
     logged = spark.read.schema(SLA_BREACH_LOG).parquet(log)
     assert sorted(rows(logged, "breach_id", "route_id", "created_at")) == [(1, 1, NOW), (2, 2, NOW)]
-    events = spark.read.schema(AUDIT_LOG).parquet(audit)
+    events = read_audit(spark, audit)
     assert sorted(rows(events, "record_id")) == [(1,), (2,)]
     assert {json.loads(e.new_values)["severity"] for e in events.collect()} == {"CRITICAL"}
     next_day = (f, r, rules, log, audit, DAY + dt.timedelta(days=1), NOW)
@@ -56,7 +60,7 @@ def test_ingest_splits_audits_and_repeats_safely(spark, tmp_path):
         stored = read_flights(spark, paths[0])
         assert sorted(rows(stored, "flight_id", "flight_month")) == [(1, 202306), (3, 202307)]
         assert rows(spark.read.parquet(paths[1]), "flight_id") == [(2,)]
-        audited = spark.read.schema(AUDIT_LOG).parquet(paths[2])
+        audited = read_audit(spark, paths[2])
         assert sorted(rows(audited, "record_id", "changed_at")) == [(1, NOW), (3, NOW)]
 
 
@@ -177,6 +181,26 @@ def test_ontime_csv(spark, tmp_path):
     assert f.select("flight_id").distinct().count() == 3
 
 
+def test_exports_and_views(spark, tmp_path):
+    a, ap = table(spark, "airlines", [{}]), table(spark, "airports", [{}, {"airport_code": "Y"}])
+    r, f = table(spark, "routes", [{}]), table(spark, "flights", [{"carrier_delay": 9}])
+    export_reports({"root_cause": carriers.root_cause(f, r, a)}, str(tmp_path))
+    (part,) = Path(tmp_path, "root_cause").glob("*.csv")
+    assert part.read_text().splitlines() == [
+        "Carrier,Carrier,Weather,NAS,Security,Late Aircraft", "Alpha,100.0,0.0,0.0,0.0,0.0",
+    ]
+    register(f, r, a, ap, table(spark, "sla_rules", [{}]), table(spark, "sla_breach_log", [{}]))
+    sql = "SELECT carrier_name, total_flights FROM vw_carrier_monthly_scorecard WHERE yr = 2023"
+    assert rows(spark.sql(sql)) == [("Alpha", 1)]
+    assert rows(spark.sql("SELECT route_label FROM vw_route_performance")) == [("X → Y",)]
+    assert rows(spark.sql("SELECT is_early, origin_city FROM vw_flight_details")) == [(0, "X City")]
+
+
+def test_shuffle_sizing():
+    assert partitions_for(1) == 200
+    assert partitions_for(10**14) == 745059
+
+
 def test_scratch_follows_the_shared_folder(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = scratch_root(spark)

@@ -212,15 +212,15 @@ def flagged(spark, f, rules=({},), log=None, as_of=DAY, **options):
 def test_threshold_is_strict_after_rounding(spark, two, late, total, breach):
     # 14.9998 % and 15.00 % are no breach, 15.01 % is
     counters = spark.createDataFrame([(1, DAY, total, late)], "route_id int, flight_date date, total_flights long, delayed_flights long")
-    ruled, _ = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
-    assert (flagging.trailing_breaches(counters, ruled, [DAY]).count() == 1) is breach
+    ruled, windows = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
+    assert (flagging.trailing_breaches(counters, ruled, windows, [DAY]).count() == 1) is breach
 
 
 def test_rate_just_over_the_threshold_rounds_down(spark, two):
     # 15.004 % rounds to 15.00 %
     counters = spark.createDataFrame([(1, DAY, 25000, 3751)], "route_id int, flight_date date, total_flights long, delayed_flights long")
-    ruled, _ = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
-    assert flagging.trailing_breaches(counters, ruled, [DAY]).count() == 0
+    ruled, windows = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
+    assert flagging.trailing_breaches(counters, ruled, windows, [DAY]).count() == 0
 
 
 def test_window_is_closed_at_both_ends(spark):
@@ -267,6 +267,19 @@ def test_backfill_equals_single_runs(spark):
     assert sorted(rows(many)) == sorted(x for df in single for x in rows(df))
 
 
+def test_backfill_with_windows_of_their_own(spark):
+    f = [{"flight_date": days(n), "arr_delay_mins": 20, "route_id": n % 2 + 1} for n in range(40)]
+    r = table(spark, "routes", [{}, {"route_id": 2, "carrier_code": "BB"}])
+    rules = [{}, {"rule_id": 2, "carrier_code": "BB", "window_days": 4}]
+    dates = [days(0), days(9)]
+    many = flagging.backfill_breaches(
+        table(spark, "flights", f), r, table(spark, "sla_rules", rules), dates, None, True
+    )
+    single = [flagged(spark, f, rules, as_of=d, per_carrier_rules=True) for d in dates]
+    assert sorted(rows(many)) == sorted(x for df in single for x in rows(df))
+    assert sorted(rows(many, "route_id", "total_flights")) == [(1, 15), (1, 16), (2, 2), (2, 3)]
+
+
 def test_unknown_breach_id_resolves_nothing(spark):
     log = table(spark, "sla_breach_log", [{}, {}])
     with pytest.raises(LookupError, match="not found"):

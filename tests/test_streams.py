@@ -7,8 +7,8 @@ from frames import rows, table
 
 from slotwise.operators.audit import audit_new
 from slotwise.operators.flagging import daily_counters, flag_breaches
-from slotwise.sources.layout import read_flights, write_flights
-from slotwise.sources.schemas import AUDIT_LOG, SLA_BREACH_LOG
+from slotwise.sources.layout import read_audit, read_flights, write_flights
+from slotwise.sources.schemas import SLA_BREACH_LOG
 from slotwise.streaming import jobs
 
 NOW = dt.datetime(2023, 7, 1, 8)
@@ -97,4 +97,4 @@ def test_breaches_and_alerts(spark, stored, tmp_path):
         run(checkpoint)
         log = spark.read.schema(SLA_BREACH_LOG).parquet(f"{tmp_path}/log")
         assert sorted(rows(log, *columns)) == expected
-        assert spark.read.schema(AUDIT_LOG).parquet(f"{tmp_path}/audit").count() == len(expected)
+        assert read_audit(spark, f"{tmp_path}/audit").count() == len(expected)
