@@ -12,8 +12,8 @@ def spark():
     session = (
         SparkSession.builder.master("local[8]")
         .appName("slotwise-tests")
-        .config("spark.sql.shuffle.partitions", "8")
-        .config("spark.default.parallelism", "2")
+        .config("spark.sql.shuffle.partitions", "2")
+        .config("spark.default.parallelism", "1")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.session.timeZone", "UTC")
