@@ -159,8 +159,8 @@ def _over_threshold(
         "route_id",
         "breach_date",
         "delay_rate_pct",
-        F.col("total_flights").cast("int").alias("total_flights"),
-        F.col("delayed_flights").cast("int").alias("delayed_flights"),
+        "total_flights",
+        "delayed_flights",
         "rule_id",
     )
 
@@ -210,9 +210,9 @@ def number_breaches(
     found: DataFrame, created_at, start_after: int = 0, resolved=None
 ) -> DataFrame:
     """Log rows for new breaches, numbered by date and route after ``start_after``."""
-    numbered = number_rows(found, ["breach_date"], ["route_id"], "breach_id")
+    numbered = number_rows(found, ["breach_date"], ["route_id"], "breach_id", "bigint")
     return (
-        numbered.withColumn("breach_id", (F.col("breach_id") + start_after).cast("int"))
+        numbered.withColumn("breach_id", F.col("breach_id") + start_after)
         .withColumn("resolved", F.lit(0) if resolved is None else resolved)
         .withColumn("created_at", created_at)
         .select(*SLA_BREACH_LOG.names)

@@ -16,7 +16,12 @@ from pyspark.sql.types import StructType
 from slotwise.config import DEFAULT_LIMITS, Limits
 from slotwise.functions.filters import date_range, moment
 from slotwise.operators.audit import audit_new, missing_alerts, with_audit_ids
-from slotwise.operators.flagging import flag_breaches, number_breaches
+from slotwise.operators.flagging import (
+    current_log,
+    flag_breaches,
+    number_breaches,
+    resolve_breaches,
+)
 from slotwise.operators.quality import accepted, rejected, validate
 from slotwise.sources.layout import write_audit, write_flights, write_quarantine
 from slotwise.sources.schemas import (
@@ -24,6 +29,7 @@ from slotwise.sources.schemas import (
     FLIGHTS_STORED,
     PERIOD_COLUMN,
     QUARANTINE_STORED,
+    RESOLUTIONS,
     SLA_BREACH_LOG,
 )
 from slotwise.sources.scratch import settle
@@ -125,3 +131,29 @@ def append_breaches(
     sent = audited_records(spark, audit_path, "sla_breach_log", day, day)
     write_audit(with_audit_ids(missing_alerts(of_day, sent, changed_at=now)), audit_path)
     return fresh.count()
+
+
+def record_resolutions(
+    ids: DataFrame, log_path: str, events_path: str, resolved_at: dt.datetime | None = None
+) -> DataFrame:
+    """Appends a resolution event per breach and returns the status lines.
+
+    An unknown id raises before anything is written. The log itself is never rewritten.
+    """
+    spark = ids.sparkSession
+    log = read_or_empty(spark, log_path, SLA_BREACH_LOG)
+    _, status = resolve_breaches(log, ids)
+    stamp = F.current_timestamp() if resolved_at is None else moment(resolved_at)
+    events = status.select(
+        F.col("breach_id").cast("bigint").alias("breach_id"), stamp.alias("resolved_at")
+    )
+    events.write.mode("append").parquet(events_path)
+    return status
+
+
+def read_current_log(spark: SparkSession, log_path: str, events_path: str) -> DataFrame:
+    """The breach log with its resolutions applied."""
+    return current_log(
+        read_or_empty(spark, log_path, SLA_BREACH_LOG),
+        read_or_empty(spark, events_path, RESOLUTIONS),
+    )

@@ -122,8 +122,8 @@ def _evaluated(dates: str, rule_join: str) -> str:
     return f"""
     SELECT route_id, breach_date, rule_id, max_rate,
            {pct(n_if("arr_delay_mins >= 15"), "count(*)")} AS delay_rate_pct,
-           count(*)::INTEGER AS total_flights,
-           ({n_if("arr_delay_mins >= 15")})::INTEGER AS delayed_flights
+           count(*) AS total_flights,
+           {n_if("arr_delay_mins >= 15")} AS delayed_flights
     FROM flown JOIN {dates} ON flight_date <= breach_date
     JOIN rules ON {rule_join} AND flight_date >= breach_date - window_days::INTEGER
     GROUP BY route_id, breach_date, rule_id, max_rate, min_flights
@@ -138,7 +138,7 @@ breach_log AS MATERIALIZED (
     SELECT n AS breach_id, route_id, breach_date, delay_rate_pct, total_flights, delayed_flights,
            rule_id, CASE WHEN n % 4 = 0 THEN 1 ELSE 0 END AS resolved,
            breach_date::TIMESTAMP + to_hours(n % 24) AS created_at
-    FROM (SELECT *, (row_number() OVER (ORDER BY breach_date, route_id))::INTEGER AS n FROM found)
+    FROM (SELECT *, row_number() OVER (ORDER BY breach_date, route_id) AS n FROM found)
 ),
 logged AS (
     SELECT * FROM breach_log JOIN routes USING (route_id) JOIN airlines USING (carrier_code)
@@ -687,7 +687,7 @@ def all_sql() -> dict[str, str]:
         "stream_daily_counts": sql(_COUNTERS),
         "stream_counters": sql(_COUNTERS),
         "stream_breaches": sql(
-            f"""SELECT (row_number() OVER (ORDER BY route_id))::INTEGER AS breach_id,
+            f"""SELECT row_number() OVER (ORDER BY route_id) AS breach_id,
                        {_BREACH_COLUMNS}, 0 AS resolved
                 FROM ({_evaluated("(SELECT max(flight_date) AS breach_date FROM flown)", "rule_id = 1")})
                 WHERE delay_rate_pct > max_rate"""

@@ -84,14 +84,15 @@ SLA_RULES = _table(
         "updated_by": StringType(),
     },
 )
+# Ids and counts of breaches are wide: one route may hold billions of rows.
 SLA_BREACH_LOG = _table(
     {
-        "breach_id": IntegerType(),
+        "breach_id": LongType(),
         "route_id": IntegerType(),
         "breach_date": DateType(),
         "delay_rate_pct": DecimalType(5, 2),
-        "total_flights": IntegerType(),
-        "delayed_flights": IntegerType(),
+        "total_flights": LongType(),
+        "delayed_flights": LongType(),
         "rule_id": IntegerType(),
     },
     {"resolved": IntegerType(), "created_at": TimestampType()},
@@ -111,6 +112,9 @@ AUDIT_LOG = _table(
     },
 )
 
+# Resolution events of an append-only breach log.
+RESOLUTIONS = _table({"breach_id": LongType(), "resolved_at": TimestampType()}, {})
+
 TABLES = {
     "airlines": AIRLINES,
     "airports": AIRPORTS,

@@ -11,7 +11,12 @@ from pyspark.sql import functions as F
 from slotwise.operators import carriers
 from slotwise.operators.keys import number_rows
 from slotwise.plans.catalog import register
-from slotwise.plans.jobs import ingest_flights, run_daily_breaches
+from slotwise.plans.jobs import (
+    ingest_flights,
+    read_current_log,
+    record_resolutions,
+    run_daily_breaches,
+)
 from slotwise.session import partitions_for
 from slotwise.sources import ontime_csv, tables
 from slotwise.sources.exports import export_reports
@@ -48,6 +53,23 @@ def test_lost_alerts_are_sent_by_the_next_run(spark, tmp_path):
     assert spark.read.parquet(audit).count() == 1
 
 
+def test_resolutions_are_events(spark, tmp_path):
+    log, events = f"{tmp_path}/log", f"{tmp_path}/events"
+    table(spark, "sla_breach_log", [{}, {"route_id": 2}]).write.parquet(log)
+
+    def ids(*values):
+        return spark.createDataFrame([(v,) for v in values], "breach_id bigint")
+
+    with pytest.raises(LookupError):
+        record_resolutions(ids(1, 999), log, events, NOW)
+    assert rows(read_current_log(spark, log, events), "resolved") == [(0,), (0,)]
+    for _ in range(2):
+        status = record_resolutions(ids(2), log, events, NOW)
+        assert rows(status, "status") == [("Breach #2 marked as resolved.",)]
+        current = read_current_log(spark, log, events)
+        assert sorted(rows(current, "breach_id", "resolved")) == [(1, 0), (2, 1)]
+
+
 def test_ingest_splits_audits_and_repeats_safely(spark, tmp_path):
     paths = [f"{tmp_path}/{name}" for name in ("flights", "quarantine", "audit")]
     f = table(

@@ -482,6 +482,20 @@ def test_orphans_and_duplicates(spark, two):
     assert rows(quality.duplicate_keys(f, ["flight_id"])) == [(1, 2)]
 
 
+def test_declared_constraints(spark):
+    r = table(spark, "routes", [{}, {"route_id": 2}, {"route_id": 3, "origin": None}])
+    assert rows(quality.declared_counts(r, "routes").filter("row_count > 0")) == [
+        ("routes", "origin", "missing", 1)
+    ]
+    assert rows(quality.declared_duplicates(r, "routes"), "key_columns", "row_count") == [
+        ("carrier_code, origin, destination", 2)
+    ]
+    log = table(spark, "sla_breach_log", [{"resolved": 5}])
+    assert rows(quality.declared_counts(log, "sla_breach_log").filter("row_count > 0")) == [
+        ("sla_breach_log", "resolved", "outside domain", 1)
+    ]
+
+
 def test_null_and_domain_counts(spark):
     f = table(spark, "flights", [{}, {"cancelled": 7, "flight_number": "LONGNUMBER"}, {"cancelled": None}])
     got = quality.null_domain_counts(
