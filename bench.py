@@ -50,6 +50,10 @@ HEADLINE = [
 RUNS = 3
 
 
+def produce(df) -> None:
+    df.write.format("noop").mode("overwrite").save()
+
+
 def timed(action) -> float:
     begin = time.perf_counter()
     action()
@@ -75,10 +79,7 @@ def main() -> None:
     logging = timed(lambda: open_star(spark, sf_dir).breach_log.count())
     cold, median = {}, {}
     for name in sys.argv[1:] or HEADLINE:
-        runs = [
-            timed(lambda: queries[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
-            for _ in range(RUNS)
-        ]
+        runs = [timed(lambda: produce(queries[name](spark, sf_dir))) for _ in range(RUNS)]
         cold[name], median[name] = round(runs[0], 3), round(statistics.median(runs), 3)
     print(
         json.dumps(

@@ -151,8 +151,9 @@ def od_matrix(
         .agg(*[m.again() for m in measures], weighted.first())
         .filter(F.col("flights") >= min_n)
     )
-    start_city = ap.select(F.col("airport_code").alias("origin"), F.col("city").alias("origin_city"))
-    end_city = ap.select(F.col("airport_code").alias("destination"), F.col("city").alias("dest_city"))
+    code, city = F.col("airport_code"), F.col("city")
+    start_city = ap.select(code.alias("origin"), city.alias("origin_city"))
+    end_city = ap.select(code.alias("destination"), city.alias("dest_city"))
     arrival = ratio(F.col("arr_sum"), F.col("arr_n"))
     scheduled = ratio(F.col("scheduled_sum"), F.col("flights"))
     return (

@@ -15,7 +15,8 @@ def number_rows(
     """Dense numbers 1..n in the order of ``lead`` then ``order``.
 
     Rows are numbered inside each ``lead`` group, and the groups before it are added as an
-    offset. Only one row per group reaches the single task that sums the offsets. The input is
+    offset. A group is numbered by one task, so it must be of limited size, such as the routes of
+    one day; only one row per group reaches the single task that sums the offsets. The input is
     read twice, so it is written out first and not derived twice.
     """
     df = settle(df, f"{name}-input")

@@ -155,15 +155,16 @@ def sql(body: str, *ctes: str) -> str:
     return "WITH " + ",\n".join([*parts, *ctes]) + "\n" + body
 
 
+_SHARE = fixed(div("delayed", "total_flights"), 4)
+
+
 def _ranking(where: str) -> str:
     return f"""ranking AS (
-    SELECT (rank() OVER (ORDER BY {fixed(div("delayed", "total_flights"), 4)}))::INTEGER
-               AS on_time_rank,
+    SELECT (rank() OVER (ORDER BY {_SHARE}))::INTEGER AS on_time_rank,
            * EXCLUDE (gone),
            {pct("delayed", "total_flights")} AS delay_rate_pct,
            {pct("gone", "total_flights")} AS cancel_rate_pct,
-           {fixed(f"100 * percent_rank() OVER (ORDER BY {fixed(div('delayed', 'total_flights'), 4)})", 1)}
-               AS percentile_rank
+           {fixed(f"100 * percent_rank() OVER (ORDER BY {_SHARE})", 1)} AS percentile_rank
     FROM (SELECT carrier_code, carrier_name, count(*) AS total_flights,
                  {n_if("arr_delay_mins >= 15")} AS delayed,
                  {n_if("arr_delay_mins >= 60")} AS severe_delays,
@@ -178,8 +179,11 @@ def _ranking(where: str) -> str:
 _ALL_YEAR = _ranking(f"flight_date >= {day(AS_OF)} - INTERVAL 12 MONTH")
 
 _ROW_CAUSES = " + ".join(f"{c}_delay" for c in CAUSES)
+_SHARES = ", ".join(
+    pct(f"total_{c}_mins", "grand_total_delay_mins", 1) + f" AS pct_{c}" for c in CAUSES
+)
 _ROOT = f"""root AS (
-    SELECT *, {", ".join(pct(f"total_{c}_mins", "grand_total_delay_mins", 1) + f" AS pct_{c}" for c in CAUSES)}
+    SELECT *, {_SHARES}
     FROM (SELECT carrier_code, carrier_name,
                  {", ".join(f"sum({c}_delay)::BIGINT AS total_{c}_mins" for c in CAUSES)},
                  sum({_ROW_CAUSES})::BIGINT AS grand_total_delay_mins
@@ -307,7 +311,7 @@ _LATE_AIRCRAFT = {c: div(f"sum({c}_delay)", f"count({c}_delay)") for c in CAUSES
 _CONTENDERS = "greatest({})".format(
     ", ".join(f"m_{c}" for c in ("carrier", "weather", "nas", "late_aircraft"))
 )
-_REJECT = "carrier_delay + weather_delay + nas_delay + security_delay + late_aircraft_delay > arr_delay_mins + 10"
+_REJECT = f"{_ROW_CAUSES} > arr_delay_mins + 10"
 
 
 def _orphan(child: str, column: str, parent: str, key: str) -> str:
@@ -353,7 +357,8 @@ def all_sql() -> dict[str, str]:
         "carrier_ranking_one_carrier": sql(
             "SELECT * FROM ranking",
             _ranking(
-                f"flight_date BETWEEN {day(q.SINCE)} AND {day(AS_OF)} AND carrier_code = '{q.CARRIER}'"
+                f"flight_date BETWEEN {day(q.SINCE)} AND {day(AS_OF)} "
+                f"AND carrier_code = '{q.CARRIER}'"
             ),
         ),
         "carrier_kpis": sql(
@@ -576,9 +581,14 @@ def all_sql() -> dict[str, str]:
         ),
         "audit_updates": sql(
             _audit("flights", "UPDATE", "n.flight_id", _update_json("e"), _update_json("n"),
-                   """flights n JOIN earlier e ON e.flight_id = n.flight_id
-                      WHERE n.arr_delay_mins <> e.arr_delay_mins"""),
+                   """flights n JOIN former e ON e.flight_id = n.flight_id
+                      WHERE n.arr_delay_mins <> e.arr_delay_mins
+                      OR n.dep_delay_mins <> e.dep_delay_mins OR n.cancelled <> e.cancelled"""),
             _OLD,
+            """former AS (
+                SELECT DISTINCT ON (flight_id) * FROM earlier
+                ORDER BY flight_id, arr_delay_mins, dep_delay_mins, cancelled, diverted
+            )""",
         ),
         "breach_alerts": sql(
             _audit(

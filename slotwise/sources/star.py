@@ -68,7 +68,8 @@ class Star:
         path = scratch_path(self.spark, "breach-log")
         found = backfill_breaches(self.flights, self.routes, self.rules, WEEKLY)
         number = F.col("breach_id")
-        logged_at = F.timestamp_add("HOUR", (number % 24).cast("int"), F.col("breach_date").cast("timestamp"))
+        midnight = F.col("breach_date").cast("timestamp")
+        logged_at = F.timestamp_add("HOUR", (number % 24).cast("int"), midnight)
         number_breaches(
             found, logged_at, resolved=F.when(number % 4 == 0, 1).otherwise(0)
         ).write.parquet(path)

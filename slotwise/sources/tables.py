@@ -64,7 +64,9 @@ def upsert_rules(
     return kept.select(*TABLES["sla_rules"].names).unionByName(stamped)
 
 
-def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, one_file: bool = False) -> None:
+def export_csv(
+    df: DataFrame, path: str, columns: Sequence[str] | None = None, one_file: bool = False
+) -> None:
     """CSV with a header. ``one_file`` is for report-size output only."""
     out = df.select(*columns) if columns else df
     if one_file:
@@ -72,6 +74,8 @@ def export_csv(df: DataFrame, path: str, columns: Sequence[str] | None = None, o
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def run_sql(spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame) -> DataFrame:
+def run_sql(
+    spark: SparkSession, text: str, args: dict | None = None, **frames: DataFrame
+) -> DataFrame:
     """Parametrised SQL: ``:name`` markers bind values, ``{name}`` refers to a frame."""
     return spark.sql(text, args=args, **frames)

@@ -153,7 +153,9 @@ def test_csv_export_and_named_parameters(spark, tmp_path):
     a = table(spark, "airlines", [{}, {"carrier_code": "BB", "carrier_name": "Beta, Inc"}])
     tables.export_csv(a, f"{tmp_path}/csv", ["carrier_code", "carrier_name"], one_file=True)
     (part,) = Path(tmp_path, "csv").glob("*.csv")
-    assert part.read_text().splitlines() == ["carrier_code,carrier_name", "AA,Alpha", 'BB,"Beta, Inc"']
+    assert part.read_text().splitlines() == [
+        "carrier_code,carrier_name", "AA,Alpha", 'BB,"Beta, Inc"',
+    ]
     got = tables.run_sql(
         spark, "SELECT carrier_name FROM {a} WHERE carrier_code = :code", {"code": "AA"}, a=a
     )
@@ -178,7 +180,8 @@ def test_ontime_csv(spark, tmp_path):
     }
     lines = [
         line,
-        {**line, "OP_CARRIER_FL_NUM": "14", "CRS_ELAPSED_TIME": "370", "ARR_DELAY": "", "CANCELLED": "1.00"},
+        {**line, "OP_CARRIER_FL_NUM": "14", "CRS_ELAPSED_TIME": "370", "ARR_DELAY": "",
+         "CANCELLED": "1.00"},
         {**line, "DEST": "BOS"},
         {**line, "FL_DATE": "not a date"},
     ]

@@ -201,6 +201,9 @@ def test_propagation_ratio(spark, two):
     assert rows(got, "flights_affected", "propagation_ratio_pct") == [(1, 25.0)]
 
 
+COUNTERS = "route_id int, flight_date date, total_flights long, delayed_flights long"
+
+
 def flagged(spark, f, rules=({},), log=None, as_of=DAY, **options):
     r = table(spark, "routes", [{}, {"route_id": 2, "carrier_code": "BB"}])
     return flagging.flag_breaches(
@@ -208,17 +211,19 @@ def flagged(spark, f, rules=({},), log=None, as_of=DAY, **options):
     )
 
 
-@pytest.mark.parametrize("late, total, breach", [(3001, 20007, False), (3, 20, False), (3002, 20000, True)])
+@pytest.mark.parametrize(
+    "late, total, breach", [(3001, 20007, False), (3, 20, False), (3002, 20000, True)]
+)
 def test_threshold_is_strict_after_rounding(spark, two, late, total, breach):
     # 14.9998 % and 15.00 % are no breach, 15.01 % is
-    counters = spark.createDataFrame([(1, DAY, total, late)], "route_id int, flight_date date, total_flights long, delayed_flights long")
+    counters = spark.createDataFrame([(1, DAY, total, late)], COUNTERS)
     ruled, windows = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
     assert (flagging.trailing_breaches(counters, ruled, windows, [DAY]).count() == 1) is breach
 
 
 def test_rate_just_over_the_threshold_rounds_down(spark, two):
     # 15.004 % rounds to 15.00 %
-    counters = spark.createDataFrame([(1, DAY, 25000, 3751)], "route_id int, flight_date date, total_flights long, delayed_flights long")
+    counters = spark.createDataFrame([(1, DAY, 25000, 3751)], COUNTERS)
     ruled, windows = flagging.ruled_routes(two["routes"], table(spark, "sla_rules", [{}]))
     assert flagging.trailing_breaches(counters, ruled, windows, [DAY]).count() == 0
 
@@ -284,7 +289,8 @@ def test_unknown_breach_id_resolves_nothing(spark):
     log = table(spark, "sla_breach_log", [{}, {}])
     with pytest.raises(LookupError, match="not found"):
         flagging.resolve_breaches(log, spark.createDataFrame([(1,), (999,)], "breach_id int"))
-    now, status = flagging.resolve_breaches(log, spark.createDataFrame([(2,), (2,)], "breach_id int"))
+    twice = spark.createDataFrame([(2,), (2,)], "breach_id int")
+    now, status = flagging.resolve_breaches(log, twice)
     assert sorted(rows(now, "breach_id", "resolved")) == [(1, 0), (2, 1)]
     assert rows(status, "status") == [("Breach #2 marked as resolved.",)]
 
@@ -375,9 +381,8 @@ def test_scorecard_rank_of_one_carrier(spark):
 def test_scorecard_includes_cancelled_rows(spark, two):
     f = table(spark, "flights", [{"arr_delay_mins": 20}, {"cancelled": 1}])
     card = views.carrier_monthly_scorecard(f, two["routes"], two["airlines"], two["airports"])
-    assert rows(card, "total_flights", "cancelled_flights", "delay_rate_pct", "cancel_rate_pct") == [
-        (2, 1, 50.0, 50.0)
-    ]
+    columns = ("total_flights", "cancelled_flights", "delay_rate_pct", "cancel_rate_pct")
+    assert rows(card, *columns) == [(2, 1, 50.0, 50.0)]
     perf = views.route_performance(f, two["routes"])
     assert rows(perf, "total_flights", "avg_arr_delay", "worst_delay", "best_time") == [
         (2, 10.0, 20, 0)
@@ -440,6 +445,14 @@ def test_update_audit(spark, old, new, audited, null_safe):
     assert audit.audit_updates(after, before, null_safe=True).count() == null_safe
 
 
+def test_copies_of_a_key_are_not_paired(spark):
+    old = table(spark, "flights", [{"flight_id": 1, "arr_delay_mins": n} for n in (7, 3, 5)])
+    new = table(spark, "flights", [{"flight_id": 1, "arr_delay_mins": n} for n in (3, 4, 5, 6)])
+    got = audit.audit_updates(new, old)
+    assert sorted(json.loads(r.new_values)["arr_delay"] for r in got.collect()) == [4, 5, 6]
+    assert {json.loads(r.old_values)["arr_delay"] for r in got.collect()} == {3}
+
+
 def test_audit_images_keep_nulls(spark):
     old = table(spark, "flights", [{}])
     new = table(spark, "flights", [{}, {"arr_delay_mins": None}])
@@ -497,7 +510,8 @@ def test_declared_constraints(spark):
 
 
 def test_null_and_domain_counts(spark):
-    f = table(spark, "flights", [{}, {"cancelled": 7, "flight_number": "LONGNUMBER"}, {"cancelled": None}])
+    odd = [{}, {"cancelled": 7, "flight_number": "LONGNUMBER"}, {"cancelled": None}]
+    f = table(spark, "flights", odd)
     got = quality.null_domain_counts(
         f, "flights", ["cancelled"], {"cancelled": [0, 1]}, {"flight_number": 8}
     )
