@@ -46,14 +46,15 @@ def read_ontime(
 ) -> tuple[DataFrame, DataFrame]:
     """Typed rows keyed by carrier, origin and destination, and the lines that do not fit.
 
-    Only the header is read ahead, for the column order; every field is then cast by what it
-    is for, and a value that cannot be cast counts as missing.
+    Only one header is read ahead, for the column order; a file with another order is an error.
+    Every field is then cast by what it is for, and a value that cannot be cast is missing.
     """
     header = spark.read.option("header", True).csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in [*header, BROKEN]])
     raw = (
         spark.read.schema(schema)
         .options(header=True, mode="PERMISSIVE", columnNameOfCorruptRecord=BROKEN)
+        .option("enforceSchema", False)
         .csv(path)
     )
     fields = {}
