@@ -59,7 +59,55 @@ SELECT d.doc_id,
 FROM documents d LEFT JOIN t USING (doc_id)
 """
 
+
+def raking_sql(rounds: int = 12) -> str:
+    """One common table for each scaling step, as many as the query makes."""
+    steps, last = [], "r0"
+    dims = ("source", "lang", "topic")
+    for i in range(rounds * len(dims)):
+        dim, name = dims[i % len(dims)], f"r{i + 1}"
+        steps.append(
+            f"{name} AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, w * t_{dim} / "
+            f"sum(w) OVER (PARTITION BY {dim}) AS w FROM {last})"
+        )
+        last = name
+    goals = ",\n".join(
+        f"g_{d} AS (SELECT {d}, s / sum(s) OVER () AS t_{d} FROM (SELECT {d}, "
+        f"pow(CAST(sum(tokens) AS DOUBLE), 0.5) AS s FROM cells WHERE tokens > 0 GROUP BY 1))"
+        for d in dims
+    )
+    joins = " ".join(
+        f"JOIN g_{d} ON cells.{d} IS NOT DISTINCT FROM g_{d}.{d}" for d in dims
+    )
+    return f"""
+WITH d AS (
+  SELECT doc_id, source, lang, CASE WHEN text IS NULL OR text = '' THEN 'empty'
+      WHEN contains(text, ' | ') THEN 'table'
+      WHEN contains(text, '###') OR contains(text, '***') THEN 'symbols'
+      WHEN strlen(text) < 400 THEN 'short' ELSE 'prose' END AS topic,
+    CAST(coalesce(ceil(strlen(text) / 4), 0) AS BIGINT) AS tokens FROM documents),
+cells AS (
+  SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM d GROUP BY ALL),
+{goals},
+r0 AS MATERIALIZED (
+  SELECT cells.source, cells.lang, cells.topic, tokens, t_source, t_lang, t_topic,
+    CAST(tokens AS DOUBLE) AS w FROM cells {joins} WHERE tokens > 0),
+{", ".join(steps)},
+rates AS (
+  SELECT source, lang, topic,
+    w * CAST(sum(tokens) OVER () AS DOUBLE) * 0.5 / (sum(w) OVER () * tokens) AS rate FROM {last}),
+p AS (
+  SELECT d.*, round(least(coalesce(rate, 0), 1), 9) AS probability,
+    round(greatest(coalesce(rate, 0), 1), 6) AS weight
+  FROM d LEFT JOIN rates ON d.source IS NOT DISTINCT FROM rates.source
+    AND d.lang IS NOT DISTINCT FROM rates.lang AND d.topic IS NOT DISTINCT FROM rates.topic)
+SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-mix'), 1, 13) AS BIGINT)
+  / 4503599627370496.0 < probability AS sampled FROM p
+"""
+
+
 SQL: dict[str, str] = {
+    "op6_raked_mix": raking_sql(),
     "op9_winnowed_contamination": OP9,
     "op10_winnowed_lines": OP10,
 }

@@ -2,12 +2,46 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import contamination, lines
+from slotwise.llm import contamination, language, lines, mixing, near_copies
 from slotwise.llm.frames import read
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """True for the documents that no language is learned from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+def learned(docs: DataFrame) -> language.LanguageModel:
+    return language.learn(docs.where(~F.coalesce(held_out(), F.lit(False))))
+
+
+def op1_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by the dictionary that makes it smallest."""
+    docs = read(spark, sf_dir, "documents")
+    found = language.identify(docs, learned(docs))
+    return found.select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
+    )
+
+
+def op5_vantage_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the component of near copies of every document."""
+    found = near_copies.near_copies(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+def op6_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its calibrated probability and whether it is drawn."""
+    found = mixing.mixed(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "source", "lang", "topic", "tokens", "probability", "weight", "sampled"
+    )
+
 
 def op9_winnowed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
@@ -37,6 +71,9 @@ def op10_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_compression_language,
+        op5_vantage_near_copies,
+        op6_raked_mix,
         op9_winnowed_contamination,
         op10_winnowed_lines,
     )
