@@ -32,9 +32,11 @@ SAMPLE_ROWS = 256
 SAMPLE_BYTES = 16 * 1024
 #: Bytes encoded at once.
 BLOCK = 2048
-#: A shorter text is encoded from each of its first places, as one size alone is too coarse.
-SHORT, SHIFTS = 256, 24
 LEVEL = 3
+#: A shorter text is encoded from each of its first places, as one size alone is too coarse, at a
+#: level that looks harder, and behind a filler, so that the encoder never falls back to storing it.
+SHORT, SHIFTS, SHORT_LEVEL = 256, 8, 12
+FILLER = b"0" * 64 + b" "
 #: The share of the runner-up's size by which the smallest must be smaller.
 MARGIN = 0.01
 
@@ -81,22 +83,23 @@ def learn(
     return LanguageModel({k: bytes(v[:dictionary_bytes]) for k, v in held.items() if len(v) >= 8})
 
 
+def _encoders(model: LanguageModel, level: int) -> list:
+    found = []
+    for name in sorted(model.dictionaries):
+        held = zstandard.ZstdCompressionDict(
+            model.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT
+        )
+        held.precompute_compress(level=level)
+        found.append(zstandard.ZstdCompressor(level=level, dict_data=held, write_content_size=False))
+    return [f.compress for f in found]
+
+
 class Encoders:
-    """One encoder for each language, in order of name."""
+    """The encoders of each language, in order of name."""
 
-    def __init__(self, model: LanguageModel, level: int = LEVEL):
+    def __init__(self, model: LanguageModel):
         self.names = sorted(model.dictionaries)
-        self.encode = []
-        for name in self.names:
-            held = zstandard.ZstdCompressionDict(
-                model.dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT
-            )
-            held.precompute_compress(level=level)
-            self.encode.append(
-                zstandard.ZstdCompressor(
-                    level=level, dict_data=held, write_content_size=False
-                ).compress
-            )
+        self.long, self.short = _encoders(model, LEVEL), _encoders(model, SHORT_LEVEL)
 
     def sizes(self, text: str | None) -> list[int] | None:
         """Bytes of the text under each dictionary; None if it has no letter."""
@@ -104,10 +107,10 @@ class Encoders:
         if not raw:
             return None
         if len(raw) < SHORT:
-            parts = [raw[i:] for i in range(min(SHIFTS, len(raw)))]
-        else:
-            parts = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
-        return [sum(len(encode(p)) for p in parts) for encode in self.encode]
+            parts = [FILLER + raw[i:] + b" " for i in range(min(SHIFTS, len(raw)))]
+            return [sum(len(encode(p)) for p in parts) for encode in self.short]
+        parts = [raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK)]
+        return [sum(len(encode(p)) for p in parts) for encode in self.long]
 
     def decide(self, text: str | None, margin: float) -> tuple[str, float, bool]:
         """(language, score, rejected); the score is the share saved against the runner-up."""
