@@ -239,4 +239,5 @@ def clean_documents(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     bad = contamination(docs, items, **options).where("contaminated").select(
         F.col("doc_id").alias(key)
     )
-    return docs.join(settle(bad, "contaminated"), key, "left_anti")
+    # never by broadcast, so that the plan is the same whatever the number found
+    return docs.join(settle(bad, "contaminated").hint("merge"), key, "left_anti")

@@ -283,4 +283,5 @@ def one_of_each(
     found = near_copies(docs, shingle, doc_id, text)
     copies = found.where("doc_id != component").select(F.col("doc_id").alias(own))
     copies = settle(copies, "copies")
-    return docs.join(copies, docs[doc_id] == copies[own], "left_anti")
+    # never by broadcast, so that the plan is the same whatever the number of copies
+    return docs.join(copies.hint("merge"), docs[doc_id] == copies[own], "left_anti")
