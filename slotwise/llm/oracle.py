@@ -1,5 +1,18 @@
 """DuckDB SQL with the same rows as the queries, where SQL can express them."""
 
+OP2 = """
+WITH p AS (
+  SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes,
+    sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (
+  SELECT payload_digest, payload_bytes, max(page_id) AS response FROM p
+  WHERE payload_bytes >= 1000 GROUP BY ALL)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN response IS NULL OR response = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN response <> page_id THEN response END AS refers_to, CAST(NULL AS VARCHAR) AS problem
+FROM p LEFT JOIN k USING (payload_digest, payload_bytes)
+"""
+
 OP9 = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -107,6 +120,7 @@ SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-mix
 
 
 SQL: dict[str, str] = {
+    "op2_zstandard_archives": OP2,
     "op6_raked_mix": raking_sql(),
     "op9_winnowed_contamination": OP9,
     "op10_winnowed_lines": OP10,

@@ -5,8 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.llm import contamination, language, lines, mixing, near_copies
-from slotwise.llm.frames import read
+from slotwise.llm import (
+    contamination,
+    language,
+    lines,
+    mixing,
+    near_copies,
+    outliers,
+    secret_scan,
+    suffix_columns,
+    warc,
+    word_index,
+)
+from slotwise.llm.frames import read, scratch_path
 
 def held_out(doc_id: str = "doc_id") -> Column:
     """True for the documents that no language is learned from."""
@@ -26,6 +37,31 @@ def op1_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_zstandard_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as its archived record tells it."""
+    folder = scratch_path(spark, "warc")
+    if folder.startswith("/"):
+        folder = f"file://{folder}"
+    return warc.round_trip(read(spark, sf_dir, "pages"), folder).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem"
+    )
+
+
+def op3_token_efficiency_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document."""
+    return secret_scan.secrets(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_assign", "n_access", "n_hex", "n_dense", "base_sha256", "spans"
+    )
+
+
+def op4_covariance_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document."""
+    return outliers.judged(read(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        "base_failed", "kept", F.round("distance", 3).alias("distance"),
+    )
+
+
 def op5_vantage_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint and the component of near copies of every document."""
     found = near_copies.near_copies(read(spark, sf_dir, "documents"))
@@ -43,6 +79,26 @@ def op6_raked_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_column_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without byte strings that also begin elsewhere."""
+    found = suffix_columns.without_repeats(read(spark, sf_dir, "documents"), digests=True)
+    return found.select(
+        "doc_id",
+        F.col("n_units").alias("n_bytes"),
+        "n_removed",
+        "n_spans",
+        F.col("kept").alias("kept_sha256"),
+    )
+
+
+def op8_word_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without runs of words that also begin elsewhere."""
+    found = word_index.without_repeats(read(spark, sf_dir, "documents"), digests=True)
+    return found.select(
+        "doc_id", F.col("n_units").alias("n_words"), "n_removed", F.col("kept").alias("kept_sha256")
+    )
+
+
 def op9_winnowed_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages in every document."""
     found = contamination.contamination(
@@ -72,8 +128,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_compression_language,
+        op2_zstandard_archives,
+        op3_token_efficiency_secrets,
+        op4_covariance_outliers,
         op5_vantage_near_copies,
         op6_raked_mix,
+        op7_column_suffixes,
+        op8_word_index,
         op9_winnowed_contamination,
         op10_winnowed_lines,
     )

@@ -144,14 +144,18 @@ class Selected:
     first: np.ndarray  # first window, as a place in the text
     last: np.ndarray  # last window
     place: np.ndarray  # the chosen place itself, as a place in the text
+    whole: np.ndarray  # hash of all items from the first window's begin to the last one's end
 
 
-def winnow(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> Iterator[Selected]:
+def winnow(
+    values: np.ndarray, bounds: np.ndarray, window: int, gram: int, wholes: bool = False
+) -> Iterator[Selected]:
     """The fingerprints of all windows of ``window`` items, each window in exactly one of them.
 
     A window's fingerprint is the least hash of its runs of ``gram`` items. It depends on the
     window alone, so equal windows anywhere have the same one at the same place within them.
-    ``bounds`` says where each text begins and ends. Nothing crosses texts.
+    ``bounds`` says where each text begins and ends. Nothing crosses texts. ``wholes`` asks for the
+    hash of each stretch of windows.
     """
     lead = window - gram + 1
     for lo, hi in groups(bounds):
@@ -174,12 +178,16 @@ def winnow(values: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> It
                     heads = np.flatnonzero(new)
                     tails = np.append(heads[1:], len(starts)) - 1
                     base = bounds[owner[heads]]
+                    whole = base
+                    if wholes:
+                        whole = range_hashes(part, starts[heads] - at, starts[tails] - at + window)
                     yield Selected(
                         owner[heads],
                         marks[places[heads]],
                         starts[heads] - base,
                         starts[tails] - base,
                         places[heads] + at - base,
+                        whole,
                     )
             if stop == end:
                 break
