@@ -76,7 +76,8 @@ def drop_repeated_lines(
     id_, drops, pieces, held = (fresh(x) for x in ("id", "drops", "pieces", "held"))
     found = settle(repeated_lines(keyed_text(docs, doc_id, text), window), "repeated-lines")
     found = found.select(F.col("id").alias(id_), F.col("drops").alias(drops))
-    joined = docs.join(found, docs[doc_id] == found[id_], "left").withColumn(
+    # never by broadcast, so that the plan is the same whatever the number of repeats
+    joined = docs.join(found.hint("merge"), docs[doc_id] == found[id_], "left").withColumn(
         pieces, F.when(F.col(drops).isNotNull(), F.split(F.col(text), "\n", -1))
     )
     # numbers of the pieces that are lines, in order; then those of all pieces that stay
