@@ -69,10 +69,13 @@ def learn(
         .where("text is not null and lang is not null")
         .where(F.octet_length("text").between(1, SAMPLE_BYTES))
     )
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("rows"))
+    # one row for each language; a model holds a dictionary for each in any case
+    sizes = {r.lang: r.rows for r in rows.groupBy("lang").agg(F.count("text").alias("rows")).collect()}
+    if not sizes:
+        return LanguageModel({})
+    share = F.create_map(*[F.lit(x) for pair in sizes.items() for x in (pair[0], float(pair[1]))])
     draw = F.pmod(F.xxhash64(F.col("key"), F.col("text")), F.lit(1 << 40)) / F.lit(1 << 40)
-    drawn = rows.withColumn("draw", draw).join(sizes, "lang")
-    drawn = drawn.where(F.col("draw") * F.col("rows") < SAMPLE_ROWS)
+    drawn = rows.withColumn("draw", draw).where(F.col("draw") * share[F.col("lang")] < SAMPLE_ROWS)
     held: dict[str, bytearray] = {}
     seen: set[str] = set()
     for row in drawn.select("lang", "draw", "text").orderBy("lang", "draw", "text").collect():
