@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.bands import SLOTS, is_late, time_slot
+from slotwise.functions.bands import LONG_SLOTS, SLOTS, is_late, time_slot
 from slotwise.functions.columns import arr_delay, dep_delay
 from slotwise.functions.filters import date_range, flown, only
 from slotwise.functions.measures import (
@@ -20,6 +20,7 @@ from slotwise.functions.measures import (
     total,
 )
 from slotwise.functions.rates import fixed, mean, pct, ratio
+from slotwise.sources.scratch import settle
 
 
 def departure_bottlenecks(
@@ -174,8 +175,23 @@ def od_matrix(
     )
 
 
-def od_pivot(matrix: DataFrame, destinations: Sequence[str]) -> DataFrame:
-    """Delay rates of a matrix, one row per origin and one column per given destination."""
+def _listed(column: str, values: Sequence[str]):
+    """The column; a value that is not listed ends the job instead of vanishing in a pivot."""
+    stray = F.concat(F.lit(f"{column} outside the given columns: "), F.col(column))
+    known = F.col(column).isNull() | F.col(column).isin(list(values))
+    return F.when(known, F.col(column)).otherwise(F.raise_error(stray))
+
+
+def od_pivot(matrix: DataFrame, destinations: Sequence[str] | None = None) -> DataFrame:
+    """Delay rates of a matrix, one row per origin and one column per destination.
+
+    Without a list the columns are the destinations of the matrix, at most its k rows.
+    """
+    if destinations is None:
+        matrix = settle(matrix, "od-matrix")
+        found = matrix.select("destination").where("destination is not null").distinct()
+        destinations = sorted(row.destination for row in found.collect())
+    matrix = matrix.withColumn("destination", _listed("destination", destinations))
     return matrix.groupBy("origin").pivot("destination", list(destinations)).agg(
         fixed(F.avg("delay_rate_pct"), 1)
     )
@@ -215,14 +231,19 @@ def time_of_day(
     )
 
 
-def tod_pivot(by_slot: DataFrame, slots: Sequence[str] = SLOTS) -> DataFrame:
-    """Mean delays with one column per slot, in day order."""
+def tod_pivot(by_slot: DataFrame, slots: Sequence[str] | None = None) -> DataFrame:
+    """Mean delays with one column per slot, in day order; without a list, the slots in use."""
+    if slots is None:
+        by_slot = settle(by_slot, "by-slot")
+        slots = present_slots(by_slot)
+    by_slot = by_slot.withColumn("time_slot", _listed("time_slot", slots))
     return by_slot.groupBy("airport_code").pivot("time_slot", list(slots)).agg(
         F.first("avg_dep_delay")
     )
 
 
 def present_slots(by_slot: DataFrame) -> list[str]:
-    """The slots that occur, at most five, in day order."""
-    seen = {row.time_slot for row in by_slot.select("time_slot").distinct().head(len(SLOTS))}
-    return [slot for slot in SLOTS if slot in seen]
+    """The slots that occur, under whichever names, in day order; other names come last."""
+    seen = {row.time_slot for row in by_slot.select("time_slot").distinct().collect()} - {None}
+    ordered = [slot for pair in zip(SLOTS, LONG_SLOTS, strict=True) for slot in pair]
+    return [slot for slot in ordered if slot in seen] + sorted(seen - set(ordered))

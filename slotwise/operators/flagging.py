@@ -2,9 +2,10 @@
 
 import datetime as dt
 from collections.abc import Sequence
+from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from slotwise.config import DEFAULT_LIMITS, Limits
@@ -14,7 +15,6 @@ from slotwise.functions.measures import merge, rows, rows_where, summarise
 from slotwise.functions.rates import pct
 from slotwise.operators.keys import number_rows
 from slotwise.sources.schemas import SLA_BREACH_LOG
-from slotwise.sources.scratch import settle
 
 
 class Rule(NamedTuple):
@@ -85,27 +85,36 @@ def daily_counters(f: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     return summarise(flown(f), ["route_id", "flight_date"], _measures(limits))
 
 
-def window_days(
-    spark: SparkSession, windows: Sequence[int], eval_dates: Sequence[dt.date]
+def _trailing_totals(
+    ruled_counters: DataFrame, window: int, eval_dates: Sequence[dt.date]
 ) -> DataFrame:
-    """The days of every window that ends on an evaluation date.
+    """Running totals of each route over the days of one window length, at every evaluation date.
 
-    Its size depends on dates and rules only. It is written out so that the planner knows it.
+    Each counter row is read once: an empty row marks each evaluation date of each route, and a
+    range frame sums what lies before it. A route has one row for a day, so a frame's partition
+    is bounded by the calendar.
     """
-    ends = F.array(*[F.lit(d) for d in sorted(set(eval_dates))])
-    lengths = F.array(*[F.lit(w) for w in windows]).cast("array<int>")
-    return settle(
-        spark.range(1)
-        .select(F.explode(ends).alias("breach_date"))
-        .select("breach_date", F.explode(lengths).alias("window_days"))
-        .select(
-            "breach_date",
-            "window_days",
-            F.explode(
-                F.sequence(F.date_sub("breach_date", F.col("window_days")), F.col("breach_date"))
-            ).alias("flight_date"),
-        ),
-        "window-days",
+    of_window = ruled_counters.filter(F.col("window_days") == window)
+    dates = F.array(*[F.lit(d) for d in sorted(set(eval_dates))])
+    marks = of_window.select("route_id", *_RULE_KEYS).distinct().select(
+        "*",
+        F.explode(dates).alias("flight_date"),
+        F.lit(0).cast("bigint").alias("total_flights"),
+        F.lit(0).cast("bigint").alias("delayed_flights"),
+        F.lit(True).alias("_ends"),
+    )
+    counted = of_window.select(
+        "route_id", *_RULE_KEYS, "flight_date", "total_flights", "delayed_flights",
+        F.lit(False).alias("_ends"),
+    )
+    day = F.datediff("flight_date", F.lit(dt.date(1970, 1, 1)))
+    frame = Window.partitionBy("route_id", "rule_id").orderBy(day).rangeBetween(-window, 0)
+    return (
+        counted.unionByName(marks)
+        .withColumns({c: F.sum(c).over(frame) for c in ("total_flights", "delayed_flights")})
+        .filter("_ends")
+        .withColumnRenamed("flight_date", "breach_date")
+        .drop("_ends")
     )
 
 
@@ -119,19 +128,19 @@ def trailing_breaches(
 ) -> DataFrame:
     """Breaches on each evaluation date from daily counters.
 
-    For several dates the windows are spelled out day by day, which turns the range condition
-    into an equality, on one small row per route and day instead of the facts.
+    For several dates running totals per route replace the range condition, on one small row per
+    route and day instead of the facts.
     """
     ruled_counters = counters.join(ruled, "route_id")
-    if len(set(eval_dates)) == 1:
+    if len(set(eval_dates)) == 1 or not windows:
         end = F.lit(eval_dates[0])
         covered = ruled_counters.filter(
             F.col("flight_date").between(F.date_sub(end, F.col("window_days")), end)
         ).withColumn("breach_date", end)
+        totals = merge(covered, ["route_id", "breach_date", *_RULE_KEYS], _measures(limits))
     else:
-        days = window_days(counters.sparkSession, windows, eval_dates)
-        covered = ruled_counters.join(days, ["flight_date", "window_days"])
-    totals = merge(covered, ["route_id", "breach_date", *_RULE_KEYS], _measures(limits))
+        found = [_trailing_totals(ruled_counters, w, eval_dates) for w in windows]
+        totals = reduce(DataFrame.unionByName, found)
     return _over_threshold(totals, log, eval_dates)
 
 
@@ -175,7 +184,7 @@ def flag_breaches(
     limits: Limits = DEFAULT_LIMITS,
 ) -> DataFrame:
     """Routes over the threshold in the closed window that ends on ``as_of``."""
-    as_of = as_of or dt.date.today()
+    as_of = as_of or dt.datetime.now(dt.UTC).date()
     if per_carrier_rules:
         return backfill_breaches(f, r, rules, [as_of], log, True, limits)
     ruled, windows = ruled_routes(r, rules)
@@ -219,15 +228,29 @@ def number_breaches(
     )
 
 
+class UnknownBreaches(LookupError):
+    """Raised for ids that are not in the log; ``ids`` holds all of them, as a frame."""
+
+    def __init__(self, ids: DataFrame, count: int):
+        super().__init__(f"{UNKNOWN_ID}: {count} of the given ids, see the frame in .ids")
+        self.ids, self.count = ids, count
+
+
+def unknown_ids(log: DataFrame, ids: DataFrame) -> DataFrame:
+    """The distinct ids of ``ids`` that the log lacks."""
+    return ids.select("breach_id").distinct().join(log, "breach_id", "left_anti")
+
+
 def resolve_breaches(log: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The log with the given breaches resolved, and one status line per breach.
 
     An unknown id raises and nothing is resolved. ``ids`` has the column ``breach_id``.
     """
     wanted = ids.select("breach_id").distinct()
-    unknown = wanted.join(log, "breach_id", "left_anti").orderBy("breach_id").head(5)
-    if unknown:
-        raise LookupError(f"{UNKNOWN_ID}: {[row.breach_id for row in unknown]}")
+    unknown = unknown_ids(log, ids)
+    count = unknown.count()
+    if count:
+        raise UnknownBreaches(unknown, count)
     status = wanted.select(
         "breach_id",
         F.concat(F.lit(RESOLVED[0]), F.col("breach_id"), F.lit(RESOLVED[1])).alias("status"),

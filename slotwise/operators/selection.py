@@ -98,16 +98,16 @@ def above_route_avg_join(f: DataFrame, since: dt.date) -> DataFrame:
 
 
 def above_route_avg_corr(f: DataFrame, since: dt.date) -> DataFrame:
-    """The same rows by a correlated scalar subquery, which Catalyst turns into a join."""
+    """The same rows by a correlated mean over the facts, which Catalyst turns into a join."""
     return run_sql(
         f.sparkSession,
         """
         SELECT m.flight_id, m.arr_delay_mins
         FROM {recent} m
         WHERE m.arr_delay_mins > (
-            SELECT max(avg_delay) FROM {means} g WHERE g.route_id = m.route_id
+            SELECT avg(g.arr_delay_mins) FROM {facts} g WHERE g.route_id = m.route_id
         )
         """,
         recent=date_range(f, since),
-        means=route_means(f),
+        facts=f,
     )

@@ -6,26 +6,35 @@ adds nothing twice.
 """
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.filters import date_range, moment
-from slotwise.operators.audit import audit_new, missing_alerts, with_audit_ids
+from slotwise.functions.filters import MONTH_COLUMN, date_range, days_before, moment
+from slotwise.operators.audit import audit_new, audit_updates, missing_alerts, with_audit_ids
 from slotwise.operators.flagging import (
     current_log,
     flag_breaches,
     number_breaches,
     resolve_breaches,
 )
-from slotwise.operators.quality import accepted, rejected, validate
-from slotwise.sources.layout import write_audit, write_flights, write_quarantine
+from slotwise.operators.quality import (
+    REPEATED_KEY,
+    STORED_KEY,
+    accepted,
+    missing_reason,
+    rejected,
+    validate,
+)
+from slotwise.sources.layout import with_month, write_audit, write_flights, write_quarantine
 from slotwise.sources.schemas import (
     AUDIT_STORED,
+    FLIGHTS,
     FLIGHTS_STORED,
     PERIOD_COLUMN,
     QUARANTINE_STORED,
@@ -34,6 +43,10 @@ from slotwise.sources.schemas import (
 )
 from slotwise.sources.scratch import settle
 
+#: How far back a daily run looks for alerts that were never sent.
+REPAIR_DAYS = 31
+
+
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """A stored table, or no rows while nothing has been written there."""
     try:
@@ -54,28 +67,154 @@ def ingest_flights(
     limits: Limits = DEFAULT_LIMITS,
     clamp_early: bool = False,
 ) -> None:
-    """Validates arriving facts, stores the good ones, keeps the others aside, audits.
+    """Stores the facts that may be stored, keeps all others aside under a reason, audits.
 
-    What is there already is looked up in the months of the batch only.
+    Refused are rows that break a rule or lack a required value, further rows of a key in the
+    batch, and rows whose key is stored already with other values, in whatever month. A row that
+    is stored as it is counts as done, so a batch may be given again.
     """
     spark = incoming.sparkSession
-    checked = settle(validate(incoming, limits, clamp_early), "checked")
-    first, last = checked.agg(F.min("flight_date"), F.max("flight_date")).head()
-    if first is None:
-        return
-    good = accepted(checked)
-    stored = date_range(read_or_empty(spark, flights_path, FLIGHTS_STORED), first, last)
-    write_flights(_unless_in(good, stored.select("flight_id")), flights_path)
-    aside = date_range(read_or_empty(spark, quarantine_path, QUARANTINE_STORED), first, last)
-    bad = _unless_in(rejected(checked), aside.select("flight_id"))
-    write_quarantine(bad, quarantine_path)
-    audited = audited_records(spark, audit_path, "flights", first, last)
-    unaudited = _unless_in(good, audited.select(F.col("record_id").alias("flight_id")))
-    write_audit(with_audit_ids(audit_new(unaudited, changed_by, changed_at)), audit_path)
+    checked = validate(incoming.select(*FLIGHTS.names), limits, clamp_early)
+    reason = F.coalesce(missing_reason(), F.col("reject_reason"))
+    checked = settle(checked.withColumn("reject_reason", reason), "checked")
+    first, further = one_of_each_key(accepted(checked))
+    stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
+    here = settle(_clashes(first, stored), "keys-stored")
+    fresh = settle(_unless_in(first, here), "fresh")
+    other = first.join(here.filter("not same").select("flight_id"), "flight_id", "left_semi")
+    bad = reduce(
+        DataFrame.unionByName,
+        [
+            rejected(checked),
+            further.withColumn("reject_reason", F.lit(REPEATED_KEY)),
+            other.withColumn("reject_reason", F.lit(STORED_KEY)),
+        ],
+    )
+    write_quarantine(_not_aside(spark, bad, quarantine_path), quarantine_path)
+    write_flights(fresh, flights_path)
+    # rows of an earlier run that failed before it audited are audited now
+    done = _unless_in(first, here.filter("not same"))
+    start, end = done.agg(F.min("flight_date"), F.max("flight_date")).head()
+    if start is not None:
+        audited = audited_records(spark, audit_path, "flights", start, end)
+        unaudited = _unless_in(done, audited.select(F.col("record_id").alias("flight_id")))
+        write_audit(with_audit_ids(audit_new(unaudited, changed_by, changed_at)), audit_path)
+
+
+def _row_digest(names: Sequence[str]) -> Column:
+    """128 bits of a row, NULL values included."""
+    return F.md5(F.to_json(F.struct(*names), {"ignoreNullFields": "false"}))
+
+
+#: What makes two facts of a key the same; when a row was made does not count.
+CONTENT = [name for name in FLIGHTS.names if name != "created_at"]
+
+
+def one_of_each_key(f: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row of each ``flight_id``, all further rows).
+
+    Only keys that repeat are looked at row by row. Equal rows are counted first, so that a
+    key with any number of copies comes down to a few rows where they lie; the row of least
+    digest is kept.
+    """
+    keys = f.groupBy("flight_id").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    keys = settle(keys.select("flight_id"), "repeated-keys")
+    single = f.join(keys, "flight_id", "left_anti")
+    repeated = f.join(keys, "flight_id", "left_semi")
+    kinds = repeated.groupBy(*f.columns).agg(F.count(F.lit(1)).alias("_copies"))
+    kinds = settle(kinds.withColumn("_mark", F.xxhash64(_row_digest(f.columns))), "row-kinds")
+    least = kinds.groupBy("flight_id").agg(F.min("_mark").alias("_least"))
+    chosen = kinds.join(least, "flight_id").withColumn("_rest", F.col("_copies") - F.when(
+        F.col("_mark") == F.col("_least"), 1).otherwise(0))
+    kept = chosen.filter("_mark = _least").select(*f.columns)
+    further = chosen.filter("_rest > 0").select(
+        *f.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_rest")).alias("_copy")
+    )
+    return single.unionByName(kept), further.select(*f.columns)
+
+
+def _clashes(f: DataFrame, stored: DataFrame) -> DataFrame:
+    """(flight_id, same): keys of ``f`` that are stored, and whether the stored row is the same.
+
+    Of the stored facts only the key is read in all months; whole rows are read for keys that are
+    found, in the months that hold them.
+    """
+    given = f.select("flight_id", _row_digest(CONTENT).alias("_given"))
+    hit = settle(
+        stored.select("flight_id", MONTH_COLUMN).join(f.select("flight_id"), "flight_id", "left_semi"),
+        "hit-keys",
+    )
+    months = [row[0] for row in hit.select(MONTH_COLUMN).distinct().collect()]
+    known = (
+        stored.filter(F.col(MONTH_COLUMN).isin(months))
+        .join(hit.select("flight_id"), "flight_id", "left_semi")
+        .select("flight_id", _row_digest(CONTENT).alias("_stored"))
+    )
+    return known.join(given, "flight_id").groupBy("flight_id").agg(
+        F.bool_or(F.col("_stored") == F.col("_given")).alias("same")
+    )
+
+
+def _not_aside(spark: SparkSession, bad: DataFrame, path: str) -> DataFrame:
+    """Refused rows that are not kept aside yet; of equal rows, those beyond the number kept."""
+    aside = read_or_empty(spark, path, QUARANTINE_STORED)
+    names = [*CONTENT, "reject_reason"]
+    digest = _row_digest(names)
+    held = aside.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_held"))
+    made = F.max("created_at").alias("created_at")
+    kinds = bad.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"), made)
+    left = F.col("_copies") - F.coalesce("_held", F.lit(0))
+    return (
+        kinds.withColumn("_digest", digest)
+        .join(held, "_digest", "left")
+        .withColumn("_left", left)
+        .filter("_left > 0")
+        .select(*bad.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_left")).alias("_copy"))
+        .drop("_copy")
+    )
+
+
+def update_flights(
+    changes: DataFrame,
+    flights_path: str,
+    audit_path: str,
+    null_safe: bool = True,
+    changed_by: str | None = None,
+    changed_at: dt.datetime | None = None,
+    change_id: str = "",
+) -> DataFrame:
+    """Replaces stored facts by changed ones and audits the change; unknown keys are returned.
+
+    ``change_id`` names the batch, so that a fact may take the same change again later.
+
+    Only the months that hold a changed key, before or after, are written anew. The audit goes
+    first: a run that fails in between finds the same changes, under the same ids, again.
+    """
+    spark = changes.sparkSession
+    changes = settle(one_of_each_key(changes.select(*FLIGHTS.names))[0], "changes")
+    stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
+    keys = changes.select("flight_id")
+    old = settle(stored.join(keys, "flight_id", "left_semi"), "old-facts")
+    events = with_audit_ids(
+        audit_updates(
+            changes, old, null_safe=null_safe, changed_by=changed_by, changed_at=changed_at
+        ),
+        change_id,
+    )
+    known = read_or_empty(spark, audit_path, AUDIT_STORED).filter("operation = 'UPDATE'")
+    write_audit(events.join(known.select("audit_id"), "audit_id", "left_anti"), audit_path)
+    found = changes.join(old.select("flight_id"), "flight_id", "left_semi")
+    months = old.select(MONTH_COLUMN).unionByName(with_month(found).select(MONTH_COLUMN)).distinct()
+    touched = [row[0] for row in months.collect()]  # calendar months
+    if touched:
+        rest = stored.filter(F.col(MONTH_COLUMN).isin(touched)).join(keys, "flight_id", "left_anti")
+        whole = rest.select(*FLIGHTS.names).unionByName(found)
+        write_flights(settle(whole, "touched-months"), flights_path, "overwrite")
+    return changes.join(old.select("flight_id"), "flight_id", "left_anti")
 
 
 def _unless_in(rows: DataFrame, known: DataFrame) -> DataFrame:
-    return rows.join(known, "flight_id", "left_anti")
+    return rows.join(known.select("flight_id"), "flight_id", "left_anti")
 
 
 def audited_records(
@@ -103,7 +242,7 @@ def run_daily_breaches(
     limits: Limits = DEFAULT_LIMITS,
 ) -> int:
     """Flags, logs and announces the breaches of a day; returns how many were new."""
-    day = as_of or dt.date.today()
+    day = as_of or dt.datetime.now(dt.UTC).date()
 
     def find(log: DataFrame) -> DataFrame:
         return flag_breaches(f, r, rules, log, day, per_carrier_rules, limits)
@@ -125,11 +264,11 @@ def append_breaches(
     stamp = F.current_timestamp() if now is None else moment(now)
     fresh = settle(number_breaches(find(log), stamp, last), "new-breaches")
     fresh.write.mode("append").parquet(log_path)
-    of_day = spark.read.schema(SLA_BREACH_LOG).parquet(log_path).filter(
-        F.col("breach_date") == F.lit(day)
-    )
-    sent = audited_records(spark, audit_path, "sla_breach_log", day, day)
-    write_audit(with_audit_ids(missing_alerts(of_day, sent, changed_at=now)), audit_path)
+    # a run that died between log and alerts may lie some days back
+    since = days_before(day, REPAIR_DAYS)
+    recent = date_range(spark.read.schema(SLA_BREACH_LOG).parquet(log_path), since, day, "breach_date")
+    sent = audited_records(spark, audit_path, "sla_breach_log", since, day)
+    write_audit(with_audit_ids(missing_alerts(recent, sent, changed_at=now)), audit_path)
     return fresh.count()
 
 

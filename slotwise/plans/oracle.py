@@ -6,7 +6,8 @@ once, and finds breaches with a range join over the facts.
 
 from slotwise.config import CAUSES
 from slotwise.plans import registry as q
-from slotwise.sources.exports import DISPLAY
+from slotwise.sources.exports import DISPLAY, RENAMED
+from slotwise.sources.schemas import DOMAINS, LENGTHS, TABLES
 from slotwise.sources.star import AS_OF, RULES, WEEKLY
 
 
@@ -352,7 +353,7 @@ _COUNTERS = f"""
 
 def all_sql() -> dict[str, str]:
     today = f"(SELECT {day(AS_OF)} AS breach_date)"
-    return {
+    found = {
         "carrier_ranking": sql("SELECT * FROM ranking", _ALL_YEAR),
         "carrier_ranking_one_carrier": sql(
             "SELECT * FROM ranking",
@@ -407,12 +408,8 @@ def all_sql() -> dict[str, str]:
         ),
         "od_matrix": sql("SELECT * FROM pairs", _PAIRS),
         "od_pivot": sql(
-            "SELECT origin, "
-            + ", ".join(
-                f"max(delay_rate_pct) FILTER (WHERE destination = '{n}') AS \"{n}\""
-                for n in range(25)
-            )
-            + " FROM pairs GROUP BY origin",
+            """SELECT * FROM (PIVOT (SELECT origin, destination, delay_rate_pct FROM pairs)
+                   ON destination USING max(delay_rate_pct) GROUP BY origin)""",
             _PAIRS,
         ),
         "time_of_day": sql("SELECT * FROM slots", _SLOTS),
@@ -559,11 +556,11 @@ def all_sql() -> dict[str, str]:
         ),
         "carriers_with_severe_in": sql(
             """SELECT carrier_code, carrier_name FROM airlines WHERE carrier_code IN (
-                   SELECT carrier_code FROM f WHERE arr_delay_mins >= 60)"""
+                   SELECT carrier_code FROM f WHERE arr_delay_mins >= 478)"""
         ),
         "carriers_with_severe_exists": sql(
             """SELECT carrier_code, carrier_name FROM airlines a WHERE EXISTS (
-                   SELECT 1 FROM f WHERE f.carrier_code = a.carrier_code AND arr_delay_mins >= 60)"""
+                   SELECT 1 FROM f WHERE f.carrier_code = a.carrier_code AND arr_delay_mins >= 478)"""
         ),
         **{
             name: sql(
@@ -585,10 +582,7 @@ def all_sql() -> dict[str, str]:
                       WHERE n.arr_delay_mins <> e.arr_delay_mins
                       OR n.dep_delay_mins <> e.dep_delay_mins OR n.cancelled <> e.cancelled"""),
             _OLD,
-            """former AS (
-                SELECT DISTINCT ON (flight_id) * FROM earlier
-                ORDER BY flight_id, arr_delay_mins, dep_delay_mins, cancelled, diverted
-            )""",
+            "former AS (SELECT * FROM earlier QUALIFY count(*) OVER (PARTITION BY flight_id) = 1)",
         ),
         "breach_alerts": sql(
             _audit(
@@ -692,14 +686,138 @@ def all_sql() -> dict[str, str]:
                 FROM flights GROUP BY ALL"""
         ),
         "stream_audit": sql(
-            _audit("flights", "INSERT", "flight_id", "NULL::VARCHAR", _INSERT_JSON, "flights")
+            """SELECT md5(json_object('table_name', table_name, 'operation', operation,
+                       'record_id', record_id, 'new_values', new_values, 'col6', '')::VARCHAR)
+                       AS audit_id, *
+               FROM events""",
+            "events AS ({})".format(
+                _audit("flights", "INSERT", "flight_id", "NULL::VARCHAR", _INSERT_JSON, "flights")
+            ),
+        ),
+        "stream_daily_counts": sql(
+            f"""SELECT *, flight_date < (SELECT max(flight_date) FROM flown) - 3 AS closed
+                FROM ({_COUNTERS})"""
         ),
-        "stream_daily_counts": sql(_COUNTERS),
         "stream_counters": sql(_COUNTERS),
         "stream_breaches": sql(
-            f"""SELECT row_number() OVER (ORDER BY route_id) AS breach_id,
-                       {_BREACH_COLUMNS}, 0 AS resolved
-                FROM ({_evaluated("(SELECT max(flight_date) AS breach_date FROM flown)", "rule_id = 1")})
-                WHERE delay_rate_pct > max_rate"""
+            f"""SELECT date_diff('day', DATE '1970-01-01', breach_date) * 4294967296 + route_id
+                       AS breach_id, {_BREACH_COLUMNS}, 0 AS resolved
+                FROM ({_evaluated("every_day", "rule_id = 1")}) WHERE delay_rate_pct > max_rate""",
+            """every_day AS (SELECT unnest(generate_series(min(flight_date), max(flight_date),
+                   INTERVAL 1 DAY))::DATE AS breach_date FROM flown)""",
+        ),
+        "breach_backfill_daily": sql(
+            f"""SELECT {_BREACH_COLUMNS} FROM ({_evaluated("last_quarter", "rule_id = 1")})
+                WHERE delay_rate_pct > max_rate""",
+            """last_quarter AS (SELECT unnest(generate_series(DATE '2023-10-01',
+                   DATE '2023-12-31', INTERVAL 1 DAY))::DATE AS breach_date)""",
+        ),
+        "ingest_outcomes": sql(
+            f"""SELECT 'facts' AS outcome, count(DISTINCT flight_id) AS row_count FROM good
+                UNION ALL SELECT 'audit', count(DISTINCT flight_id) FROM good
+                UNION ALL SELECT 'missing flight_number', count(*) FROM flights
+                    WHERE flight_id % 90 = 1 HAVING count(*) > 0
+                UNION ALL SELECT 'missing flight_date', count(*) FROM flights
+                    WHERE flight_id % 110 = 2 HAVING count(*) > 0
+                UNION ALL SELECT 'second row of a key', sum(n)::BIGINT FROM (
+                    SELECT count(*) - count(DISTINCT flight_id)
+                           + count(*) FILTER (WHERE flight_id % 50 = 0) AS n FROM good
+                    UNION ALL SELECT count(*) - count(DISTINCT flight_id) FROM good
+                    WHERE flight_id % 70 = 3) HAVING sum(n) > 0
+                UNION ALL SELECT 'key is stored already', count(DISTINCT flight_id) FROM good
+                    WHERE flight_id % 70 = 3 HAVING count(*) > 0
+                UNION ALL SELECT 'cause minutes exceed arrival delay', sum(1
+                    + (flight_id % 50 = 0)::INTEGER + (flight_id % 70 = 3)::INTEGER)::BIGINT
+                    FROM flights WHERE {_REJECT} HAVING count(*) > 0""",
+            f"good AS (SELECT * FROM flights WHERE NOT ({_REJECT}))",
+        ),
+        "update_outcomes": sql(
+            """SELECT 'facts' AS outcome, count(DISTINCT flight_id) AS row_count,
+                      sum(arr_delay_mins)::BIGINT AS arr_delay_mins
+               FROM flights WHERE flight_date < DATE '2023-12-01'
+               UNION ALL SELECT 'audit', count(*), NULL::BIGINT FROM flights
+                   WHERE flight_date < DATE '2023-12-01' AND scheduled_dep >= 1800
+               UNION ALL SELECT 'unknown', count(*), NULL::BIGINT FROM flights
+                   WHERE flight_date >= DATE '2023-12-01'"""
+        ),
+        "ontime_roundtrip": sql(
+            """SELECT 'kept' AS outcome, count(*) AS row_count,
+                      count(*) FILTER (WHERE flight_id % 40 <> 1 OR cancelled = 1) AS known_delays,
+                      sum(arr_delay_mins) FILTER (WHERE flight_id % 40 <> 1)::BIGINT
+                          AS arr_delay_mins
+               FROM flights WHERE flight_id % 40 NOT IN (0, 2, 3, 4)
+               UNION ALL SELECT 'refused', count(*), NULL::BIGINT, NULL::BIGINT FROM flights
+               WHERE flight_id % 40 IN (0, 2, 3, 4)"""
+        ),
+        "declared_duplicates": sql(_declared_duplicates()),
+        "declared_counts": sql(_declared_counts()),
+    }
+    for name, report in q.REPORTS.items():
+        found[f"export_{name}"] = _exported(name, found[report.__name__])
+    return found
+
+
+def _exported(name: str, text: str) -> str:
+    shown = DISPLAY[name]
+    if shown is None:
+        return text
+    labels = RENAMED.get(name, {})
+    names = [labels.get(c, c) for c in shown]
+    alone = [n if names.index(n) == i else f"{n} {i + 1}" for i, n in enumerate(names)]
+    columns = ", ".join(f'{c} AS "{n}"' for c, n in zip(shown, alone, strict=True))
+    return f"SELECT {columns} FROM ({text})"
+
+
+def _declared_duplicates() -> str:
+    rows = [
+        ("airlines", "carrier_code", f"airlines WHERE carrier_code = '{q.CARRIER}'"),
+        ("airports", "airport_code", "airports WHERE state = 'ASIA'"),
+        ("routes", "route_id", "routes WHERE route_id % 100 = 7"),
+        ("routes", "carrier_code, origin, destination", "routes WHERE route_id % 100 = 7"),
+        ("sla_rules", "rule_id", "rules WHERE rule_id = 1"),
+        ("sla_breach_log", "breach_id", "breach_log WHERE breach_id % 500 = 13"),
+        ("sla_breach_log", "route_id, breach_date, rule_id",
+         "breach_log WHERE breach_id % 500 = 13"),
+        ("audit_log", "audit_id",
+         "(SELECT flight_id AS id FROM flights UNION ALL SELECT breach_id FROM breach_log) "
+         "WHERE id % 500 = 11"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT '{table}' AS table_name, '{key}' AS key_columns, count(*) AS keys, "
+        f"sum(n)::BIGINT AS row_count FROM ({source}) HAVING count(*) > 0"
+        for table, key, source in (
+            (table, key, f"SELECT 2 AS n FROM {source}") for table, key, source in rows
+        )
+    ) + """ UNION ALL SELECT 'flights', 'flight_id', count(*), sum(n)::BIGINT FROM (
+        SELECT sum(CASE WHEN flight_id % 500 = 11 THEN 2 ELSE 1 END) AS n FROM flights
+        GROUP BY flight_id HAVING n > 1) HAVING count(*) > 0"""
+
+
+def _declared_counts() -> str:
+    """Nothing is missing but what the query removes, and no value is outside its domain."""
+    gone = {
+        "airlines": ("carrier_name", f"airlines WHERE carrier_code = '{q.CARRIER}'"),
+        "airports": ("city", "airports WHERE state = 'ASIA'"),
+        "routes": ("scheduled_mins", "routes WHERE route_id % 100 = 7"),
+        "flights": ("flight_number", "flights WHERE flight_id % 500 = 11"),
+        "sla_rules": ("window_days", "rules WHERE rule_id = 1"),
+        "sla_breach_log": ("rule_id", "breach_log WHERE breach_id % 500 = 13"),
+        "audit_log": (
+            "operation",
+            "(SELECT flight_id AS id FROM flights UNION ALL SELECT breach_id FROM breach_log) "
+            "WHERE id % 500 = 11",
         ),
     }
+    lines = []
+    for table, schema in TABLES.items():
+        checks = [(f.name, "missing") for f in schema if not f.nullable]
+        checks += [(c, "outside domain") for c in DOMAINS.get(table, {})]
+        checks += [(c, "too long") for c in LENGTHS.get(table, {})]
+        for column, problem in checks:
+            hit = (column, problem) == (gone[table][0], "missing")
+            count = f"(SELECT count(*) FROM {gone[table][1]})" if hit else "0::BIGINT"
+            lines.append(
+                f"SELECT '{table}' AS table_name, '{column}' AS column_name, "
+                f"'{problem}' AS problem, {count} AS row_count"
+            )
+    return " UNION ALL ".join(lines)

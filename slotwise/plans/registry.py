@@ -6,7 +6,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
+from slotwise.config import Limits
 from slotwise.functions.filters import flown, months_before
 from slotwise.operators import (
     airports,
@@ -21,11 +23,13 @@ from slotwise.operators import (
     selection,
     views,
 )
+from slotwise.plans.jobs import ingest_flights, update_flights
 from slotwise.sources import retail
 from slotwise.sources import tables as stored
 from slotwise.sources.exports import displayed, export_reports
-from slotwise.sources.layout import read_flights, write_flights
-from slotwise.sources.schemas import FLIGHTS, SLA_BREACH_LOG
+from slotwise.sources.layout import read_audit, read_flights, write_flights
+from slotwise.sources.ontime_csv import COLUMNS, ontime_flights, ontime_routes, read_ontime
+from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, TABLES
 from slotwise.sources.scratch import scratch_path
 from slotwise.sources.star import AS_OF, WEEKLY, Star, open_star
 from slotwise.streaming import jobs
@@ -36,6 +40,9 @@ ROUTE_ID = 42
 SINCE = dt.date(2023, 6, 1)
 QUARTER = (dt.date(2023, 1, 1), dt.date(2023, 3, 31))
 NOW = dt.datetime(2023, 12, 31, 18)
+#: Delays so long that some carriers have none.
+RARE = Limits(severe_mins=478)
+DAILY = [dt.date(2023, 10, 1) + dt.timedelta(days=day) for day in range(92)]
 
 _QUERIES: dict[str, Callable[[Star], DataFrame]] = {}
 
@@ -115,8 +122,7 @@ def od_matrix(s: Star) -> DataFrame:
 
 @query
 def od_pivot(s: Star) -> DataFrame:
-    destinations = [str(nation) for nation in range(25)]
-    return airports.od_pivot(od_matrix(s), destinations)
+    return airports.od_pivot(od_matrix(s))
 
 
 @query
@@ -126,8 +132,7 @@ def time_of_day(s: Star) -> DataFrame:
 
 @query
 def tod_pivot(s: Star) -> DataFrame:
-    by_slot = time_of_day(s)
-    return airports.tod_pivot(by_slot, airports.present_slots(by_slot))
+    return airports.tod_pivot(time_of_day(s))
 
 
 # Breach log reports
@@ -249,6 +254,12 @@ def breach_backfill(s: Star) -> DataFrame:
     return _found(flagging.backfill_breaches(s.flights, s.routes, s.rules, WEEKLY))
 
 
+@query
+def breach_backfill_daily(s: Star) -> DataFrame:
+    """Every day of the last quarter."""
+    return _found(flagging.backfill_breaches(s.flights, s.routes, s.rules, DAILY))
+
+
 @query
 def resolve_breaches(s: Star) -> DataFrame:
     """Resolves every critical breach of the last evaluation."""
@@ -274,12 +285,12 @@ def route_slice(s: Star) -> DataFrame:
 
 @query
 def carriers_with_severe_in(s: Star) -> DataFrame:
-    return selection.carriers_with_severe_in(s.flights, s.routes, s.airlines)
+    return selection.carriers_with_severe_in(s.flights, s.routes, s.airlines, RARE)
 
 
 @query
 def carriers_with_severe_exists(s: Star) -> DataFrame:
-    return selection.carriers_with_severe_exists(s.flights, s.routes, s.airlines)
+    return selection.carriers_with_severe_exists(s.flights, s.routes, s.airlines, RARE)
 
 
 @query
@@ -393,7 +404,7 @@ def dep_arr_drift(s: Star) -> DataFrame:
 @query
 def route_dimension(s: Star) -> DataFrame:
     """Rebuilt from the natural keys of the facts."""
-    keyed = s.flights.select("route_id").join(s.routes, "route_id")
+    keyed = s.flights.select("route_id").distinct().join(s.routes, "route_id")
     return keys.route_dimension(
         keyed, retail.scheduled_mins(), sort_code=lambda code: code.cast("int")
     )
@@ -402,8 +413,9 @@ def route_dimension(s: Star) -> DataFrame:
 # Sources and sinks
 
 
-@query
-def load_counts(s: Star) -> DataFrame:
+def _stored_tables(s: Star) -> dict[str, DataFrame]:
+    """All seven tables as they are loaded from files."""
+    events = audit.audit_new(s.flights).unionByName(audit.breach_alerts(s.breach_log))
     tables = {
         "airlines": s.airlines,
         "airports": s.airports,
@@ -411,15 +423,153 @@ def load_counts(s: Star) -> DataFrame:
         "flights": s.flights,
         "sla_rules": s.rules,
         "sla_breach_log": s.breach_log,
-        "audit_log": audit.audit_new(s.flights).unionByName(audit.breach_alerts(s.breach_log)),
+        "audit_log": audit.with_audit_ids(events),
     }
+    root = scratch_path(s.spark, "seven-tables")
+    for name, df in tables.items():
+        df.select(*[c for c in TABLES[name].names if c in df.columns]).write.parquet(f"{root}/{name}")
+    return {name: stored.load(s.spark, name, f"{root}/{name}") for name in tables}
+
+
+@query
+def load_counts(s: Star) -> DataFrame:
     counts = [
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("row_count"))
-        for name, df in tables.items()
+        for name, df in _stored_tables(s).items()
     ]
     return reduce(DataFrame.unionByName, counts)
 
 
+@query
+def declared_duplicates(s: Star) -> DataFrame:
+    """Every declared key of every table, after some rows were loaded twice."""
+    tables = _stored_tables(s)
+    twice = {
+        "airlines": F.col("carrier_code") == CARRIER,
+        "airports": F.col("state") == "ASIA",
+        "routes": F.col("route_id") % 100 == 7,
+        "flights": F.col("flight_id") % 500 == 11,
+        "sla_rules": F.col("rule_id") == 1,
+        "sla_breach_log": F.col("breach_id") % 500 == 13,
+        "audit_log": F.col("record_id") % 500 == 11,
+    }
+    found = [
+        quality.declared_duplicates(df.unionByName(df.filter(twice[name])), name)
+        for name, df in tables.items()
+    ]
+    # the id of an event is a digest; its record says as much
+    return reduce(DataFrame.unionByName, found).groupBy("table_name", "key_columns").agg(
+        F.count(F.lit(1)).alias("keys"), F.sum("row_count").alias("row_count")
+    )
+
+
+@query
+def declared_counts(s: Star) -> DataFrame:
+    """What each table declares of its columns, with required values of some rows removed."""
+    gone = {
+        "airlines": ("carrier_name", F.col("carrier_code") == CARRIER),
+        "airports": ("city", F.col("state") == "ASIA"),
+        "routes": ("scheduled_mins", F.col("route_id") % 100 == 7),
+        "flights": ("flight_number", F.col("flight_id") % 500 == 11),
+        "sla_rules": ("window_days", F.col("rule_id") == 1),
+        "sla_breach_log": ("rule_id", F.col("breach_id") % 500 == 13),
+        "audit_log": ("operation", F.col("record_id") % 500 == 11),
+    }
+    found = []
+    for name, df in _stored_tables(s).items():
+        column, where = gone[name]
+        spoiled = df.withColumn(column, F.when(~where, F.col(column)))
+        found.append(quality.declared_counts(spoiled, name))
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def ingest_outcomes(s: Star) -> DataFrame:
+    """Three batches: facts with copies and missing values, other rows of stored keys, and the
+    first batch again."""
+    root = scratch_path(s.spark, "ingest")
+    paths = [f"{root}/{name}" for name in ("flights", "quarantine", "audit")]
+    base = s.flights.select(*FLIGHTS.names)
+    key = F.col("flight_id")
+    first = reduce(
+        DataFrame.unionByName,
+        [
+            base,
+            base.filter(key % 50 == 0),
+            base.filter(key % 90 == 1).withColumn("flight_number", F.lit(None).cast("string")),
+            base.filter(key % 110 == 2).withColumn("flight_date", F.lit(None).cast("date")),
+        ],
+    )
+    moved = base.filter(key % 70 == 3).withColumn("flight_date", F.date_add("flight_date", 31))
+    for batch in (first, moved, first):
+        ingest_flights(batch, *paths, changed_by="loader", changed_at=NOW)
+    facts = read_flights(s.spark, paths[0]).agg(F.count(F.lit(1)).alias("row_count"))
+    events = read_audit(s.spark, paths[2]).agg(F.count(F.lit(1)).alias("row_count"))
+    aside = s.spark.read.schema(QUARANTINE_STORED).parquet(paths[1]).groupBy("reject_reason").agg(
+        F.count(F.lit(1)).alias("row_count")
+    )
+    return (
+        facts.select(F.lit("facts").alias("outcome"), "row_count")
+        .unionByName(events.select(F.lit("audit").alias("outcome"), "row_count"))
+        .unionByName(aside.select(F.col("reject_reason").alias("outcome"), "row_count"))
+    )
+
+
+@query
+def update_outcomes(s: Star) -> DataFrame:
+    """Stored facts of the old state, brought to the present one; what is stored and audited."""
+    root = scratch_path(s.spark, "update")
+    paths = f"{root}/flights", f"{root}/audit"
+    write_flights(_old_state(s), paths[0])
+    for _ in range(2):
+        unknown = update_flights(
+            s.flights.select(*FLIGHTS.names), *paths, changed_by="loader", changed_at=NOW
+        )
+    facts = read_flights(s.spark, paths[0]).agg(
+        F.count(F.lit(1)).alias("row_count"), F.sum("arr_delay_mins").alias("arr_delay_mins")
+    )
+    events = read_audit(s.spark, paths[1]).agg(F.count(F.lit(1)).alias("row_count"))
+    none = F.lit(None).cast("bigint").alias("arr_delay_mins")
+    return (
+        facts.select(F.lit("facts").alias("outcome"), "row_count", "arr_delay_mins")
+        .unionByName(events.select(F.lit("audit").alias("outcome"), "row_count", none))
+        .unionByName(
+            unknown.agg(F.count(F.lit(1)).alias("row_count")).select(
+                F.lit("unknown").alias("outcome"), "row_count", none
+            )
+        )
+    )
+
+
+@query
+def ontime_roundtrip(s: Star) -> DataFrame:
+    """Facts written as an on-time file, some values spoiled, and loaded again."""
+    path = scratch_path(s.spark, "ontime")
+    case = F.col("flight_id") % 40
+    text = {name: F.col(name).cast("string") for name in COLUMNS if name != "scheduled_elapsed"}
+    text["scheduled_elapsed"] = F.col("scheduled_mins").cast("string")
+    text["arr_delay_mins"] = (
+        F.when(case == 0, "4O").when(case == 1, None).when(case == 2, "7.9")
+        .otherwise(text["arr_delay_mins"])
+    )
+    text["cancelled"] = F.when(case == 3, "yes").otherwise(text["cancelled"])
+    text["flight_date"] = F.when(case == 4, "soon").otherwise(text["flight_date"])
+    lines = s.flights.join(s.routes, "route_id")
+    lines.select(*[text[name].alias(source) for name, source in COLUMNS.items()]).write.option(
+        "header", True
+    ).csv(path)
+    keyed, bad = read_ontime(s.spark, path)
+    facts = ontime_flights(keyed, ontime_routes(keyed))
+    measures = [
+        F.count(F.lit(1)).alias("row_count"),
+        F.count("arr_delay_mins").alias("known_delays"),
+        F.sum(F.col("arr_delay_mins")).alias("arr_delay_mins"),
+    ]
+    kept = facts.agg(*measures).select(F.lit("kept").alias("outcome"), "*")
+    refused = bad.agg(*measures).select(F.lit("refused").alias("outcome"), "row_count")
+    return kept.unionByName(refused, allowMissingColumns=True)
+
+
 @query
 def append_facts(s: Star) -> DataFrame:
     """Two appends to one table, read back per month."""
@@ -455,18 +605,54 @@ def export_roundtrip(s: Star) -> DataFrame:
     return s.spark.read.schema(schema).option("header", True).csv(f"{path}/carrier_rankings")
 
 
-# Streams
+REPORTS = {
+    "mom_trend": monthly_trend,
+    "root_cause": root_cause,
+    "airport_stats": departure_bottlenecks,
+    "propagation": delay_propagation,
+    "route_heatmap": od_matrix,
+    "time_of_day": time_of_day,
+    "active_breaches": active_breaches,
+    "chronic_offenders": chronic_offenders,
+    "sla_compliance": sla_compliance,
+}
+
+
+def _exported(name: str, report: Callable[[Star], DataFrame]) -> Callable[[Star], DataFrame]:
+    def run(s: Star) -> DataFrame:
+        found = report(s)
+        path = scratch_path(s.spark, f"{name}-csv")
+        export_reports({name: found}, path)
+        schema = displayed(name, found).schema
+        # two columns may be shown under one name; a frame needs two
+        names = [f.name for f in schema]
+        alone = [n if names.index(n) == i else f"{n} {i + 1}" for i, n in enumerate(names)]
+        unique = StructType([StructField(n, f.dataType) for n, f in zip(alone, schema, strict=True)])
+        return s.spark.read.schema(unique).option("header", True).csv(f"{path}/{name}")
+
+    return run
+
+
+for _name, _report in REPORTS.items():
+    _QUERIES[f"export_{_name}"] = _exported(_name, _report)
+
+
+# Streams: a few files at a time, in the order they were written
+FILES = 3
 
 
 def _run(started) -> None:
     started.awaitTermination()
 
 
+def _fact_stream(s: Star) -> DataFrame:
+    return jobs.flight_stream(s.spark, s.flights_path, max_files_per_trigger=FILES)
+
+
 @query
 def stream_validate(s: Star) -> DataFrame:
     path = scratch_path(s.spark, "stream-validate")
-    stream = jobs.flight_stream(s.spark, s.flights_path)
-    _run(jobs.validate_stream(stream, f"{path}/out", f"{path}/checkpoint"))
+    _run(jobs.validate_stream(_fact_stream(s), f"{path}/out", f"{path}/checkpoint"))
     return (
         jobs.read_validated(s.spark, f"{path}/out")
         .groupBy("outcome", "reject_reason")
@@ -477,39 +663,33 @@ def stream_validate(s: Star) -> DataFrame:
 @query
 def stream_audit(s: Star) -> DataFrame:
     path = scratch_path(s.spark, "stream-audit")
-    stream = jobs.flight_stream(s.spark, s.flights_path)
-    _run(jobs.audit_stream(stream, f"{path}/out", f"{path}/checkpoint"))
-    return _without_stamp(s.spark.read.parquet(f"{path}/out"))
+    _run(jobs.audit_stream(_fact_stream(s), f"{path}/out", f"{path}/checkpoint"))
+    events = read_audit(s.spark, f"{path}/out")
+    return events.select(
+        "audit_id", "table_name", "operation", "record_id", "old_values", "new_values"
+    )
 
 
 @query
 def stream_daily_counts(s: Star) -> DataFrame:
-    """Event-time windows with a watermark."""
-    path = scratch_path(s.spark, "stream-windows")
-    stream = jobs.flight_stream(s.spark, s.flights_path)
-    _run(jobs.windowed_counter_stream(stream, f"{path}/out", f"{path}/checkpoint"))
-    return jobs.read_windowed_counters(s.spark, f"{path}/out")
+    """Daily counts, and which days are closed to the feed's lateness."""
+    path = scratch_path(s.spark, "stream-days")
+    _run(jobs.counter_stream(_fact_stream(s), f"{path}/out", f"{path}/checkpoint"))
+    return jobs.read_closed_counters(s.spark, f"{path}/out")
 
 
 @query
 def stream_counters(s: Star) -> DataFrame:
-    """Additive counters, a few files per batch."""
+    """Additive counters."""
     path = scratch_path(s.spark, "stream-counters")
-    stream = jobs.flight_stream(s.spark, s.flights_path, max_files_per_trigger=4)
-    _run(jobs.counter_stream(stream, f"{path}/out", f"{path}/checkpoint"))
+    _run(jobs.counter_stream(_fact_stream(s), f"{path}/out", f"{path}/checkpoint"))
     return jobs.read_counters(s.spark, f"{path}/out")
 
 
 @query
 def stream_breaches(s: Star) -> DataFrame:
+    """The breaches of every day of the feed, as they stand once all of it has come."""
     path = scratch_path(s.spark, "stream-breaches")
-    stream = jobs.flight_stream(s.spark, s.flights_path)
-    log_path = f"{path}/log"
-    _run(
-        jobs.breach_stream(
-            stream, s.routes, s.rules, f"{path}/counters", log_path, f"{path}/audit",
-            f"{path}/checkpoint", now=NOW,
-        )
-    )
-    log = s.spark.read.schema(SLA_BREACH_LOG).parquet(log_path)
+    _run(jobs.breach_stream(_fact_stream(s), s.routes, s.rules, f"{path}/out", f"{path}/checkpoint"))
+    log = jobs.log_breaches(s.spark, f"{path}/out", f"{path}/audit", NOW)
     return _found(log).drop("created_at")

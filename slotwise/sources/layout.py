@@ -12,8 +12,7 @@ from slotwise.sources.schemas import (
     PERIOD_COLUMN,
 )
 
-# The members of an audit image that date its record.
-AUDIT_DATES = ("flight_date", "breach_date")
+RECORD_DATE = "record_date"
 
 
 def with_month(f: DataFrame) -> DataFrame:
@@ -21,18 +20,19 @@ def with_month(f: DataFrame) -> DataFrame:
 
 
 def write_flights(f: DataFrame, path: str, mode: str = "append") -> None:
-    """Partition by month, sorted by route and date inside each file.
+    """Partition by month; ranges of route and date inside a month go to files of their own.
 
-    The rebalance hint shuffles rows by month and lets adaptive execution cut a large month
-    into many even tasks and merge small ones, so file sizes do not depend on how the months
-    are filled. The sort narrows the page statistics inside each file, so reading one route skips
-    most pages.
+    Rows are dealt by ranges of (month, route, date, id) that a sample makes even, so a full month is
+    cut into many files that each hold few routes, and a route that fills a month is cut by date.
+    Reading one route then opens a few files of a month, and skips most pages of these.
     """
     (
         with_month(f)
-        .hint("rebalance", F.col(MONTH_COLUMN))
+        .repartitionByRange(MONTH_COLUMN, "route_id", "flight_date", "flight_id")
         .sortWithinPartitions(MONTH_COLUMN, "route_id", "flight_date")
         .write.mode(mode)
+        # overwriting replaces the months that are written and leaves the others
+        .option("partitionOverwriteMode", "dynamic")
         .partitionBy(MONTH_COLUMN)
         .parquet(path)
     )
@@ -56,13 +56,12 @@ def read_flights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_audit(rows: DataFrame, path: str) -> None:
-    """Partition by table and by the month of the audited record, 0 where its image has none.
+    """Partition by table and by the month of the audited record, 0 where it has none.
 
     The change log grows with the facts; this lets a job look up the events of its own
     records without reading the rest.
     """
-    dated = F.coalesce(*[F.get_json_object("new_values", f"$.{name}") for name in AUDIT_DATES])
-    period = F.coalesce(month_number(dated.cast("date")), F.lit(0))
+    period = F.coalesce(month_number(F.col(RECORD_DATE)), F.lit(0))
     (
         rows.select(*AUDIT_LOG.names, period.alias(PERIOD_COLUMN))
         .hint("rebalance", F.col("table_name"), F.col(PERIOD_COLUMN))

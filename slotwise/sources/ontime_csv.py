@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from slotwise.operators.keys import route_dimension
-from slotwise.sources.schemas import FLIGHTS
+from slotwise.sources.schemas import DEFAULTS, FLIGHTS
 from slotwise.sources.tables import fill_defaults, normalise_codes
 
 # Target field and its column in the public on-time performance download.
@@ -36,6 +36,7 @@ COLUMNS = {
 TEXTS = ("carrier_code", "flight_number", "origin", "destination")
 REQUIRED = ("flight_date", *TEXTS, "scheduled_dep", "scheduled_arr")
 BROKEN = "_broken_line"
+WRONG = "_wrong_value"
 
 
 def read_ontime(
@@ -47,7 +48,9 @@ def read_ontime(
     """Typed rows keyed by carrier, origin and destination, and the lines that do not fit.
 
     Only one header is read ahead, for the column order; a file with another order is an error.
-    Every field is then cast by what it is for, and a value that cannot be cast is missing.
+    Every field is then cast by what it is for. A blank is a missing value; anything else that
+    cannot be cast, or is no whole number, makes the line one that does not fit. The delays of a
+    cancelled movement are 0 where they are blank. Columns that the file lacks are left out.
     """
     header = spark.read.option("header", True).csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in [*header, BROKEN]])
@@ -57,19 +60,36 @@ def read_ontime(
         .option("enforceSchema", False)
         .csv(path)
     )
-    fields = {}
+    fields, wrong = {}, F.lit(False)
     for field, source in columns.items():
+        if source not in header and field not in REQUIRED:
+            continue
+        given = F.trim(source)
         if field == "flight_date":
             fields[field] = F.try_to_timestamp(source, F.lit(date_format)).cast("date")
         elif field in TEXTS:
-            fields[field] = F.trim(source)
+            fields[field] = given
         else:
-            fields[field] = F.col(source).try_cast("double").try_cast("int")
-    typed = raw.select(*[value.alias(name) for name, value in fields.items()], BROKEN)
-    complete = F.col(BROKEN).isNull()
+            number = given.try_cast("double")
+            fields[field] = F.when(number == F.floor(number), number).try_cast("int")
+            wrong = wrong | ((given != "") & fields[field].isNull())
+    if "cancelled" in fields:
+        gone = fields["cancelled"] == 1
+        for field in ("dep_delay_mins", "arr_delay_mins"):
+            if field in fields:
+                fields[field] = F.when(gone, F.coalesce(fields[field], F.lit(0))).otherwise(
+                    fields[field]
+                )
+    typed = raw.select(
+        *[value.alias(name) for name, value in fields.items()],
+        BROKEN,
+        F.coalesce(wrong, F.lit(False)).alias(WRONG),
+    )
+    complete = F.col(BROKEN).isNull() & ~F.col(WRONG)
     for name in REQUIRED:
         complete = complete & F.col(name).isNotNull()
-    return normalise_codes(typed.filter(complete).drop(BROKEN)), typed.filter(~complete)
+    kept = normalise_codes(typed.filter(complete).drop(BROKEN, WRONG))
+    return kept, typed.filter(~complete).drop(WRONG)
 
 
 def ontime_routes(keyed: DataFrame) -> DataFrame:
@@ -78,11 +98,20 @@ def ontime_routes(keyed: DataFrame) -> DataFrame:
     return route_dimension(keyed, F.coalesce(usual, F.lit(0)))
 
 
+#: Columns that the load makes itself.
+MADE = ("flight_id", "route_id", "created_at")
+
+
 def ontime_flights(keyed: DataFrame, r: DataFrame) -> DataFrame:
     """Facts in the star's schema; the id is a hash of what identifies a flight."""
     natural = ["carrier_code", "origin", "destination"]
     identity = F.xxhash64("flight_date", "flight_number", "scheduled_dep", *natural)
-    filled = fill_defaults(keyed, "flights")
+    absent = [name for name in DEFAULTS["flights"] if name not in keyed.columns]
+    filled = fill_defaults(keyed, "flights", absent)
+    optional = [name for name in FLIGHTS.names if name not in (*filled.columns, *MADE)]
+    filled = filled.withColumns(
+        {name: F.lit(None).cast(FLIGHTS[name].dataType) for name in optional}
+    )
     return (
         filled.withColumns({"flight_id": identity, "created_at": F.current_timestamp()})
         .join(r.select("route_id", *natural), natural)

@@ -99,7 +99,7 @@ SLA_BREACH_LOG = _table(
 )
 AUDIT_LOG = _table(
     {
-        "audit_id": LongType(),
+        "audit_id": StringType(),
         "table_name": StringType(),
         "operation": StringType(),
         "record_id": LongType(),
@@ -129,7 +129,7 @@ TABLES = {
 PERIOD_COLUMN = "period"
 FLIGHTS_STORED = StructType(FLIGHTS.fields + [StructField(MONTH_COLUMN, IntegerType(), False)])
 QUARANTINE_STORED = StructType(
-    FLIGHTS.fields
+    [StructField(field.name, field.dataType) for field in FLIGHTS]
     + [StructField("reject_reason", StringType()), StructField(MONTH_COLUMN, IntegerType())]
 )
 AUDIT_STORED = StructType(AUDIT_LOG.fields + [StructField(PERIOD_COLUMN, IntegerType(), False)])

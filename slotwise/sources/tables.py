@@ -4,7 +4,7 @@ import datetime as dt
 from collections.abc import Sequence
 from decimal import Decimal
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType, StructType
 
@@ -23,10 +23,14 @@ def normalise_codes(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.upper(F.trim(c)) for c in CODES if c in df.columns})
 
 
-def fill_defaults(df: DataFrame, table: str) -> DataFrame:
-    """Column defaults; a column the input lacks altogether is added with its default."""
+def fill_defaults(
+    df: DataFrame, table: str, columns: Sequence[str] | None = None
+) -> DataFrame:
+    """Column defaults, of the given columns only if there is a list; a column the input lacks
+    altogether is added with its default."""
     schema: StructType = TABLES[table]
     values = DEFAULTS.get(table, {})
+    values = {name: v for name, v in values.items() if columns is None or name in columns}
     filled = {}
     for name, value in values.items():
         kind = schema[name].dataType
@@ -40,14 +44,12 @@ def insert_if_absent(
 ) -> DataFrame:
     """The rows of ``incoming`` whose key the target lacks, the first per key by ``order_by``.
 
-    A key that fills the input is combined on the map side, never gathered in one task.
+    Rows of known keys go first. Of the others only the first of each key in each task is sent on,
+    as Spark applies a limit on a rank before the shuffle.
     """
-    rest = [c for c in incoming.columns if c not in key]
-    first = incoming.groupBy(*key).agg(
-        F.min_by(F.struct(*rest), F.struct(*order_by)).alias("_first")
-    )
-    absent = first.join(target.select(*key).distinct(), list(key), "left_anti")
-    return absent.select(*key, "_first.*").select(*incoming.columns)
+    absent = incoming.join(target.select(*key), list(key), "left_anti")
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(*order_by))
+    return absent.withColumn("_place", place).filter("_place = 1").select(*incoming.columns)
 
 
 def upsert_rules(

@@ -1,25 +1,49 @@
 """The ingest checks, audit and breach evaluation as Structured Streaming jobs.
 
 Every sink writes one folder per micro-batch and overwrites it, so a batch that is run again
-after a failure leaves the same result.
+after a failure leaves the same result. Batch numbers belong to a checkpoint: a new checkpoint over
+an output that has batches already would count rows twice, so it is refused.
+
+What is read back does not depend on how the input was cut into batches or in which order it came.
 """
 
 import datetime as dt
+from collections.abc import Iterable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import (
+    DateType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+)
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.bands import is_late
-from slotwise.functions.filters import days_before, flown
-from slotwise.functions.measures import rows, rows_where
-from slotwise.operators.audit import audit_new
-from slotwise.operators.flagging import daily_counters, ruled_routes, trailing_breaches
+from slotwise.functions.filters import (
+    MONTH_COLUMN,
+    date_range,
+    days_before,
+    moment,
+    month_number,
+)
+from slotwise.operators.audit import audit_new, breach_alerts, with_audit_ids
+from slotwise.operators.flagging import (
+    daily_counters,
+    ruled_routes,
+    trailing_breaches,
+)
 from slotwise.operators.quality import validate
-from slotwise.plans.jobs import append_breaches
-from slotwise.sources.schemas import FLIGHTS, FLIGHTS_STORED
+from slotwise.plans.jobs import audited_records, read_or_empty
+from slotwise.sources.layout import write_audit
+from slotwise.sources.schemas import FLIGHTS, FLIGHTS_STORED, SLA_BREACH_LOG
+
+#: Files of one micro-batch, unless the caller says otherwise.
+FILES_PER_BATCH = 1000
 
 COUNTERS = StructType(
     [
@@ -28,6 +52,25 @@ COUNTERS = StructType(
         StructField("total_flights", LongType()),
         StructField("delayed_flights", LongType()),
         StructField("batch_id", IntegerType()),
+        StructField(MONTH_COLUMN, IntegerType()),
+    ]
+)
+DAYS = StructType(
+    [
+        StructField("first_day", DateType()),
+        StructField("last_day", DateType()),
+        StructField("batch_id", IntegerType()),
+    ]
+)
+EVALUATED = StructType(
+    [
+        StructField("breach_date", DateType()),
+        StructField("route_id", IntegerType()),
+        SLA_BREACH_LOG["delay_rate_pct"],
+        StructField("total_flights", LongType()),
+        StructField("delayed_flights", LongType()),
+        StructField("rule_id", IntegerType()),
+        StructField("batch_id", IntegerType()),
     ]
 )
 CHECKED = StructType(
@@ -41,19 +84,36 @@ CHECKED = StructType(
 
 
 def flight_stream(
-    spark: SparkSession, path: str, max_files_per_trigger: int | None = None
+    spark: SparkSession, path: str, max_files_per_trigger: int = FILES_PER_BATCH
 ) -> DataFrame:
-    """Stored fact files as a stream; without a limit one batch takes all that is there."""
-    reader = spark.readStream.schema(FLIGHTS_STORED)
-    if max_files_per_trigger:
-        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return reader.parquet(path)
+    """Stored fact files as a stream of bounded batches."""
+    return (
+        spark.readStream.schema(FLIGHTS_STORED)
+        .option("maxFilesPerTrigger", max_files_per_trigger)
+        .parquet(path)
+    )
+
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
-def _each_batch(stream: DataFrame, write, checkpoint: str, mode: str = "append") -> StreamingQuery:
+
+def _each_batch(stream: DataFrame, write, path: str, checkpoint: str) -> StreamingQuery:
+    """Runs ``write`` for every batch; ``path`` is where it leaves a folder for each."""
+    spark = stream.sparkSession
+    batches = f"{path}/batch_id=*"
+    if not _exists(spark, f"{checkpoint}/metadata") and _exists(spark, f"{batches}/*"):
+        raise ValueError(
+            f"{path} holds batches of another checkpoint; give the stream a new output folder"
+        )
     return (
         stream.writeStream.foreachBatch(write)
-        .outputMode(mode)
+        .outputMode("append")
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -75,7 +135,7 @@ def validate_stream(
             .parquet(f"{path}/batch_id={batch_id}")
         )
 
-    return _each_batch(stream, write, checkpoint)
+    return _each_batch(stream, write, path, checkpoint)
 
 
 def read_validated(spark: SparkSession, path: str) -> DataFrame:
@@ -83,122 +143,164 @@ def read_validated(spark: SparkSession, path: str) -> DataFrame:
 
 
 def audit_stream(stream: DataFrame, path: str, checkpoint: str, **stamp) -> StreamingQuery:
-    """Insert audit rows of arriving facts, stateless, in the exactly-once file sink."""
-    return (
-        audit_new(stream, **stamp)
-        .writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start(path)
-    )
+    """Insert events of arriving facts in the change log, in its own layout.
+
+    Events that a failed run has stored already are found by their record and left out.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        start, end = batch.agg(F.min("flight_date"), F.max("flight_date")).head()
+        if start is None:
+            return
+        known = audited_records(spark, path, "flights", start, end).select("audit_id")
+        events = with_audit_ids(audit_new(batch, **stamp))
+        write_audit(events.join(known, "audit_id", "left_anti"), path)
+
+    return _each_batch(stream, write, path, checkpoint)
 
 
 def counter_stream(
     stream: DataFrame, path: str, checkpoint: str, limits: Limits = DEFAULT_LIMITS
 ) -> StreamingQuery:
-    """Daily route counters as additive parts, one per batch.
+    """Daily route counters as additive parts, one per batch and month.
 
     Counts add up across batches whatever their order, so this needs neither state nor a
     watermark, and a row counts however late it comes.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        daily_counters(batch, limits).write.mode("overwrite").parquet(
-            f"{path}/batch_id={batch_id}"
-        )
+        _write_counters(batch, batch_id, path, limits)
 
-    return _each_batch(stream, write, checkpoint)
+    return _each_batch(stream, write, path, checkpoint)
 
 
-def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    parts = spark.read.schema(COUNTERS).parquet(path)
-    return parts.groupBy("route_id", "flight_date").agg(
-        F.sum("total_flights").alias("total_flights"),
-        F.sum("delayed_flights").alias("delayed_flights"),
+def _write_counters(batch: DataFrame, batch_id: int, path: str, limits: Limits) -> None:
+    counted = daily_counters(batch, limits)
+    (
+        counted.withColumn(MONTH_COLUMN, month_number(F.col("flight_date")))
+        .write.mode("overwrite")
+        .partitionBy(MONTH_COLUMN)
+        .parquet(f"{path}/batch_id={batch_id}")
     )
 
 
-def windowed_counts(
-    stream: DataFrame, lateness: str = "3 days", limits: Limits = DEFAULT_LIMITS
+def read_counters(
+    spark: SparkSession, path: str, start: dt.date | None = None, end: dt.date | None = None
 ) -> DataFrame:
-    """Daily route counters as an event-time aggregation with bounded state.
-
-    For feeds whose lateness is bounded: once the watermark has passed a day, Spark closes
-    it and ignores rows that come later still. :func:`counter_stream` has no such bound.
-    """
-    late = is_late(F.col("arr_delay_mins"), limits.delayed_mins)
-    return (
-        flown(stream)
-        .withColumn("flight_ts", F.col("flight_date").cast("timestamp"))
-        .withWatermark("flight_ts", lateness)
-        .groupBy(F.window("flight_ts", "1 day"), "route_id", "flight_date")
-        .agg(rows("total_flights").first(), rows_where("delayed_flights", late).first())
-        .drop("window")
+    """The counters of a closed range of days; parts of other months are not opened."""
+    parts = date_range(read_or_empty(spark, path, COUNTERS), start, end)
+    return parts.groupBy("route_id", "flight_date").agg(
+        F.sum("total_flights").alias("total_flights"),
+        F.sum("delayed_flights").alias("delayed_flights"),
     )
 
 
-def windowed_counter_stream(
-    stream: DataFrame,
-    path: str,
-    checkpoint: str,
-    lateness: str = "3 days",
-    limits: Limits = DEFAULT_LIMITS,
-) -> StreamingQuery:
-    """Writes the changed counters of every batch in full (update mode)."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
-
-    return _each_batch(windowed_counts(stream, lateness, limits), write, checkpoint, "update")
+def read_closed_counters(spark: SparkSession, path: str, lateness_days: int = 3) -> DataFrame:
+    """All counters, with ``closed`` for days that lie before the latest one by more than the
+    lateness. A row that comes later still is counted; it only finds its day closed."""
+    counters = read_counters(spark, path)
+    latest = counters.agg(F.max("flight_date")).head()[0]
+    edge = None if latest is None else days_before(latest, lateness_days)
+    return counters.withColumn("closed", F.col("flight_date") < F.lit(edge))
 
 
-def read_windowed_counters(spark: SparkSession, path: str) -> DataFrame:
-    """The last version of every counter."""
-    versions = spark.read.schema(COUNTERS).parquet(path)
-    last = F.max_by(F.struct("total_flights", "delayed_flights"), "batch_id").alias("last")
-    return versions.groupBy("route_id", "flight_date").agg(last).select(
-        "route_id", "flight_date", "last.*"
-    )
+def days_to_evaluate(
+    touched: Iterable[dt.date], latest: dt.date, before: dt.date | None, window: int
+) -> list[dt.date]:
+    """Days whose outcome a batch may have changed: those whose window holds a touched day, and
+    those that have passed since the latest day of the batches before."""
+    found = set()
+    for day in touched:
+        ahead = min(window, (latest - day).days)
+        found.update(day + dt.timedelta(days=n) for n in range(ahead + 1))
+    if before is not None:
+        found.update(before + dt.timedelta(days=n) for n in range(1, (latest - before).days + 1))
+    return sorted(found)
 
 
 def breach_stream(
     stream: DataFrame,
     r: DataFrame,
     rules: DataFrame,
-    counters_path: str,
-    log_path: str,
-    audit_path: str,
+    path: str,
     checkpoint: str,
     per_carrier_rules: bool = False,
-    now: dt.datetime | None = None,
     limits: Limits = DEFAULT_LIMITS,
 ) -> StreamingQuery:
-    """Counts each batch, evaluates the latest day seen and logs and announces new breaches.
+    """Counts each batch and evaluates every day that it touched or that has passed since.
 
-    The counters of earlier batches are read back instead of being held in state: a sliding
-    window of w days would keep every row w times.
+    ``path`` holds the counters, the days that each batch evaluated and what it found. A batch's
+    outcome for a day replaces earlier ones (see :func:`read_breaches`), so late rows reopen
+    their days. Counters of earlier batches are read back, in the months of the windows only,
+    instead of being held in state.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        daily_counters(batch, limits).write.mode("overwrite").parquet(
-            f"{counters_path}/batch_id={batch_id}"
-        )
-        latest = (
-            spark.read.schema(COUNTERS).parquet(counters_path).agg(F.max("flight_date")).head()[0]
-        )
-        if latest is None:
-            return
+        counters, days, found = (f"{path}/{name}" for name in ("counters", "days", "found"))
+        _write_counters(batch, batch_id, counters, limits)
+        own = spark.read.schema(COUNTERS).parquet(f"{counters}/batch_id={batch_id}")
+        touched = sorted(row[0] for row in own.select("flight_date").distinct().collect())
+        earlier = read_or_empty(spark, days, DAYS).filter(F.col("batch_id") < batch_id)
+        before = earlier.agg(F.max("last_day")).head()[0]
         ruled, windows = ruled_routes(r, rules, per_carrier_rules)
-        earliest = days_before(latest, max(windows, default=0))
-        recent = read_counters(spark, counters_path).filter(
-            F.col("flight_date").between(earliest, latest)
-        )
-
-        def find(log: DataFrame) -> DataFrame:
-            return trailing_breaches(recent, ruled, windows, [latest], log, limits)
-
-        append_breaches(spark, find, log_path, audit_path, latest, now)
+        window = max(windows, default=0)
+        ends = []
+        if touched:
+            latest = max(touched[-1], before or touched[-1])
+            ends = days_to_evaluate(touched, latest, before, window)
+        outcome = spark.createDataFrame([], EVALUATED)
+        if ends:
+            recent = read_counters(spark, counters, days_before(ends[0], window), ends[-1])
+            outcome = trailing_breaches(recent, ruled, windows, ends, None, limits)
+        names = [name for name in EVALUATED.names if name != "batch_id"]
+        folder = f"batch_id={batch_id}"
+        outcome.select(*names).write.mode("overwrite").parquet(f"{found}/{folder}")
+        _days_frame(spark, ends).write.mode("overwrite").parquet(f"{days}/{folder}")
+
+    return _each_batch(stream, write, f"{path}/days", checkpoint)
+
+
+def _days_frame(spark: SparkSession, days: list[dt.date]) -> DataFrame:
+    """Runs of evaluated days as (first, last)."""
+    runs: list[list[dt.date]] = []
+    for day in days:
+        if runs and day - runs[-1][1] == dt.timedelta(days=1):
+            runs[-1][1] = day
+        else:
+            runs.append([day, day])
+    return spark.createDataFrame([tuple(run) for run in runs], "first_day date, last_day date")
+
+
+def read_breaches(spark: SparkSession, path: str) -> DataFrame:
+    """What the last batch that evaluated a day found on it, for every day."""
+    runs = read_or_empty(spark, f"{path}/days", DAYS)
+    each = runs.select("batch_id", F.explode(F.sequence("first_day", "last_day")).alias("breach_date"))
+    last = each.groupBy("breach_date").agg(F.max("batch_id").alias("batch_id"))
+    found = read_or_empty(spark, f"{path}/found", EVALUATED)
+    return found.join(last, ["breach_date", "batch_id"]).drop("batch_id")
+
+
+def log_breaches(
+    spark: SparkSession, path: str, audit_path: str, now: dt.datetime | None = None
+) -> DataFrame:
+    """The breaches of a stream as a log, and an alert for each that has none yet.
 
-    return _each_batch(stream, write, checkpoint)
+    An alert is known by what it says, so a breach that late rows change is announced again.
+    """
+    stamp = F.current_timestamp() if now is None else moment(now)
+    # day and route make an id that stays when late rows add or remove other breaches
+    day = F.datediff("breach_date", F.lit(dt.date(1970, 1, 1))).cast("bigint")
+    log = read_breaches(spark, path).select(
+        (day * 2**32 + F.col("route_id")).alias("breach_id"),
+        *[name for name in SLA_BREACH_LOG.names if name in EVALUATED.names],
+        F.lit(0).alias("resolved"),
+        stamp.alias("created_at"),
+    )
+    start, end = log.agg(F.min("breach_date"), F.max("breach_date")).head()
+    if start is not None:
+        alerts = with_audit_ids(breach_alerts(log, changed_at=now))
+        sent = audited_records(spark, audit_path, "sla_breach_log", start, end)
+        write_audit(alerts.join(sent.select("audit_id"), "audit_id", "left_anti"), audit_path)
+    return log

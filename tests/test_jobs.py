@@ -2,11 +2,13 @@
 
 import datetime as dt
 import json
+from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
 from frames import BASE, DAY, rows, table
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from slotwise.operators import carriers
 from slotwise.operators.keys import number_rows
@@ -16,17 +18,32 @@ from slotwise.plans.jobs import (
     read_current_log,
     record_resolutions,
     run_daily_breaches,
+    update_flights,
 )
 from slotwise.session import partitions_for
 from slotwise.sources import ontime_csv, tables
 from slotwise.sources.exports import export_reports
 from slotwise.sources.layout import read_audit, read_flights, write_flights
-from slotwise.sources.schemas import FLIGHTS, SLA_BREACH_LOG
+from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, SLA_BREACH_LOG
 from slotwise.sources.scratch import scratch_root
 
 NOW = dt.datetime(2023, 7, 1, 8)
 
 
+@contextmanager
+def many_partitions(spark):
+    """Eight shuffle partitions that stay apart, as those of a large table do."""
+    wanted = {"spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_daily_run_twice_adds_nothing(spark, tmp_path):
     log, audit = f"{tmp_path}/log", f"{tmp_path}/audit"
     f = table(spark, "flights", [{"arr_delay_mins": 20}, {"route_id": 2, "arr_delay_mins": 90}])
@@ -86,6 +103,53 @@ def test_ingest_splits_audits_and_repeats_safely(spark, tmp_path):
         assert sorted(rows(audited, "record_id", "changed_at")) == [(1, NOW), (3, NOW)]
 
 
+def test_ingest_keeps_every_row_and_one_of_a_key(spark, tmp_path):
+    paths = [f"{tmp_path}/{name}" for name in ("flights", "quarantine", "audit")]
+    january, june = dt.date(2023, 1, 5), dt.date(2023, 6, 5)
+    schema = table(spark, "flights", [{}]).schema
+    loose = StructType([StructField(x.name, x.dataType) for x in schema])
+
+    def batch(*changes):
+        base = rows(table(spark, "flights", [{"flight_date": january}]))[0]
+        made = [{**dict(zip(loose.names, base, strict=True)), **c} for c in changes]
+        return spark.createDataFrame([tuple(m[n] for n in loose.names) for m in made], loose)
+
+    first = batch({}, {}, {"flight_number": "AA9"}, {"flight_id": 2, "flight_date": None})
+    later = batch({"flight_date": june}, {"flight_id": None, "flight_date": None})
+    for given in (first, later, first, later):
+        ingest_flights(given, *paths, changed_by="loader", changed_at=NOW)
+        assert len(rows(read_flights(spark, paths[0]), "flight_id")) == 1
+    aside = spark.read.schema(QUARANTINE_STORED).parquet(paths[1])
+    assert sorted(rows(aside.groupBy("reject_reason").count())) == [
+        ("key is stored already", 1), ("missing flight_date", 1), ("missing flight_id", 1),
+        ("second row of a key", 2),
+    ]
+    assert read_audit(spark, paths[2]).count() == 1
+
+
+def test_updates_are_stored_and_audited_once(spark, tmp_path):
+    facts, audit = f"{tmp_path}/flights", f"{tmp_path}/audit"
+    old = [{}, {"flight_date": dt.date(2023, 7, 4)}, {"flight_date": dt.date(2023, 8, 4)}]
+    write_flights(table(spark, "flights", old), facts)
+    changed = table(spark, "flights", [{"arr_delay_mins": 44}, {"flight_id": 9}])
+    for _ in range(2):
+        unknown = update_flights(changed, facts, audit, changed_by="desk", changed_at=NOW)
+        assert rows(unknown, "flight_id") == [(9,)]
+        stored = read_flights(spark, facts)
+        assert sorted(rows(stored, "flight_id", "arr_delay_mins")) == [(1, 44), (2, 0), (3, 0)]
+        assert rows(read_audit(spark, audit), "record_id", "period") == [(1, 202306)]
+
+
+def test_a_route_is_in_few_files(spark, tmp_path):
+    """Files hold ranges of routes, so one route's rows lie in a fraction of them."""
+    many = table(spark, "flights", [{"route_id": n % 40 + 1} for n in range(400)])
+    with many_partitions(spark):
+        write_flights(many, f"{tmp_path}/f")
+    files = read_flights(spark, f"{tmp_path}/f").withColumn("file", F.input_file_name())
+    assert files.select("file").distinct().count() >= 7
+    assert files.filter("route_id = 17").select("file").distinct().count() <= 2
+
+
 def test_a_full_month_is_cut_into_several_files(spark, tmp_path):
     """One month holds nearly all rows; the write still spreads it over tasks."""
     constant = [
@@ -98,13 +162,8 @@ def test_a_full_month_is_cut_into_several_files(spark, tmp_path):
         F.when(F.col("id") % 100 == 0, dt.date(2023, 2, 1)).otherwise(DAY).alias("flight_date"),
         *constant,
     )
-    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "64KB")
-    try:
+    with many_partitions(spark):
         write_flights(many, f"{tmp_path}/f")
-    finally:
-        spark.conf.set(key, before)
     full = list(Path(tmp_path, "f", "flight_month=202306").glob("*.parquet"))
     assert len(full) > 1
     assert read_flights(spark, f"{tmp_path}/f").count() == 60000
@@ -183,12 +242,16 @@ def test_ontime_csv(spark, tmp_path):
         {**line, "OP_CARRIER_FL_NUM": "14", "CRS_ELAPSED_TIME": "370", "ARR_DELAY": "",
          "CANCELLED": "1.00"},
         {**line, "DEST": "BOS"},
+        {**line, "OP_CARRIER_FL_NUM": "16", "ARR_DELAY": "", "CRS_ELAPSED_TIME": "365"},
         {**line, "FL_DATE": "not a date"},
+        {**line, "ARR_DELAY": "4O"},
+        {**line, "DEP_DELAY": "7.9"},
+        {**line, "CANCELLED": "yes"},
     ]
     text = "\n".join([",".join(header)] + [",".join(r.get(c, "") for c in header) for r in lines])
     (tmp_path / "ontime.csv").write_text(text + "\n")
     keyed, bad = ontime_csv.read_ontime(spark, str(tmp_path / "ontime.csv"))
-    assert (keyed.count(), bad.count()) == (3, 1)
+    assert (keyed.count(), bad.count()) == (4, 4)
     r = ontime_csv.ontime_routes(keyed)
     assert sorted(rows(r)) == [(1, "AA", "JFK", "BOS", 360), (2, "AA", "JFK", "LAX", 365)]
     f = ontime_csv.ontime_flights(keyed, r)
@@ -199,11 +262,12 @@ def test_ontime_csv(spark, tmp_path):
     )
     day = dt.date(2023, 1, 5)
     assert got == [
-        (1, day, "12", 900, -3, 16, 0, 16, 0),
-        (2, day, "12", 900, -3, 16, 0, 16, 0),
-        (2, day, "14", 900, -3, 0, 1, 16, 0),
+        (1, day, "12", 900, -3, 16, 0, 16, None),
+        (2, day, "12", 900, -3, 16, 0, 16, None),
+        (2, day, "14", 900, -3, 0, 1, 16, None),
+        (2, day, "16", 900, -3, None, 0, 16, None),
     ]
-    assert f.select("flight_id").distinct().count() == 3
+    assert f.select("flight_id").distinct().count() == 4
 
 
 def test_exports_and_views(spark, tmp_path):

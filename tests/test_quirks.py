@@ -445,12 +445,48 @@ def test_update_audit(spark, old, new, audited, null_safe):
     assert audit.audit_updates(after, before, null_safe=True).count() == null_safe
 
 
-def test_copies_of_a_key_are_not_paired(spark):
-    old = table(spark, "flights", [{"flight_id": 1, "arr_delay_mins": n} for n in (7, 3, 5)])
-    new = table(spark, "flights", [{"flight_id": 1, "arr_delay_mins": n} for n in (3, 4, 5, 6)])
-    got = audit.audit_updates(new, old)
-    assert sorted(json.loads(r.new_values)["arr_delay"] for r in got.collect()) == [4, 5, 6]
-    assert {json.loads(r.old_values)["arr_delay"] for r in got.collect()} == {3}
+def test_repeated_old_keys_are_reported_not_paired(spark):
+    old = table(
+        spark, "flights",
+        [{"flight_id": 1, "arr_delay_mins": n} for n in (7, 3, 5)] + [{"flight_id": 2}],
+    )
+    new = table(spark, "flights", [{"flight_id": n, "arr_delay_mins": 9} for n in (1, 2)])
+    assert rows(audit.audit_updates(new, old), "record_id") == [(2,)]
+    assert rows(audit.repeated_old_keys(new, old)) == [(1, 3)]
+
+
+def test_audit_ids_do_not_depend_on_the_clock(spark):
+    new = table(spark, "flights", [{}, {}])
+    ids = [
+        sorted(rows(audit.with_audit_ids(audit.audit_new(new, changed_at=when)), "audit_id"))
+        for when in (None, dt.datetime(2020, 1, 1))
+    ]
+    assert ids[0] == ids[1]
+    assert len(set(ids[0])) == 2
+
+
+def test_pivots_name_the_values_in_use(spark):
+    by_slot = spark.createDataFrame(
+        [("X", slot, 1.0) for slot in ("6PM-12AM (Evening)", "12AM-6AM (Red-eye)")],
+        "airport_code string, time_slot string, avg_dep_delay double",
+    )
+    assert airports.tod_pivot(by_slot).columns == [
+        "airport_code", "12AM-6AM (Red-eye)", "6PM-12AM (Evening)",
+    ]
+    matrix = spark.createDataFrame(
+        [("A", "B", 1.0), ("A", "C", 2.0)], "origin string, destination string, delay_rate_pct double"
+    )
+    assert rows(airports.od_pivot(matrix)) == [("A", 1.0, 2.0)]
+    with pytest.raises(Exception, match="outside the given columns: C"):
+        airports.od_pivot(matrix, ["B"]).collect()
+
+
+def test_every_unknown_id_is_reported(spark):
+    log = table(spark, "sla_breach_log", [{}])
+    ids = spark.createDataFrame([(n,) for n in range(100, 120)], "breach_id int")
+    with pytest.raises(LookupError, match="20 of") as raised:
+        flagging.resolve_breaches(log, ids)
+    assert raised.value.ids.count() == raised.value.count == 20
 
 
 def test_audit_images_keep_nulls(spark):

@@ -5,10 +5,9 @@ import datetime as dt
 import pytest
 from frames import rows, table
 
-from slotwise.operators.audit import audit_new
-from slotwise.operators.flagging import daily_counters, flag_breaches
+from slotwise.operators.audit import audit_new, with_audit_ids
+from slotwise.operators.flagging import backfill_breaches, daily_counters, flag_breaches
 from slotwise.sources.layout import read_audit, read_flights, write_flights
-from slotwise.sources.schemas import SLA_BREACH_LOG
 from slotwise.streaming import jobs
 
 NOW = dt.datetime(2023, 7, 1, 8)
@@ -35,11 +34,14 @@ def stored(spark, tmp_path_factory):
     return path
 
 
-def stream(spark, stored, files=None):
+def stream(spark, stored, files=1000):
     return jobs.flight_stream(spark, stored, files)
 
 
-@pytest.mark.parametrize("files", [None, 1])
+CUTS = pytest.mark.parametrize("files", [1000, 2, 1])
+
+
+@CUTS
 def test_counters_add_up_however_late(spark, stored, tmp_path, files):
     jobs.counter_stream(
         stream(spark, stored, files), f"{tmp_path}/out", f"{tmp_path}/c"
@@ -48,18 +50,36 @@ def test_counters_add_up_however_late(spark, stored, tmp_path, files):
     assert sorted(rows(jobs.read_counters(spark, f"{tmp_path}/out"))) == sorted(rows(expected))
 
 
-def test_windowed_counters(spark, stored, tmp_path):
-    jobs.windowed_counter_stream(
-        stream(spark, stored), f"{tmp_path}/out", f"{tmp_path}/c"
+@CUTS
+def test_closed_days_lose_no_late_row(spark, stored, tmp_path, files):
+    jobs.counter_stream(
+        stream(spark, stored, files), f"{tmp_path}/out", f"{tmp_path}/c"
     ).awaitTermination()
     expected = daily_counters(read_flights(spark, stored))
-    got = jobs.read_windowed_counters(spark, f"{tmp_path}/out")
-    assert sorted(rows(got)) == sorted(rows(expected))
+    got = jobs.read_closed_counters(spark, f"{tmp_path}/out", lateness_days=3)
+    assert sorted(rows(got.drop("closed"))) == sorted(rows(expected))
+    still_open = got.filter("not closed").agg({"flight_date": "min"}).head()[0]
+    assert still_open == dt.date(2023, 5, 25)
+
+
+def test_a_lost_checkpoint_never_counts_twice(spark, stored, tmp_path):
+    def run(checkpoint):
+        jobs.counter_stream(
+            stream(spark, stored, 2), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}"
+        ).awaitTermination()
+
+    run("c1")
+    with pytest.raises(ValueError, match="another checkpoint"):
+        run("c2")
+    run("c1")
+    expected = daily_counters(read_flights(spark, stored))
+    assert sorted(rows(jobs.read_counters(spark, f"{tmp_path}/out"))) == sorted(rows(expected))
 
 
-def test_validation_keeps_every_row(spark, stored, tmp_path):
+@CUTS
+def test_validation_keeps_every_row(spark, stored, tmp_path, files):
     jobs.validate_stream(
-        stream(spark, stored, 2), f"{tmp_path}/out", f"{tmp_path}/c"
+        stream(spark, stored, files), f"{tmp_path}/out", f"{tmp_path}/c"
     ).awaitTermination()
     split = jobs.read_validated(spark, f"{tmp_path}/out")
     counts = dict(rows(split.groupBy("outcome").count()))
@@ -68,33 +88,46 @@ def test_validation_keeps_every_row(spark, stored, tmp_path):
     assert split.filter("outcome = 'accepted' AND reject_reason IS NOT NULL").count() == 0
 
 
-def test_audit(spark, stored, tmp_path):
-    jobs.audit_stream(
-        stream(spark, stored, 2), f"{tmp_path}/out", f"{tmp_path}/c", changed_by="stream"
-    ).awaitTermination()
-    columns = ("record_id", "new_values", "changed_by")
-    expected = audit_new(read_flights(spark, stored), changed_by="stream")
-    got = spark.read.parquet(f"{tmp_path}/out")
-    assert sorted(rows(got, *columns)) == sorted(rows(expected, *columns))
+@CUTS
+def test_audit(spark, stored, tmp_path, files):
+    expected = with_audit_ids(audit_new(read_flights(spark, stored), changed_by="stream"))
+    columns = ("audit_id", "record_id", "new_values", "changed_by")
+    for checkpoint in ("c1", "c2"):
+        # the second start forgets its checkpoint; its events are all known
+        jobs.audit_stream(
+            stream(spark, stored, files), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}",
+            changed_by="stream",
+        ).awaitTermination()
+        got = read_audit(spark, f"{tmp_path}/out")
+        assert sorted(rows(got, *columns)) == sorted(rows(expected, *columns))
+    assert got.filter("period = 0").count() == 0
 
 
-def test_breaches_and_alerts(spark, stored, tmp_path):
-    r = table(spark, "routes", [{"route_id": n} for n in (1, 2, 3)])
-    rules = table(spark, "sla_rules", [{"window_days": 60}])
+def test_days_to_evaluate():
+    day = [dt.date(2023, 1, 1) + dt.timedelta(days=n) for n in range(30)]
+    assert jobs.days_to_evaluate([day[0]], day[0], None, 5) == [day[0]]
+    assert jobs.days_to_evaluate([day[9]], day[9], day[5], 5) == day[6:10]
+    assert jobs.days_to_evaluate([day[2]], day[9], day[9], 5) == day[2:8]
 
-    def run(checkpoint):
-        jobs.breach_stream(
-            stream(spark, stored), r, rules, f"{tmp_path}/counters", f"{tmp_path}/log",
-            f"{tmp_path}/audit", f"{tmp_path}/{checkpoint}", now=NOW,
-        ).awaitTermination()
 
-    columns = ("route_id", "breach_date", "delay_rate_pct", "total_flights", "delayed_flights")
+@CUTS
+def test_breaches_of_every_day(spark, stored, tmp_path, files):
+    r = table(spark, "routes", [{"route_id": n} for n in (1, 2, 3)])
+    rules = table(spark, "sla_rules", [{"window_days": 60}])
     f = read_flights(spark, stored)
-    expected = sorted(rows(flag_breaches(f, r, rules, None, dt.date(2023, 5, 28)), *columns))
-    assert expected
-    for checkpoint in ("c1", "c2"):
-        # the second start forgets its checkpoint and counts batch 0 again, over the old one
-        run(checkpoint)
-        log = spark.read.schema(SLA_BREACH_LOG).parquet(f"{tmp_path}/log")
-        assert sorted(rows(log, *columns)) == expected
+    every_day = [dt.date(2023, 1, 1) + dt.timedelta(days=n) for n in range(148)]
+    columns = ("route_id", "breach_date", "delay_rate_pct", "total_flights", "delayed_flights")
+    expected = sorted(rows(backfill_breaches(f, r, rules, every_day), *columns))
+    singly = [
+        row for day in every_day[100:104] for row in rows(flag_breaches(f, r, rules, None, day), *columns)
+    ]
+    assert sorted(singly) == [e for e in expected if e[1] in every_day[100:104]]
+    out = f"{tmp_path}/out"
+    jobs.breach_stream(
+        stream(spark, stored, files), r, rules, out, f"{tmp_path}/c"
+    ).awaitTermination()
+    assert sorted(rows(jobs.read_breaches(spark, out), *columns)) == expected
+    for _ in range(2):
+        log = jobs.log_breaches(spark, out, f"{tmp_path}/audit", NOW)
+        assert log.select("breach_id").distinct().count() == len(expected)
         assert read_audit(spark, f"{tmp_path}/audit").count() == len(expected)
