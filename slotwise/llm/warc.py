@@ -125,7 +125,8 @@ class ArchiveWriter:
         self.name = f"{folder.rstrip('/')}/part-{uuid.uuid4().hex}.warc.zst"
         self.store, path = open_store(self.name)
         self.store.create_dir(path.rsplit("/", 1)[0], recursive=True)
-        self.out = self.store.open_output_stream(path)
+        # the frames are made here, not by the store, which would go by the name's ending
+        self.out = self.store.open_output_stream(path, compression=None)
         self.waiting: list[bytes] = []
         self.encode = None
         self.records = self.decoded = 0
@@ -273,7 +274,7 @@ def read_archive(archive: str, expected: int | None = None) -> Iterator[dict]:
     count = 0
     try:
         store, path = open_store(archive)
-        with store.open_input_stream(path) as stream:
+        with store.open_input_stream(path, compression=None) as stream:
             for raw in frames(stream):
                 count += 1
                 try:
