@@ -50,7 +50,7 @@ def fingerprints(
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         _, words, hashes = spans.words_of(batch.column(1), spans.LETTERS_DIGITS, lower=True)
         counts = np.diff(words.bounds)
-        texts, columns = [np.arange(batch.num_rows)], [[0], [NO_MARK], [0]]
+        texts = [np.arange(batch.num_rows)]
         found = [(np.zeros(batch.num_rows, np.int64), np.full(batch.num_rows, NO_MARK), None)]
         for size in sizes:
             bounds = words.bounds
@@ -72,11 +72,10 @@ def fingerprints(
                 texts.append(s.text)
                 base = bounds[s.text]
                 found.append((s.first, mark, (size, s.last - s.first + 1, seen, base + s.first)))
-        del columns
         text = np.concatenate(texts)
         offsets, pieces, widths = [np.zeros(1, np.int64)], [], []
         total = 0
-        for (first, _, more) in found:
+        for first, _, more in found:
             if more is None:
                 offsets.append(np.zeros(len(first), np.int64))
                 widths.append(np.zeros(len(first), np.int32))

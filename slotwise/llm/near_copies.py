@@ -40,7 +40,9 @@ AT_ONCE = 1 << 16
 
 def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
     """The fingerprint of every text of a batch."""
-    raw, words, _ = _split(column)
+    raw, offsets = spans.text_bytes(column)
+    raw = spans.LOWER[raw]
+    words = spans.find_words(raw, offsets, spans.NOT_BLANK)
     counts = np.diff(words.bounds)
     lengths = words.ends - words.starts
     begins = np.cumsum(lengths + 1) - (lengths + 1)
@@ -63,24 +65,12 @@ def fingerprints_of(column: pa.Array, shingle: int = 3) -> np.ndarray:
         last = first + np.repeat(np.minimum(counts[lo:hi], shingle), n) - 1
         pairs = zip(begins[first].tolist(), ends[last].tolist(), strict=True)
         hashes = np.fromiter((digest(held[a:b], SEED) for a, b in pairs), np.uint64, len(first))
-        for at, end, text in _stretches(n, lo):
-            found[text] += _majority(hashes[at:end], n[text - lo])
+        held_texts = np.flatnonzero(n)
+        if len(held_texts):
+            found[lo + held_texts] = _majority(hashes, n[held_texts])
     return found
 
 
-def _split(column: pa.Array):
-    raw, offsets = spans.text_bytes(column)
-    raw = spans.LOWER[raw]
-    return raw, spans.find_words(raw, offsets, spans.NOT_BLANK), offsets
-
-
-def _stretches(number: np.ndarray, lo: int) -> Iterator[tuple[int, int, np.ndarray]]:
-    """Consecutive texts with shingles, as (first shingle, end, texts)."""
-    texts = np.flatnonzero(number)
-    if len(texts):
-        yield 0, int(number.sum()), texts + lo
-
-
 def _majority(hashes: np.ndarray, number: np.ndarray) -> np.ndarray:
     """Each text's fingerprint from the hashes of its shingles, which stand one after another."""
     starts = np.cumsum(number) - number
@@ -269,7 +259,9 @@ def near_copies(
     rows = settle(fingerprint_rows(keyed_text(docs, doc_id, text), shingle), "fingerprints")
     fps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
     roots = components(near_links(fps)).withColumnRenamed("node", "fp")
-    rooted = fps.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = fps.join(roots, "fp", "left").select(
+        "fp", "least", F.coalesce("root", "fp").alias("root")
+    )
     least = rooted.groupBy("root").agg(F.min("least").alias("component"))
     named = settle(rooted.join(least, "root").select("fp", "component"), "components")
     return rows.join(named, "fp").select(F.col("id").alias("doc_id"), "fp", "component")
