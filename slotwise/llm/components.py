@@ -2,9 +2,9 @@
 
 Each round hangs every node's larger neighbours on the smallest node it knows, then its smaller
 ones, until the rows no longer change; they are then stars around each component's smallest node.
-Rounds are few (about the logarithm of the longest path). Only minima are gathered at a node and
-other rows meet them in a join that can split a large node, so a node may have any number of
-links. Each round is written to the shared folder, which ends its lineage.
+Rounds are few (about the logarithm of the longest path). Only minima are gathered at a node; they
+are written, and other rows meet them in a join that can split a large node, so a node may have any
+number of links. Each round is written to the shared folder, which ends its lineage.
 """
 
 from pyspark.sql import DataFrame
@@ -22,16 +22,18 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    both = edges.select("a", "b").unionByName(turned)
     least = both.groupBy("a").agg(F.min("b").alias("m"))
-    least = least.select("a", F.least("a", "m").alias("m"))
+    least = settle(least.select("a", F.least("a", "m").alias("m")), "least-known")
     return both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = settle(down.groupBy("a").agg(F.min("b").alias("m")), "least-below")
+    moved = down.join(least, "a").where("b != m")
+    moved = moved.select(F.col("b").alias("a"), F.col("m").alias("b"))
     return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
 
 
@@ -46,4 +48,5 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
         edges = settle(_small_star(_large_star(edges)), "stars")
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()
+    tops = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
+    return roots.unionByName(tops).distinct()
