@@ -279,7 +279,9 @@ def judged(
         "vectors",
     )
     large = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_rows)
-    estimated = rows.join(settle(large.select("part"), "large-parts"), "part", "left_semi")
+    # written before anything groups it by part, so that the join may split a part
+    large = settle(large.select("part"), "large-parts")
+    estimated = settle(rows.join(large, "part", "left_semi"), "estimated")
     found = settle(minimum_covariance(estimated), "mcd")
     far = estimated.join(found, "part").select(
         "id", (squared_distance() / F.greatest("scale", F.lit(1.0))).alias("distance")
