@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Windows of one piece of a text, or of several short texts handled together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 #: Low bits of a packed order key that hold the position; a piece is always shorter.
 POSITION_BITS = np.uint64(23)
 _ODD = 0x9E3779B97F4A7C15

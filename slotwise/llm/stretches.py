@@ -27,7 +27,7 @@ from slotwise.llm import spans
 from slotwise.llm.frames import partitions_for, settle
 
 #: Text taken from a batch at once, in bytes.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 20
 #: Classes of one mark that a shard takes.
 MOST_CLASSES = 1024
 #: Bytes of classes in a shard, in the mean.
@@ -50,22 +50,13 @@ class Units:
         raw, offsets = spans.text_bytes(column)
         return spans.BYTE_VALUES[raw], offsets
 
-    def layout(self, raw: bytes):
-        """(units of one text, byte begin and byte end of each); of bytes only their number."""
-        if not self.words:
-            return len(raw), None, None
-        words = spans.find_words(
-            np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), spans.NOT_BLANK
-        )
-        return len(words.starts), words.starts, words.ends
-
-    def body(self, raw: bytes, begin: int, end: int, starts, ends) -> bytes:
-        """The units from begin to end of a text; words are set one space apart."""
-        if not self.words:
-            return raw[begin:end]
-        return b" ".join(
-            raw[a:b] for a, b in zip(starts[begin:end].tolist(), ends[begin:end].tolist(), strict=True)
-        )
+    def items(self, raw: bytes) -> bytes | list[bytes]:
+        """The units of one text, in a row that can be cut."""
+        return raw.split() if self.words else raw
+
+    def joined(self, parts: list) -> bytes:
+        """Parts of such a row as text again; words are set one space apart."""
+        return b" ".join(w for p in parts for w in p) if self.words else b"".join(parts)
 
 
 #: Given the bodies of a shard's classes, how far each one's last window begins before its mark, which
@@ -142,17 +133,17 @@ def bodies(docs: DataFrame, wanted: DataFrame, units: Units) -> DataFrame:
         for batch in batches:
             for row in range(batch.num_rows):
                 raw = unpack(batch.column(0)[row].as_py())
-                _, starts, ends = units.layout(raw)
+                row_items = units.items(raw)
                 out = []
                 for w in batch.column(1)[row].as_py():
                     first, last = w["first"], w["last"]
                     same = (w["mark"], w["whole"], w["twice"], w["gap"])
                     if not w["split"]:
-                        held = units.body(raw, first, last + units.window, starts, ends)
+                        held = units.joined([row_items[first : last + units.window]])
                         out.append((*same, -1, held))
                         continue
                     for at in range(first, last + 1):
-                        held = units.body(raw, at, at + units.window, starts, ends)
+                        held = units.joined([row_items[at : at + units.window]])
                         digest = xxhash.xxh3_128_digest(held)
                         out.append((*same, at - first, digest))
                 columns = list(zip(*out, strict=True))
@@ -250,17 +241,13 @@ def without_spans(docs: DataFrame, found: DataFrame, units: Units, digests: bool
             for row in range(batch.num_rows):
                 raw = unpack(batch.column(1)[row].as_py())
                 held = batch.column(2)[row].as_py() or []
-                total, starts, ends = units.layout(raw)
+                row_items = units.items(raw)
+                total = len(row_items)
                 begin = np.array([h["begin"] for h in held], np.int64)
                 end = np.array([h["end"] for h in held], np.int64)
                 begin, end = spans.covered(begin, end)
                 gaps = zip([0, *end.tolist()], [*begin.tolist(), total], strict=True)
-                if units.words:
-                    kept = b" ".join(
-                        part for a, b in gaps if (part := units.body(raw, a, b, starts, ends))
-                    )
-                else:
-                    kept = b"".join(raw[a:b] for a, b in gaps)
+                kept = units.joined([row_items[a:b] for a, b in gaps])
                 value = hashlib.sha256(kept).hexdigest() if digests else kept.decode("utf-8", "replace")
                 out.append((total, int((end - begin).sum()), len(begin), value))
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]

@@ -2,10 +2,9 @@
 
 A shard's texts are put into one FM-index: the Burrows-Wheeler transform of their words in a wavelet
 matrix, whose levels are bit vectors with a count at each 64th bit. Every text of the shard is then
-streamed through the index: from each of its words backwards, the search narrows the rows that begin
-with the run read so far, for all words at once. While at least two rows remain, the run occurs
-twice; the number of steps is the matching statistic of that word, up to the threshold. Words where it
-reaches the threshold end an interval that is reported.
+streamed through the index: from its end backwards, the search narrows the rows that begin with
+the run read so far. While at least two rows remain, the run occurs twice; the number of steps is the
+matching statistic of that end. Runs that reach the threshold are intervals that are reported.
 
 Defined results: a null text has no words; a text of fewer words than the threshold loses nothing;
 runs that overlap in one text count, and what they cover is removed together; all places of a
@@ -52,24 +51,44 @@ class WaveletMatrix:
         return at
 
 
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): equal keys have one rank."""
+    order = np.argsort(key)  # equal keys may come in any order
+    held = key[order]
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
+    return order, rank
+
+
 def suffix_order(symbols: np.ndarray, length: int) -> np.ndarray:
-    """Suffixes in order of their first ``length`` symbols at least, by doubling."""
-    rank = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
-    done = 1
-    while done < length:
+    """Suffixes in order of their first ``length`` symbols at least, by doubling.
+
+    The first round takes as many symbols as fit one number.
+    """
+    bits = max(1, int(symbols.max(initial=0)).bit_length())
+    done = max(1, min(62 // bits, length))
+    key = np.zeros(len(symbols), np.int64)
+    for i in range(done):
+        key <<= bits
+        key[: len(key) - i] |= symbols[i:]
+    order, rank = _ranked(key)
+    while done < length and len(rank) > done:
         second = np.zeros(len(rank), np.int64)
-        second[:-done or None] = rank[done:] + 1 if done < len(rank) else 0
-        key = rank * (len(rank) + 1) + second
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
+        second[:-done] = rank[done:] + 1
+        order, rank = _ranked(rank * (len(rank) + 1) + second)
         done *= 2
-    return np.argsort(rank, kind="stable")
+    return order
 
 
 class FmIndex:
-    """A searchable index of one row of symbols; symbol 0 stands between texts."""
+    """A searchable index of one row of symbols; symbol 0 stands between texts.
 
-    def __init__(self, symbols: np.ndarray, length: int):
+    A place may count for several, by its weight.
+    """
+
+    def __init__(self, symbols: np.ndarray, weights: np.ndarray, length: int):
         order = suffix_order(symbols, length)
+        self.weight_before = np.concatenate([[0], np.cumsum(weights[order])])
         bits = max(1, int(symbols.max(initial=0)).bit_length())
         self.matrix = WaveletMatrix(symbols[order - 1], bits)
         counts = np.bincount(symbols, minlength=int(symbols.max(initial=0)) + 1)
@@ -82,21 +101,31 @@ class FmIndex:
         return self.matrix.place(symbol, low) + shift, self.matrix.place(symbol, high) + shift
 
 
-def matching_statistics(symbols: np.ndarray, ends: np.ndarray, length: int) -> np.ndarray:
-    """For each end, the longest run up to it that occurs at least twice, ``length`` at most."""
-    index = FmIndex(symbols, length)
-    found = np.zeros(len(ends), np.int64)
-    alive = np.arange(len(ends))
-    low, high = np.zeros(len(ends), np.int64), np.full(len(ends), len(symbols), np.int64)
-    for step in range(length):
-        symbol = symbols[ends[alive] - 1 - step]
-        low, high = index.narrow(symbol, low, high)
-        more = (high - low >= 2) & (symbol > 0)
-        alive, low, high = alive[more], low[more], high[more]
-        if not len(alive):
-            break
-        found[alive] = step + 1
-    return found
+def repeated_runs(index: FmIndex, symbols: np.ndarray, begins, ends, length: int):
+    """(text, first, last): places of windows of ``length`` symbols that occur at least twice.
+
+    Every text is streamed backwards from its end for as long as rows of a weight of two begin with
+    the run read so far; that is the matching statistic of this end. If it reaches the length, all windows within
+    the run are reported, and the next run ends where the first window begins that is still open;
+    otherwise it ends one symbol earlier. All texts go on at once.
+    """
+    text = np.flatnonzero(ends - begins >= length)
+    end = ends[text].copy()
+    while len(text):
+        reach, going = end.copy(), np.arange(len(text))
+        low, high = np.zeros(len(text), np.int64), np.full(len(text), len(symbols), np.int64)
+        while len(going):
+            low, high = index.narrow(symbols[reach[going] - 1], low, high)
+            more = index.weight_before[high] - index.weight_before[low] >= 2
+            going, low, high = going[more], low[more], high[more]
+            reach[going] -= 1
+            inside = reach[going] > begins[text[going]]
+            going, low, high = going[inside], low[inside], high[inside]
+        hit = end - reach >= length
+        yield text[hit], reach[hit], end[hit] - length
+        end = np.where(hit, reach + length - 1, end - 1)
+        open_ = end - begins[text] >= length
+        text, end = text[open_], end[open_]
 
 
 def shared_windows(
@@ -104,22 +133,28 @@ def shared_windows(
 ) -> list[np.ndarray]:
     """For each text, which of its windows of ``length`` words occur anywhere else.
 
-    Those that stand for several places are in the index twice, but streamed once.
+    Those that stand for several places are in the index once, with a weight of two.
     """
-    held = texts + [t for t, again in zip(texts, twice, strict=True) if again]
-    column = pa.array(held, pa.binary()).cast(pa.string())
+    column = pa.array(texts, pa.binary()).cast(pa.string())
     _, words, hashes = spans.words_of(column, spans.NOT_BLANK)
     number = np.unique(hashes, return_inverse=True)[1] + 1
     counts = np.diff(words.bounds)
     # each text behind a 0
-    symbols = np.zeros(len(number) + len(held) + 1, np.int64)
-    symbols[np.arange(len(number)) + np.repeat(np.arange(len(held)), counts) + 1] = number
-    windows = np.maximum(counts[: len(texts)] - length + 1, 0)
-    inner = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-    begins = words.bounds[: len(texts)] + np.arange(len(texts)) + 1
-    ends = np.repeat(begins, windows) + inner + length
-    reached = matching_statistics(symbols, ends, length) >= length
-    return np.split(reached, np.cumsum(windows)[:-1])
+    text = np.repeat(np.arange(len(texts)), counts)
+    symbols = np.zeros(len(number) + len(texts) + 1, np.int64)
+    weights = np.ones(len(symbols), np.int64)
+    symbols[np.arange(len(number)) + text + 1] = number
+    weights[np.arange(len(number)) + text + 1] += np.array(twice, np.int64)[text]
+    begins = words.bounds[:-1] + np.arange(len(texts)) + 1
+    ends = begins + counts
+    changes = np.zeros(len(symbols) + 1, np.int32)
+    index = FmIndex(symbols, weights, length)
+    for _, first, last in repeated_runs(index, symbols, begins, ends, length):
+        np.add.at(changes, first, 1)
+        np.add.at(changes, last + 1, -1)
+    reached = np.cumsum(changes) > 0
+    windows = np.maximum(counts - length + 1, 0)
+    return [reached[a : a + n] for a, n in zip(begins.tolist(), windows.tolist(), strict=True)]
 
 
 def without_repeats(
