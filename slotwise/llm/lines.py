@@ -8,8 +8,12 @@ fingerprint, lines before and after it, is met with the same window elsewhere, a
 windows join to runs of any length. Of all places of a window the first in order of (document,
 line) stays; every line that a later place covers is deleted.
 
+With ``words`` given, shorter runs go too once they hold that many words, and a text of fewer lines
+than the window is one window, whatever its words: it goes where an earlier text has all its lines
+and no others, or where its lines are such a long run of an earlier text.
+
 Defined results: a null text stays null and an empty one empty; lines of blanks are never counted,
-compared or deleted; a text of fewer lines than the window loses nothing; a run that repeats
+compared or deleted; a text of fewer lines than the window loses nothing unless ``words`` is given; a run that repeats
 within a text is deleted there too; rows that repeat a document id are told apart by nothing, so
 ids must be unique; rows with a null id stay as they are. Further columns stay untouched. Ties
 cannot occur, as places are distinct.
@@ -22,6 +26,8 @@ from slotwise.llm.frames import fresh, keyed_text, settle
 
 #: A line that takes part holds at least one character other than these blanks.
 HOLDS_TEXT = r"[^\x20\x09-\x0D]"
+#: Words that make a run of fewer lines than the window long enough to count as a passage.
+PASSAGE = 50
 
 
 def line_windows(docs: DataFrame, window: int) -> DataFrame:
@@ -50,12 +56,47 @@ def line_windows(docs: DataFrame, window: int) -> DataFrame:
     )
 
 
-def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
+def passage_windows(docs: DataFrame, window: int, words: int) -> DataFrame:
+    """:func:`line_windows`, and the shorter windows that count, with their number of ``lines``."""
+    held = (
+        docs.where("id is not null and text is not null")
+        .select(
+            "id",
+            F.filter(F.split("text", "\n", -1), lambda x: x.rlike(HOLDS_TEXT)).alias("held"),
+        )
+        .where(F.size("held") > 0)
+        .select(
+            "id",
+            F.transform("held", lambda x: F.xxhash64(x)).alias("wide"),
+            F.transform("held", lambda x: F.hash(x)).alias("narrow"),
+            F.transform("held", lambda x: F.regexp_count(x, F.lit(f"{HOLDS_TEXT}+"))).alias("words"),
+        )
+    )
+    each = []
+    for lines in range(1, window + 1):
+        counts = "true"
+        if lines < window:
+            total = " + ".join(f"words[s + {n}]" for n in range(lines))
+            counts = f"(size(wide) = {lines} or {total} >= {words})"
+        each.append(
+            f"""transform(
+                filter(sequence(0, size(wide) - 1), s -> s <= size(wide) - {lines} and {counts}),
+                s -> named_struct('first', s, 'lines', {lines},
+                    'mark', array_min(slice(wide, s + 1, {lines})),
+                    'wide', xxhash64(slice(wide, s + 1, {lines})),
+                    'narrow', hash(slice(narrow, s + 1, {lines}))))"""
+        )
+    windows = held.select("id", F.explode(F.expr(f"concat({', '.join(each)})")).alias("w"))
+    return windows.select("id", "w.first", "w.mark", "w.wide", "w.narrow", "w.lines")
+
+
+def repeated_lines(docs: DataFrame, window: int = 3, words: int | None = None) -> DataFrame:
     """(id, drops): the numbers, in order, of the lines that a later place of a window covers."""
-    every = line_windows(docs, window)
+    every = line_windows(docs, window) if words is None else passage_windows(docs, window, words)
+    lines = F.lit(window) if words is None else F.col("lines")
     marks = every.groupBy("mark").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = settle(every.join(marks.select("mark"), "mark", "left_semi"), "line-windows")
-    key = ["mark", "wide", "narrow"]
+    key = ["mark", "wide", "narrow", *(["lines"] if words is not None else [])]
     firsts = (
         shared.groupBy(*key)
         .agg(F.min(F.struct("id", "first")).alias("origin"), F.count(F.lit(1)).alias("times"))
@@ -63,18 +104,22 @@ def repeated_lines(docs: DataFrame, window: int = 3) -> DataFrame:
         .select(*key, F.col("origin.id").alias("home"), F.col("origin.first").alias("start"))
     )
     later = shared.join(firsts, key).where("id != home or first != start")
-    covered = F.sequence(F.col("first"), F.col("first") + window - 1)
+    covered = F.sequence(F.col("first"), F.col("first") + lines - 1)
     return later.groupBy("id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(covered)))).alias("drops")
     )
 
 
 def drop_repeated_lines(
-    docs: DataFrame, window: int = 3, doc_id: str = "doc_id", text: str = "text"
+    docs: DataFrame,
+    window: int = 3,
+    doc_id: str = "doc_id",
+    text: str = "text",
+    words: int | None = None,
 ) -> DataFrame:
     """``docs`` with repeated runs of lines deleted from ``text``; all columns and rows stay."""
     id_, drops, pieces, held = (fresh(x) for x in ("id", "drops", "pieces", "held"))
-    found = settle(repeated_lines(keyed_text(docs, doc_id, text), window), "repeated-lines")
+    found = settle(repeated_lines(keyed_text(docs, doc_id, text), window, words), "repeated-lines")
     found = found.select(F.col("id").alias(id_), F.col("drops").alias(drops))
     # never by broadcast, so that the plan is the same whatever the number of repeats
     joined = docs.join(found.hint("merge"), docs[doc_id] == found[id_], "left").withColumn(
