@@ -16,7 +16,13 @@ from pyspark.sql.types import StructType
 
 from slotwise.config import DEFAULT_LIMITS, Limits
 from slotwise.functions.filters import MONTH_COLUMN, date_range, days_before, moment
-from slotwise.operators.audit import audit_new, audit_updates, missing_alerts, with_audit_ids
+from slotwise.operators.audit import (
+    audit_new,
+    audit_updates,
+    missing_alerts,
+    repeated_old_keys,
+    with_audit_ids,
+)
 from slotwise.operators.flagging import (
     current_log,
     flag_breaches,
@@ -25,6 +31,7 @@ from slotwise.operators.flagging import (
 )
 from slotwise.operators.quality import (
     REPEATED_KEY,
+    REPEATED_STORED_KEY,
     STORED_KEY,
     accepted,
     missing_reason,
@@ -182,19 +189,30 @@ def update_flights(
     changed_by: str | None = None,
     changed_at: dt.datetime | None = None,
     change_id: str = "",
+    quarantine_path: str | None = None,
 ) -> DataFrame:
     """Replaces stored facts by changed ones and audits the change; unknown keys are returned.
 
     ``change_id`` names the batch, so that a fact may take the same change again later.
+    Further changes of a key in the batch, and all stored copies of a changed key that is
+    stored more than once, are kept aside in ``quarantine_path`` before anything is replaced; the
+    folder's default is the one of the facts with ``_aside`` after its name.
 
     Only the months that hold a changed key, before or after, are written anew. The audit goes
     first: a run that fails in between finds the same changes, under the same ids, again.
     """
     spark = changes.sparkSession
-    changes = settle(one_of_each_key(changes.select(*FLIGHTS.names))[0], "changes")
+    changes, further = one_of_each_key(settle(changes.select(*FLIGHTS.names), "given"))
+    changes = settle(changes, "changes")
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
     keys = changes.select("flight_id")
     old = settle(stored.join(keys, "flight_id", "left_semi"), "old-facts")
+    copies = old.join(repeated_old_keys(changes, old).select("flight_id"), "flight_id", "left_semi")
+    bad = further.withColumn("reject_reason", F.lit(REPEATED_KEY)).unionByName(
+        copies.select(*FLIGHTS.names, F.lit(REPEATED_STORED_KEY).alias("reject_reason"))
+    )
+    aside = quarantine_path or f"{flights_path.rstrip('/')}_aside"
+    write_quarantine(_not_aside(spark, bad, aside), aside)
     events = with_audit_ids(
         audit_updates(
             changes, old, null_safe=null_safe, changed_by=changed_by, changed_at=changed_at

@@ -302,3 +302,23 @@ def test_scratch_follows_the_shared_folder(spark):
 def test_missing_table_is_an_error(spark, tmp_path, name):
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         tables.load(spark, name, f"{tmp_path}/none")
+
+
+def test_an_update_loses_no_change_and_no_stored_copy(spark, tmp_path):
+    """Two changes of a key, and a key that is stored twice; run twice, as after a failure."""
+    facts, audit, aside = (f"{tmp_path}/{x}" for x in ("facts", "audit", "aside"))
+    old = [{"flight_id": 1}, {"flight_id": 2}, {"flight_id": 2, "arr_delay_mins": 5}, {"flight_id": 3}]
+    write_flights(table(spark, "flights", old), facts)
+    new = [{"flight_id": n, "arr_delay_mins": d} for n, d in ((1, 10), (1, 11), (2, 20))]
+    for _ in range(2):
+        update_flights(
+            table(spark, "flights", new), facts, audit, changed_at=NOW, quarantine_path=aside
+        )
+        kept = dict(rows(read_flights(spark, facts), "flight_id", "arr_delay_mins"))
+        assert kept in ({1: 10, 2: 20, 3: 0}, {1: 11, 2: 20, 3: 0})
+        held = spark.read.schema(QUARANTINE_STORED).parquet(aside)
+        assert sorted(rows(held, "flight_id", "arr_delay_mins", "reject_reason")) == [
+            (1, 21 - kept[1], "second row of a key"),
+            (2, 0, "key is stored more than once"),
+            (2, 5, "key is stored more than once"),
+        ]
