@@ -236,15 +236,26 @@ def _unless_in(rows: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def audited_records(
-    spark: SparkSession, path: str, table: str, first: dt.date, last: dt.date
+    spark: SparkSession,
+    path: str,
+    table: str,
+    first: dt.date | None,
+    last: dt.date | None,
+    undated: bool = False,
 ) -> DataFrame:
-    """Insert events of a table for records dated in the months of the range."""
-    return read_or_empty(spark, path, AUDIT_STORED).filter(
-        (F.col("table_name") == table)
-        & F.col(PERIOD_COLUMN).between(
+    """Insert events of a table for records dated in the months of the range.
+
+    ``undated`` adds the events of records without a date; without a range they are all.
+    """
+    wanted = F.lit(False)
+    if first is not None:
+        wanted = F.col(PERIOD_COLUMN).between(
             first.year * 100 + first.month, last.year * 100 + last.month
         )
-        & (F.col("operation") == "INSERT")
+    if undated:
+        wanted = wanted | (F.col(PERIOD_COLUMN) == 0)
+    return read_or_empty(spark, path, AUDIT_STORED).filter(
+        (F.col("table_name") == table) & wanted & (F.col("operation") == "INSERT")
     )
 
 

@@ -151,9 +151,7 @@ def audit_stream(stream: DataFrame, path: str, checkpoint: str, **stamp) -> Stre
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         start, end = batch.agg(F.min("flight_date"), F.max("flight_date")).head()
-        if start is None:
-            return
-        known = audited_records(spark, path, "flights", start, end).select("audit_id")
+        known = audited_records(spark, path, "flights", start, end, undated=True).select("audit_id")
         events = with_audit_ids(audit_new(batch, **stamp))
         write_audit(events.join(known, "audit_id", "left_anti"), path)
 
@@ -241,7 +239,9 @@ def breach_stream(
         counters, days, found = (f"{path}/{name}" for name in ("counters", "days", "found"))
         _write_counters(batch, batch_id, counters, limits)
         own = spark.read.schema(COUNTERS).parquet(f"{counters}/batch_id={batch_id}")
-        touched = sorted(row[0] for row in own.select("flight_date").distinct().collect())
+        # rows without a date are counted, but lie on no day that could be evaluated
+        dated = own.select("flight_date").filter("flight_date IS NOT NULL").distinct()
+        touched = sorted(row[0] for row in dated.collect())
         earlier = read_or_empty(spark, days, DAYS).filter(F.col("batch_id") < batch_id)
         before = earlier.agg(F.max("last_day")).head()[0]
         ruled, windows = ruled_routes(r, rules, per_carrier_rules)

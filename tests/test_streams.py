@@ -131,3 +131,41 @@ def test_breaches_of_every_day(spark, stored, tmp_path, files):
         log = jobs.log_breaches(spark, out, f"{tmp_path}/audit", NOW)
         assert log.select("breach_id").distinct().count() == len(expected)
         assert read_audit(spark, f"{tmp_path}/audit").count() == len(expected)
+
+
+@pytest.fixture(scope="module")
+def undated(spark, tmp_path_factory):
+    """Three files: dated rows alone, rows without a date alone, and both."""
+    path = str(tmp_path_factory.mktemp("undated"))
+    day = dt.date(2023, 1, 1)
+    for n, days in enumerate(([day, day], [None, None], [None, day + dt.timedelta(days=1)])):
+        some = [
+            {"flight_id": 10 * n + k, "flight_date": d, "arr_delay_mins": 20} for k, d in enumerate(days)
+        ]
+        table(spark, "flights", some).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+@CUTS
+def test_audit_of_rows_without_a_date(spark, undated, tmp_path, files):
+    for checkpoint in ("c1", "c2"):
+        # the second start runs every batch again
+        jobs.audit_stream(
+            stream(spark, undated, files), f"{tmp_path}/out", f"{tmp_path}/{checkpoint}"
+        ).awaitTermination()
+        got = rows(read_audit(spark, f"{tmp_path}/out"), "record_id")
+        assert sorted(got) == [(0,), (1,), (10,), (11,), (20,), (21,)]
+
+
+@CUTS
+def test_breaches_beside_rows_without_a_date(spark, undated, tmp_path, files):
+    r = table(spark, "routes", [{"route_id": 1}])
+    rules = table(spark, "sla_rules", [{"window_days": 60}])
+    out = f"{tmp_path}/out"
+    jobs.breach_stream(
+        stream(spark, undated, files), r, rules, out, f"{tmp_path}/c"
+    ).awaitTermination()
+    found = rows(jobs.read_breaches(spark, out), "breach_date", "total_flights")
+    assert sorted(found) == [(dt.date(2023, 1, 1), 2), (dt.date(2023, 1, 2), 3)]
+    undated_flights = jobs.read_counters(spark, f"{out}/counters").filter("flight_date IS NULL")
+    assert rows(undated_flights, "total_flights") == [(3,)]
