@@ -1,13 +1,26 @@
 """Where derived tables are written."""
 
 import tempfile
+import threading
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
 
+class _Scopes(threading.local):
+    """Per thread: the tables settled in each open scope, as (frame, path)."""
+
+    def __init__(self) -> None:
+        self.open: list[list[tuple[DataFrame, str]]] = []
+
+
+_SCOPES = _Scopes()
+
+
 def scratch_root(spark: SparkSession) -> str:
     """A folder every executor can reach, for this application only.
 
@@ -39,4 +52,40 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    found = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _SCOPES.open:
+        _SCOPES.open[-1].append((found, path))
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a scratch table, wherever the folder lies."""
+    root = scratch_root(spark)
+    if not path.startswith(f"{root}/"):
+        raise ValueError(f"{path} is no table of this application")
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def discard(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables settled inside are deleted at the end, but for those given to what this yields.
+
+    What leaves the scope must read kept tables only. Those belong to the scope around it, if any.
+    """
+    _SCOPES.open.append([])
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    try:
+        yield keep
+    finally:
+        for df, path in _SCOPES.open.pop():
+            if any(df is k for k in kept):
+                if _SCOPES.open:
+                    _SCOPES.open[-1].append((df, path))
+            else:
+                remove(spark, path)
