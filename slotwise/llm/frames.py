@@ -5,9 +5,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slotwise.sources.scratch import scratch_path, settle
+from slotwise.sources.scratch import discard, scratch_path, settle
 
-__all__ = ["fresh", "keyed_text", "partitions_for", "read", "scratch_path", "settle", "table"]
+__all__ = ["discard", "fresh", "keyed_text", "partitions_for", "read", "scratch_path", "settle", "table"]
 
 #: What one task is given of a stage that works on whole groups, in bytes.
 TASK_BYTES = 16 * 2**20

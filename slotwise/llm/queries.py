@@ -9,10 +9,13 @@ from slotwise.llm import (
     contamination,
     language,
     lines,
+    merkle,
     mixing,
     near_copies,
     outliers,
+    phrases,
     secret_scan,
+    sketches,
     suffix_columns,
     warc,
     word_index,
@@ -124,6 +127,37 @@ def op10_winnowed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_bottom_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shingles of every document and the component of near copies it is in."""
+    found = sketches.sketch_groups(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_shingles",
+        F.col("component").alias("component_id"),
+        F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"),
+    )
+
+
+def op12_nested_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The leaf and the proof of every document, and the root it leads to once tampered with."""
+    found = merkle.manifest(read(spark, sf_dir, "documents"))
+    folded = merkle.folded(F.col("other"), F.col("path"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        "leaf",
+        "subroot",
+        "root",
+        F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"),
+        folded.alias("folded_root"),
+        (folded == F.col("root")).alias("verified"),
+    )
+
+
+def op13_tiled_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of every language."""
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -137,5 +171,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_word_index,
         op9_winnowed_contamination,
         op10_winnowed_lines,
+        op11_bottom_sketches,
+        op12_nested_manifest,
+        op13_tiled_phrases,
     )
 }

@@ -138,3 +138,12 @@ def secrets(text):
     found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m[0]) >= 16]
     found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", text) if len(m[0]) >= 32]
     return sorted(found)
+
+
+def similar(docs, size=5):
+    """Components of texts whose sets of shingles are alike to 0.8; wordless texts are one group."""
+    held = {}
+    for i, t in docs.items():
+        w = words((t or "").translate(SMALL))
+        held[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    return components(held, lambda a, b: 5 * len(held[a] & held[b]) >= 4 * len(held[a] | held[b]))
