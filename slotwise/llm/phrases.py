@@ -7,7 +7,8 @@ are frequent enough are ranked in their turn and take the place of the first wor
 three words is a cell of (pair, word). A phrase can only be frequent if its parts are.
 
 Tasks hold the ranks of the ``HEAD`` most frequent words and pairs, a fixed number. If more are frequent,
-phrases that hold another one are counted too, under their text, so nothing is lost.
+phrases that hold another one are counted under their text, so nothing is lost; ``BITS`` bits tell
+most of the rare ones beforehand.
 
 Defined results: words are lower-cased (ASCII), lie between blanks, and no phrase crosses one of
 ``. , ; : ! ?`` or an end of a line; a null text has no words; rows without a language are one
@@ -28,14 +29,17 @@ from pyspark.sql import functions as F
 from slotwise.llm import spans
 from slotwise.llm.frames import discard, settle, table
 from slotwise.llm.shingles import pieces
+from slotwise.operators.ranks import row_places
 
 NO_LANGUAGE = "und"
 LEAST = 10
 TOP = 2000
 #: Words, and pairs, whose ranks every task holds.
-HEAD = 1 << 18
-#: Side of a tile; share of its cells that makes it dense; dense tiles a task holds.
-SIDE, DENSE, TILES = 256, 1 / 16, 64
+HEAD = 1 << 21
+#: Bits that tell frequent words, and pairs, without a rank. Full bits let rare ones be counted too.
+BITS = 1 << 27
+#: Side of a tile; share of its cells that makes it dense; tiles that may be, along either side.
+SIDE, DENSE, GRID = 256, 1 / 16, 8
 #: Bytes of text looked at together; a longer text is cut between pieces.
 AT_ONCE = 1 << 20
 
@@ -111,16 +115,18 @@ def find(batch: pa.RecordBatch) -> Iterator[tuple[pa.Array, Found]]:
             )
 
 
-def _texts(found: Found, first: np.ndarray, last: np.ndarray) -> pa.Array:
-    """Words ``first`` to ``last`` with one blank between."""
-    get = found.raw.tobytes()
-    return pa.array(
-        [
-            b" ".join(get[found.starts[k] : found.ends[k]] for k in range(a, b + 1)).decode()
-            for a, b in zip(first, last, strict=True)
-        ],
-        pa.string(),
-    )
+def _texts(found: Found, first: np.ndarray, size: int = 1) -> pa.Array:
+    """The ``size`` words from each of ``first`` on, with one blank between."""
+    word = (first[:, None] + np.arange(size)).ravel()
+    own = found.ends[word] - found.starts[word]
+    room = own + 1
+    room[size - 1 :: size] -= 1
+    ends = np.concatenate([[0], np.cumsum(room)])
+    place = np.arange(ends[-1]) - np.repeat(ends[:-1], room)
+    data = found.raw[np.minimum(np.repeat(found.starts[word], room) + place, len(found.raw) - 1)]
+    data[place == np.repeat(own, room)] = 0x20
+    offsets = pa.py_buffer(ends[::size].astype(np.int32))
+    return pa.StringArray.from_buffers(len(first), offsets, pa.py_buffer(data))
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -131,7 +137,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for langs, found in find(batch):
                 _, first, times = np.unique(found.key, return_index=True, return_counts=True)
                 yield pa.RecordBatch.from_arrays(
-                    [langs.take(pa.array(found.lang[first])), _texts(found, first, first), pa.array(times)],
+                    [langs.take(pa.array(found.lang[first])), _texts(found, first), pa.array(times)],
                     ["lang", "word", "times"],
                 )
 
@@ -139,25 +145,42 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("times").alias("times"))
 
 
+#: What :meth:`Ranks.find` says of keys without a rank.
+RARE, MAYBE = -1, -2
+
+
 @dataclass
 class Ranks:
-    """Hashes in order, and the rank each stands for."""
+    """Hashes of the most frequent in order, with their ranks, and bits that tell other frequent ones."""
 
     keys: np.ndarray
     ranks: np.ndarray
-    whole: bool  # whether everything frequent is among them
+    bits: np.ndarray | None  # None if all that is frequent has a rank
 
     @classmethod
-    def of(cls, keys: np.ndarray, whole: bool) -> "Ranks":
+    def of(cls, keys: np.ndarray, bits: np.ndarray | None) -> "Ranks":
         order = np.argsort(keys)
-        return cls(keys[order], order.astype(np.int64), whole)
+        return cls(keys[order], order.astype(np.int64), bits)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The rank of each key, -1 where it has none."""
-        if not len(self.keys):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.ranks[at], -1)
+        """The rank of each key; ``RARE`` if it is surely not frequent, else ``MAYBE``."""
+        if len(self.keys):
+            at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+            found = np.where(self.keys[at] == keys, self.ranks[at], RARE)
+        else:
+            found = np.full(len(keys), RARE, np.int64)
+        if self.bits is not None:
+            held = np.ones(len(keys), bool)
+            for word, bit in _bits_of(keys):
+                held &= (self.bits[word] >> bit) & np.uint64(1) > 0
+            found[held & (found == RARE)] = MAYBE
+        return found
+
+
+def _bits_of(keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Two places of each key among ``BITS``, as word and bit."""
+    places = [keys % np.uint64(BITS), (keys >> np.uint64(32)) % np.uint64(BITS)]
+    return [((p >> np.uint64(6)).astype(np.int64), p & np.uint64(63)) for p in places]
 
 
 @dataclass
@@ -168,23 +191,25 @@ class Tiles:
 
     def add(self, first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Counts cells of dense tiles here, and returns (cell, times) of all others in order."""
-        tile = ((first // SIDE) << 32) | (second // SIDE)
-        which, code, times = np.unique(tile, return_inverse=True, return_counts=True)
-        place = (first % SIDE) * SIDE + second % SIDE
+        near = np.flatnonzero((first < GRID * SIDE) & (second < GRID * SIDE))
+        tile = (first[near] // SIDE) * GRID + second[near] // SIDE
+        times = np.bincount(tile, minlength=GRID * GRID)
+        for k in np.flatnonzero(times >= DENSE * SIDE * SIDE):
+            self.dense.setdefault(int(k), np.zeros(SIDE * SIDE, np.int64))
         rest = np.ones(len(first), bool)
-        for k in np.flatnonzero(times >= DENSE * SIDE * SIDE) if len(self.dense) < TILES else ():
-            self.dense.setdefault(int(which[k]), np.zeros(SIDE * SIDE, np.int64))
-        for k in [k for k, t in enumerate(which) if int(t) in self.dense] if self.dense else ():
-            inside = code == k
-            self.dense[int(which[k])] += np.bincount(place[inside], minlength=SIDE * SIDE)
-            rest &= ~inside
+        for k, counts in self.dense.items():
+            if times[k]:
+                inside = near[tile == k]
+                place = (first[inside] % SIDE) * SIDE + second[inside] % SIDE
+                counts += np.bincount(place, minlength=SIDE * SIDE)
+                rest[inside] = False
         return np.unique((first[rest] << 32) | second[rest], return_counts=True)
 
     def cells(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for tile, counts in self.dense.items():
             held = np.flatnonzero(counts)
-            first = (tile >> 32) * SIDE + held // SIDE
-            second = (tile & 0xFFFFFFFF) * SIDE + held % SIDE
+            first = (tile // GRID) * SIDE + held // SIDE
+            second = (tile % GRID) * SIDE + held % SIDE
             yield (first << 32) | second, counts[held]
 
 
@@ -209,20 +234,26 @@ def _spelled(langs: pa.Array, found: Found, first: np.ndarray, size: int) -> pa.
         [
             pa.nulls(len(at), pa.int64()),
             langs.take(pa.array(found.lang[at])),
-            _texts(found, at, at + size - 1),
+            _texts(found, at, size),
             pa.array(times),
         ],
         ["cell", "lang", "phrase", "times"],
     )
 
 
-def _summed(counted: DataFrame, least: int) -> DataFrame:
-    total = counted.groupBy("cell", "lang", "phrase").agg(F.sum("times").alias("times"))
-    return total.where(F.col("times") >= least)
+def _summed(counted: DataFrame, whole: bool, least: int) -> DataFrame:
+    """Frequent phrases; without spelled ones the cell alone tells them apart."""
+    by = ["cell"] if whole else ["cell", "lang", "phrase"]
+    total = counted.groupBy(*by).agg(F.sum("times").alias("times")).where(F.col("times") >= least)
+    if whole:
+        none = F.lit(None).cast("string")
+        total = total.select("cell", none.alias("lang"), none.alias("phrase"), "times")
+    return total
 
 
 def pair_counts(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
     """(cell, lang, phrase, times) of frequent pairs; a cell is two ranks, a phrase has none."""
+    whole = words.value.bits is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, tiles = words.value, Tiles()
@@ -230,55 +261,92 @@ def pair_counts(docs: DataFrame, words: Broadcast, least: int) -> DataFrame:
             for langs, found in find(batch):
                 rank = ranks.find(found.key)
                 at = np.flatnonzero(found.follows)
-                known = (rank[at] >= 0) & (rank[at + 1] >= 0) if len(at) else np.zeros(0, bool)
-                cells = at[known]
-                yield _cells(*tiles.add(rank[cells], rank[cells + 1]))
-                if not ranks.whole:
-                    yield _spelled(langs, found, at[~known], 2)
+                one, two = rank[at], rank[np.minimum(at + 1, len(rank) - 1)]
+                known = (one >= 0) & (two >= 0)
+                yield _cells(*tiles.add(one[known], two[known]))
+                if not whole:
+                    yield _spelled(langs, found, at[~known & (one != RARE) & (two != RARE)], 2)
         for cells, times in tiles.cells():
             yield _cells(cells, times)
 
-    return _summed(docs.select("lang", "text").mapInArrow(run, _COUNTED), least)
+    return _summed(docs.select("lang", "text").mapInArrow(run, _COUNTED), whole, least)
 
 
 def triple_counts(docs: DataFrame, words: Broadcast, pairs: Broadcast, least: int) -> DataFrame:
     """As :func:`pair_counts` for three words: a cell is the rank of a pair and that of a word."""
+    whole = words.value.bits is None and pairs.value.bits is None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, paired, tiles = words.value, pairs.value, Tiles()
         for batch in batches:
             for langs, found in find(batch):
-                at = np.flatnonzero(found.follows[:-1] & found.follows[1:])
-                if not len(at):
-                    continue
-                first = paired.find(pair_keys(found.key[at], found.key[at + 1]))
-                second = paired.find(pair_keys(found.key[at + 1], found.key[at + 2]))
+                # the rank of the pair that begins at each word, where one does
+                pair = np.full(len(found.key), RARE)
+                at = np.flatnonzero(found.follows)
+                pair[at] = paired.find(pair_keys(found.key[at], found.key[at + 1]))
+                at = np.flatnonzero((pair[:-1] != RARE) & (pair[1:] != RARE))
                 word = ranks.find(found.key[at + 2])
-                known = (first >= 0) & (second >= 0) & (word >= 0)
-                yield _cells(*tiles.add(first[known], word[known]))
-                if not (ranks.whole and paired.whole):
+                known = (pair[at] >= 0) & (word >= 0)
+                yield _cells(*tiles.add(pair[at][known], word[known]))
+                if not whole:
                     yield _spelled(langs, found, at[~known], 3)
         for cells, times in tiles.cells():
             yield _cells(cells, times)
 
-    return _summed(docs.select("lang", "text").mapInArrow(run, _COUNTED), least)
+    return _summed(docs.select("lang", "text").mapInArrow(run, _COUNTED), whole, least)
 
 
-def _head(frequent: DataFrame, columns: list[str], head: int) -> tuple[list, bool]:
-    """The ``head`` most frequent rows in order, and whether that is all of them."""
-    rows = frequent.orderBy(F.desc("times"), "lang", *columns).select("lang", *columns).limit(head + 1).collect()
-    return rows[:head], len(rows) <= head
+def _row_keys(rows: pa.RecordBatch, names: list[str]) -> np.ndarray:
+    """The hash of each row's language and words, as :func:`find` makes it."""
 
+    if not rows.num_rows:
+        return np.zeros(0, np.uint64)
+    langs, found = language_keys(rows.column("lang").cast(pa.string())), None
+    for name in names:
+        raw, offsets = spans.text_bytes(rows.column(name).cast(pa.string()))
+        own = keys_of(spans.range_hashes(spans.BYTE_VALUES[raw], offsets[:-1], offsets[1:]), langs)
+        found = own if found is None else pair_keys(found, own)
+    return found
 
-def _word_keys(rows: list, column: int) -> np.ndarray:
-    langs = language_keys(pa.array([r[0] for r in rows], pa.string()))
-    raw, offsets = spans.text_bytes(pa.array([r[column] for r in rows], pa.string()))
-    return keys_of(spans.range_hashes(spans.BYTE_VALUES[raw], offsets[:-1], offsets[1:]), langs)
 
+def ranked(frequent: DataFrame, names: list[str], head: int, name: str) -> tuple[DataFrame, Ranks]:
+    """The ``head`` most frequent rows with their ranks, and what tasks are given of all rows."""
+    order = [F.desc("times"), "lang", *names]
+    placed = row_places(frequent.withColumn("all", F.lit("")), ["all"], order, f"{name}-placed")
+    placed = settle(placed.select("lang", *names, F.col("_nr").alias("rank")), f"{name}-ranked")
+    first = placed.where(F.col("rank") < head)
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = pa.array(_row_keys(batch, names).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column("rank"), own], ["rank", "key"])
+
+    found = first.mapInArrow(keyed, "rank bigint, key bigint").toArrow()
+    keys = np.zeros(found.num_rows, np.uint64)
+    keys[found.column("rank").to_numpy()] = found.column("key").to_numpy().view(np.uint64)
+    rest = placed.where(F.col("rank") >= head)
+    bits = None if rest.isEmpty() else _told(rest, names)
+    return first, Ranks.of(keys, bits)
 
-def _ranked(spark, rows: list, names: list[str]) -> DataFrame:
-    schema = ", ".join(f"{n} string" for n in names)
-    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], f"{schema}, rank bigint")
+
+def _told(rows: DataFrame, names: list[str]) -> np.ndarray:
+    """Bits that are set for every row's key; each task sends the words it set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = np.zeros(BITS // 64, np.uint64)
+        for batch in batches:
+            for word, bit in _bits_of(_row_keys(batch, names)):
+                np.bitwise_or.at(own, word, np.uint64(1) << bit)
+        held = np.flatnonzero(own)
+        for lo in range(0, len(held), 1 << 16):
+            part = held[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(own[part].view(np.int64))], ["word", "bits"])
+
+    each = rows.select("lang", *names).mapInArrow(run, "word bigint, bits bigint")
+    found = each.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(BITS // 64, np.uint64)
+    bits[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return bits
 
 
 def _spell(counted: DataFrame, first: DataFrame, second: DataFrame, words: list[str]) -> DataFrame:
@@ -325,17 +393,13 @@ def collocations(
         words = settle(word_counts(own), "words")
         totals = words.groupBy("lang").agg(F.sum("times").alias("n"))
         frequent = settle(words.where(F.col("times") >= least), "words-frequent")
-        rows, whole = _head(frequent, ["word"], head)
-        ranks = spark.sparkContext.broadcast(Ranks.of(_word_keys(rows, 1), whole))
-        named = settle(_ranked(spark, rows, ["lang", "word"]), "words-ranked")
+        named, found = ranked(frequent, ["word"], head, "words")
+        ranks = spark.sparkContext.broadcast(found)
         counted = settle(pair_counts(own, ranks, least), "pair-cells")
         first = named.withColumnRenamed("word", "w1")
         pairs = settle(_spell(counted, first, named, ["w1", "w2"]), "pairs")
-        rows, whole = _head(pairs, ["w1", "w2"], head)
-        pair_ranks = spark.sparkContext.broadcast(
-            Ranks.of(pair_keys(_word_keys(rows, 1), _word_keys(rows, 2)), whole)
-        )
-        paired = settle(_ranked(spark, rows, ["lang", "w1", "w2"]), "pairs-ranked")
+        paired, found = ranked(pairs, ["w1", "w2"], head, "pairs")
+        pair_ranks = spark.sparkContext.broadcast(found)
         counted = settle(triple_counts(own, ranks, pair_ranks, least), "triple-cells")
         triples = settle(_spell(counted, paired, named, ["w1", "w2", "w3"]), "triples")
 
