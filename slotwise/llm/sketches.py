@@ -172,7 +172,7 @@ def _unsettled(members: DataFrame, name: str) -> DataFrame:
 
 
 def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """(a, b): the pivot of each list with its members of other components."""
+    """(a, b): each node with the least pivot of its lists that is in another component."""
     rank = F.xxhash64("node", F.lit(turn)) if turn else F.col("node")
     ranked = members.withColumn("_rank", rank)
     least = settle(ranked.groupBy("value").agg(F.min("_rank").alias("_rank")), "pivot-ranks")
@@ -181,7 +181,8 @@ def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
     )
     met = members.join(settle(pivots.distinct(), "pivots").hint("merge"), "value")
     met = met.where((F.col("node") != F.col("a")) & (F.col("root") != F.col("ra")) & _sizes_fit("n", "na"))
-    return met.select("a", F.col("node").alias("b")).distinct()
+    # one pair a node and round: what stays apart meets the other pivots later
+    return met.groupBy("node").agg(F.min("a").alias("a")).select("a", F.col("node").alias("b"))
 
 
 def _few_pairs(members: DataFrame) -> DataFrame:
@@ -194,26 +195,29 @@ def _few_pairs(members: DataFrame) -> DataFrame:
 
 
 def _crowd_links(members: DataFrame, docs: DataFrame, shingle: int, block: int) -> DataFrame:
-    """Links within long lists: blocks of all but the largest component, against blocks of all."""
+    """Links within long lists: blocks of all but the largest component, against blocks of all.
+
+    Lists of one largest component hold much the same nodes, so they are taken together, and a
+    node is sent once for all of them.
+    """
     kinds = settle(members.groupBy("value", "root").agg(F.count(F.lit(1)).alias("times")), "crowd-roots")
-    most = kinds.groupBy("value").agg(
-        F.max(F.col("times")).alias("most"), F.sum("times").alias("all"), F.count(F.lit(1)).alias("kinds")
-    )
-    big = kinds.join(most.hint("merge"), "value").where("times = most").groupBy("value", "all", "most").agg(
+    most = kinds.groupBy("value").agg(F.max("times").alias("most"))
+    big = kinds.join(most.hint("merge"), "value").where("times = most").groupBy("value").agg(
         F.min("root").alias("big")
     )
-    parts = settle(
-        big.select(
-            "value", "big", F.ceil(F.col("all") / block).cast("int").alias("columns"),
-            F.ceil((F.col("all") - F.col("most")) / block).cast("int").alias("rows"),
-        ),
-        "crowd-parts",
-    )
+    named = members.join(settle(big, "crowd-largest").hint("merge"), "value")
+    members = named.groupBy("big", "node").agg(F.min("root").alias("root"))
+    members = settle(members.withColumnRenamed("big", "value"), "crowd-members")
+    parts = members.groupBy("value").agg(
+        F.ceil(F.count(F.lit(1)) / block).cast("int").alias("columns"),
+        F.ceil(F.count_if(F.col("root") != F.col("value")) / block).cast("int").alias("rows"),
+    )
+    parts = settle(parts, "crowd-parts")
     dealt = members.join(parts.hint("merge"), "value")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     own = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     down = dealt.select("value", "node", own("columns").alias("y"), every("rows").alias("x"))
-    across = dealt.where("root != big").select("value", "node", own("rows").alias("x"), every("columns").alias("y"))
+    across = dealt.where("root != value").select("value", "node", own("rows").alias("x"), every("columns").alias("y"))
     met = down.unionByName(across).distinct().select("value", "x", "y", F.col("node").alias("id"))
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
