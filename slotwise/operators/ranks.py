@@ -52,3 +52,42 @@ def row_places(df: DataFrame, group: Sequence[str], order: Sequence[str | Column
     return placed.join(starts, [RANGE, *group]).select(
         *df.columns, (F.col("_before") + F.col(PLACE) - F.col("_first")).alias("_nr"), "_rows"
     )
+
+
+def global_ranks(df: DataFrame, value: str, key: Sequence[str]) -> DataFrame:
+    """``df`` with ``rank``, ``dense_rank`` and ``percent_rank`` of ``value`` over all rows, NULLs first.
+
+    ``key`` tells rows with equal values apart, so that they may fill any number of ranges. What
+    comes to the driver is one row for each range: its size, its values' number, the first and the last.
+    """
+    spark = df.sparkSession
+    order = [F.col(value).asc_nulls_first(), *key]
+    placed = laid_out(settle(df, "to-rank"), order, "ranked-ranges")
+    inside = Window.partitionBy(RANGE).orderBy(F.col(value).asc_nulls_first())
+    local = placed.withColumns({"_local": F.rank().over(inside), "_dense": F.dense_rank().over(inside)})
+    local = settle(local, "ranked-inside")
+    each = local.groupBy(RANGE).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.max("_dense").alias("kinds"),
+        F.max(F.when(F.col("_dense") == 1, F.col(value))).alias("first"),
+        F.max_by(value, "_dense").alias("last"),
+        F.max("_local").alias("last_local"),
+    )
+    starts, before, dense, run, previous = [], 0, 0, 0, None
+    for row in sorted(each.collect(), key=lambda r: r[RANGE]):
+        # a value that goes on from the range before keeps the rank it began with
+        goes_on = previous is not None and previous[0] == row.first
+        first_rank = run if goes_on else before + 1
+        starts.append((row[RANGE], before, dense - goes_on, first_rank))
+        dense += row.kinds - goes_on
+        run = first_rank if row.kinds == 1 else before + row.last_local
+        before, previous = before + row.rows, (row.last,)
+    shift = spark.createDataFrame(starts, f"{RANGE} int, _before bigint, _dense_before bigint, _run bigint")
+    rank = F.when(F.col("_dense") == 1, F.col("_run")).otherwise(F.col("_before") + F.col("_local"))
+    share = (rank - 1) / F.lit(before - 1).cast("double") if before > 1 else F.lit(0.0)
+    return local.join(shift, RANGE).select(
+        *df.columns,
+        rank.cast("bigint").alias("rank"),
+        (F.col("_dense_before") + F.col("_dense")).cast("bigint").alias("dense_rank"),
+        share.alias("percent_rank"),
+    )

@@ -38,7 +38,7 @@ from slotwise.operators.quality import (
     rejected,
     validate,
 )
-from slotwise.sources.layout import with_month, write_audit, write_flights, write_quarantine
+from slotwise.sources.layout import drop_months, with_month, write_audit, write_flights, write_quarantine
 from slotwise.sources.schemas import (
     AUDIT_STORED,
     FLIGHTS,
@@ -190,47 +190,79 @@ def update_flights(
     changed_at: dt.datetime | None = None,
     change_id: str = "",
     quarantine_path: str | None = None,
+    limits: Limits = DEFAULT_LIMITS,
+    clamp_early: bool = False,
 ) -> DataFrame:
     """Replaces stored facts by changed ones and audits the change; unknown keys are returned.
 
     ``change_id`` names the batch, so that a fact may take the same change again later.
-    Further changes of a key in the batch, and all stored copies of a changed key that is
-    stored more than once, are kept aside in ``quarantine_path`` before anything is replaced; the
-    folder's default is the one of the facts with ``_aside`` after its name.
-
-    Only the months that hold a changed key, before or after, are written anew. The audit goes
-    first: a run that fails in between finds the same changes, under the same ids, again.
+    Changes that break a rule or lack a required value, further changes of a key in the batch, and
+    all stored copies of a changed key that is stored more than once, are kept aside in
+    ``quarantine_path`` before anything is replaced; the folder's default is the one of the facts with
+    ``_aside`` after its name. A key stored more than once is audited against the copy that an
+    ingest would have kept.
+
+    Only the months that hold a changed key, before or after, are written anew, and a month
+    that loses its last row is removed. The audit goes first: a run that fails in between finds the
+    same changes, under the same ids, again. If it fails before a month is removed, a fact that
+    moved is stored in both, and the next run takes the copies for what they are.
     """
     spark = changes.sparkSession
-    changes, further = one_of_each_key(settle(changes.select(*FLIGHTS.names), "given"))
+    checked = validate(changes.select(*FLIGHTS.names), limits, clamp_early)
+    reason = F.coalesce(missing_reason(), F.col("reject_reason"))
+    checked = settle(checked.withColumn("reject_reason", reason), "given")
+    changes, further = one_of_each_key(accepted(checked))
     changes = settle(changes, "changes")
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
     keys = changes.select("flight_id")
     old = settle(stored.join(keys, "flight_id", "left_semi"), "old-facts")
     copies = old.join(repeated_old_keys(changes, old).select("flight_id"), "flight_id", "left_semi")
-    bad = further.withColumn("reject_reason", F.lit(REPEATED_KEY)).unionByName(
-        copies.select(*FLIGHTS.names, F.lit(REPEATED_STORED_KEY).alias("reject_reason"))
+    bad = reduce(
+        DataFrame.unionByName,
+        [
+            rejected(checked),
+            further.withColumn("reject_reason", F.lit(REPEATED_KEY)),
+            copies.select(*FLIGHTS.names, F.lit(REPEATED_STORED_KEY).alias("reject_reason")),
+        ],
     )
     aside = quarantine_path or f"{flights_path.rstrip('/')}_aside"
     write_quarantine(_not_aside(spark, bad, aside), aside)
+    single, _ = one_of_each_key(old)
     events = with_audit_ids(
         audit_updates(
-            changes, old, null_safe=null_safe, changed_by=changed_by, changed_at=changed_at
+            changes, single, null_safe=null_safe, changed_by=changed_by, changed_at=changed_at
         ),
         change_id,
     )
-    known = read_or_empty(spark, audit_path, AUDIT_STORED).filter("operation = 'UPDATE'")
+    known = read_or_empty(spark, audit_path, AUDIT_STORED).filter(
+        (F.col("table_name") == "flights")
+        & (F.col("operation") == "UPDATE")
+        & _in_months(F.col(PERIOD_COLUMN), _months(with_month(changes), MONTH_COLUMN))
+    )
     write_audit(events.join(known.select("audit_id"), "audit_id", "left_anti"), audit_path)
     found = changes.join(old.select("flight_id"), "flight_id", "left_semi")
-    months = old.select(MONTH_COLUMN).unionByName(with_month(found).select(MONTH_COLUMN)).distinct()
-    touched = [row[0] for row in months.collect()]  # calendar months
+    moved = with_month(found).select(MONTH_COLUMN)
+    touched = _months(old.select(MONTH_COLUMN).unionByName(moved), MONTH_COLUMN)
     if touched:
-        rest = stored.filter(F.col(MONTH_COLUMN).isin(touched)).join(keys, "flight_id", "left_anti")
-        whole = rest.select(*FLIGHTS.names).unionByName(found)
-        write_flights(settle(whole, "touched-months"), flights_path, "overwrite")
+        here = stored.filter(_in_months(F.col(MONTH_COLUMN), touched))
+        rest = here.join(keys, "flight_id", "left_anti")
+        whole = settle(rest.select(*FLIGHTS.names).unionByName(found), "touched-months")
+        write_flights(whole, flights_path, "overwrite")
+        left = set(_months(with_month(whole), MONTH_COLUMN))
+        drop_months(spark, flights_path, [month for month in touched if month not in left])
     return changes.join(old.select("flight_id"), "flight_id", "left_anti")
 
 
+def _months(rows: DataFrame, column: str) -> list[int | None]:
+    """The calendar months of some rows, None among them for rows without a date."""
+    return [row[0] for row in rows.select(column).distinct().collect()]
+
+
+def _in_months(column: Column, months: Sequence[int | None]) -> Column:
+    found = column.isin([month for month in months if month is not None])
+    return found | column.isNull() if None in months else found
+
+
 def _unless_in(rows: DataFrame, known: DataFrame) -> DataFrame:
     return rows.join(known.select("flight_id"), "flight_id", "left_anti")
 

@@ -8,7 +8,7 @@ from slotwise.config import CAUSES
 from slotwise.plans import registry as q
 from slotwise.sources.exports import DISPLAY, RENAMED
 from slotwise.sources.schemas import DOMAINS, LENGTHS, TABLES
-from slotwise.sources.star import AS_OF, RULES, WEEKLY
+from slotwise.sources.star import AS_OF, RULE_CHANGES, RULES, WEEKLY
 
 
 def fixed(value: str, digits: int) -> str:
@@ -115,6 +115,28 @@ _RULES = "rules(rule_id, carrier_code, max_rate, min_flights, window_days) AS (V
     )
 )
 
+_VERSIONS = (
+    "changes(rule_id, carrier_code, max_rate, min_flights, window_days, updated_at, updated_by) AS (VALUES "
+    + ", ".join(
+        "({}, {}, {}, {}, {}, TIMESTAMP '{}', '{}')".format(
+            r["rule_id"],
+            f"'{r['carrier_code']}'" if r["carrier_code"] else "NULL",
+            r["max_delay_rate_pct"],
+            r["min_flights_window"],
+            r["window_days"],
+            r["updated_at"],
+            r["updated_by"],
+        )
+        for r in RULE_CHANGES
+    )
+    + """),
+versions AS MATERIALIZED (
+    SELECT *, (row_number() OVER h)::INTEGER AS version, lead(valid_from) OVER h - 1 AS valid_to
+    FROM (SELECT *, updated_at::DATE AS valid_from FROM changes
+          QUALIFY row_number() OVER (PARTITION BY rule_id, updated_at::DATE ORDER BY updated_at DESC) = 1)
+    WINDOW h AS (PARTITION BY rule_id ORDER BY valid_from))"""
+)
+
 _DATES = "dates(breach_date) AS (VALUES {})".format(", ".join(f"({day(d)})" for d in WEEKLY))
 
 
@@ -408,8 +430,11 @@ def all_sql() -> dict[str, str]:
         ),
         "od_matrix": sql("SELECT * FROM pairs", _PAIRS),
         "od_pivot": sql(
-            """SELECT * FROM (PIVOT (SELECT origin, destination, delay_rate_pct FROM pairs)
-                   ON destination USING max(delay_rate_pct) GROUP BY origin)""",
+            "SELECT origin, "
+            + ", ".join(
+                f"max(delay_rate_pct) FILTER (WHERE destination = '{d}') AS \"{d}\"" for d in q.NATIONS
+            )
+            + " FROM pairs GROUP BY origin",
             _PAIRS,
         ),
         "time_of_day": sql("SELECT * FROM slots", _SLOTS),
@@ -694,6 +719,15 @@ def all_sql() -> dict[str, str]:
                 _audit("flights", "INSERT", "flight_id", "NULL::VARCHAR", _INSERT_JSON, "flights")
             ),
         ),
+        "stream_audit_once": sql(
+            """SELECT DISTINCT md5(json_object('table_name', table_name, 'operation', operation,
+                       'record_id', record_id, 'new_values', new_values, 'col6', '')::VARCHAR)
+                       AS audit_id, *
+               FROM events""",
+            "events AS ({})".format(
+                _audit("flights", "INSERT", "flight_id", "NULL::VARCHAR", _INSERT_JSON, "flights")
+            ),
+        ),
         "stream_daily_counts": sql(
             f"""SELECT *, flight_date < (SELECT max(flight_date) FROM flown) - 3 AS closed
                 FROM ({_COUNTERS})"""
@@ -732,13 +766,29 @@ def all_sql() -> dict[str, str]:
             f"good AS (SELECT * FROM flights WHERE NOT ({_REJECT}))",
         ),
         "update_outcomes": sql(
-            """SELECT 'facts' AS outcome, count(DISTINCT flight_id) AS row_count,
-                      sum(arr_delay_mins)::BIGINT AS arr_delay_mins
-               FROM flights WHERE flight_date < DATE '2023-12-01'
+            """SELECT 'facts' AS outcome, count(*) AS row_count, sum(arr)::BIGINT AS arr_delay_mins
+               FROM (SELECT CASE WHEN any_value(n) = 1 THEN any_value(arr_delay_mins) END AS arr FROM keyed
+                     WHERE flight_date < DATE '2023-12-01' GROUP BY flight_id
+                     UNION ALL SELECT CASE WHEN any_value(n) = 1 THEN any_value(arr_delay_mins
+                         - CASE WHEN scheduled_dep >= 1800 THEN 5 ELSE 0 END) END
+                     FROM keyed WHERE flight_date < DATE '2023-12-01' AND flight_id % 400 = 7
+                     GROUP BY flight_id)
+               UNION ALL SELECT 'left in the month they moved from', 0::BIGINT, NULL::BIGINT
                UNION ALL SELECT 'audit', count(*), NULL::BIGINT FROM flights
                    WHERE flight_date < DATE '2023-12-01' AND scheduled_dep >= 1800
                UNION ALL SELECT 'unknown', count(*), NULL::BIGINT FROM flights
-                   WHERE flight_date >= DATE '2023-12-01'"""
+                   WHERE flight_date >= DATE '2023-12-01'
+               UNION ALL SELECT 'second row of a key', count(*) + count(*) FILTER (WHERE flight_id % 50 = 0)
+                   - count(DISTINCT flight_id), NULL::BIGINT FROM flights
+                   HAVING count(*) FILTER (WHERE flight_id % 50 = 0) > 0 OR count(*) > count(DISTINCT flight_id)
+               UNION ALL SELECT 'key is stored more than once', sum(n)::BIGINT, NULL::BIGINT
+                   FROM (SELECT count(*) * CASE WHEN flight_id % 70 = 3 THEN 2 ELSE 1 END AS n FROM flights
+                         WHERE flight_date < DATE '2023-12-01' GROUP BY flight_id HAVING n > 1) HAVING sum(n) > 0
+               UNION ALL SELECT 'missing flight_number', count(*), NULL::BIGINT FROM flights
+                   WHERE flight_id % 90 = 1 HAVING count(*) > 0
+               UNION ALL SELECT 'missing flight_date', count(*), NULL::BIGINT FROM flights
+                   WHERE flight_id % 110 = 2 HAVING count(*) > 0""",
+            "keyed AS (SELECT *, count(*) OVER (PARTITION BY flight_id) AS n FROM flights)",
         ),
         "ontime_roundtrip": sql(
             """SELECT 'kept' AS outcome, count(*) AS row_count,
@@ -749,6 +799,56 @@ def all_sql() -> dict[str, str]:
                UNION ALL SELECT 'refused', count(*), NULL::BIGINT, NULL::BIGINT FROM flights
                WHERE flight_id % 40 IN (0, 2, 3, 4)"""
         ),
+        "delay_percentiles": sql(
+            """SELECT flight_id, arr_delay_mins, rank() OVER o AS delay_rank,
+                      dense_rank() OVER o AS delay_dense_rank,
+                      percent_rank() OVER o AS delay_percent_rank
+               FROM flown WHERE arr_delay_mins IS NOT NULL WINDOW o AS (ORDER BY arr_delay_mins)"""
+        ),
+        "rule_history_versions": sql(
+            """SELECT rule_id, version, carrier_code, max_rate::DOUBLE AS max_delay_rate_pct, window_days,
+                      updated_by, valid_from, valid_to FROM versions""",
+            _VERSIONS,
+        ),
+        "rules_in_force": sql(
+            """SELECT rule_id, carrier_code, max_rate::DOUBLE AS max_delay_rate_pct,
+                      min_flights AS min_flights_window, window_days, updated_by
+               FROM versions WHERE DATE '2023-09-30' BETWEEN valid_from
+                   AND coalesce(valid_to, DATE '9999-12-31')""",
+            _VERSIONS,
+        ),
+        "breaches_by_rule_version": sql(
+            f"""SELECT * EXCLUDE (max_rate, min_flights) FROM (
+                SELECT route_id, breach_date, rule_id, version, max_rate, min_flights,
+                       {pct(n_if("arr_delay_mins >= 15"), "count(*)")} AS delay_rate_pct,
+                       count(*) AS total_flights, {n_if("arr_delay_mins >= 15")} AS delayed_flights
+                FROM flown JOIN in_force ON flight_date BETWEEN breach_date - window_days::INTEGER
+                    AND breach_date
+                GROUP BY ALL)
+                WHERE total_flights >= min_flights AND delay_rate_pct > max_rate""",
+            _VERSIONS
+            + """, in_force AS (SELECT d.breach_date, v.* FROM dates d
+                   ASOF JOIN (SELECT * FROM versions WHERE rule_id = 1) v ON d.breach_date >= v.valid_from)""",
+        ),
+        "facts_in_rule_windows": sql(
+            f"""SELECT rule_id, version, f.carrier_code, count(*) AS total_flights,
+                       {n_if("arr_delay_mins >= 15")} AS delayed_flights
+                FROM flown f JOIN versions v ON flight_date >= valid_from
+                    AND (valid_to IS NULL OR flight_date <= valid_to)
+                    AND (v.carrier_code IS NULL OR v.carrier_code = f.carrier_code)
+                GROUP BY ALL""",
+            _VERSIONS,
+        ),
+        "facts_as_of": sql(
+            """SELECT flight_id, flight_date, flight_number, route_id, dep_delay_mins, arr_delay_mins,
+                      cancelled, CASE WHEN scheduled_dep >= 1800 THEN diverted END AS diverted
+               FROM flights WHERE flight_date < DATE '2023-12-01'
+               AND flight_id IN (SELECT flight_id FROM flights GROUP BY 1 HAVING count(*) = 1)"""
+        ),
+        "stream_unresolved": sql(
+            f"""SELECT breach_id, route_id, breach_date FROM breach_log
+                WHERE NOT (breach_id % 3 = 0 AND (breach_id * 37) % 720 + 1 <= {q.WITHIN_HOURS})"""
+        ),
         "declared_duplicates": sql(_declared_duplicates()),
         "declared_counts": sql(_declared_counts()),
     }

@@ -17,10 +17,13 @@ from slotwise.operators import (
     carriers,
     diagnostics,
     flagging,
-    keys,
+    intervals,
     quality,
+    ranks,
+    rule_history,
     scorecard,
     selection,
+    state,
     views,
 )
 from slotwise.plans.jobs import ingest_flights, update_flights
@@ -29,7 +32,7 @@ from slotwise.sources import tables as stored
 from slotwise.sources.exports import displayed, export_reports
 from slotwise.sources.layout import read_audit, read_flights, write_flights
 from slotwise.sources.ontime_csv import COLUMNS, ontime_flights, ontime_routes, read_ontime
-from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, TABLES
+from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, SLA_BREACH_LOG, TABLES
 from slotwise.sources.scratch import scratch_path
 from slotwise.sources.star import AS_OF, WEEKLY, Star, open_star
 from slotwise.streaming import jobs
@@ -42,6 +45,10 @@ QUARTER = (dt.date(2023, 1, 1), dt.date(2023, 3, 31))
 NOW = dt.datetime(2023, 12, 31, 18)
 #: Delays so long that some carriers have none.
 RARE = Limits(severe_mins=478)
+#: Codes of all airports, the columns of a pivot by destination.
+NATIONS = [str(nation) for nation in range(25)]
+#: Hours in which a breach should be resolved.
+WITHIN_HOURS = 240
 DAILY = [dt.date(2023, 10, 1) + dt.timedelta(days=day) for day in range(92)]
 
 _QUERIES: dict[str, Callable[[Star], DataFrame]] = {}
@@ -122,7 +129,7 @@ def od_matrix(s: Star) -> DataFrame:
 
 @query
 def od_pivot(s: Star) -> DataFrame:
-    return airports.od_pivot(od_matrix(s))
+    return airports.od_pivot(od_matrix(s), NATIONS)
 
 
 @query
@@ -403,13 +410,101 @@ def dep_arr_drift(s: Star) -> DataFrame:
 
 @query
 def route_dimension(s: Star) -> DataFrame:
-    """Rebuilt from the natural keys of the facts."""
-    keyed = s.flights.select("route_id").distinct().join(s.routes, "route_id")
-    return keys.route_dimension(
-        keyed, retail.scheduled_mins(), sort_code=lambda code: code.cast("int")
+    """Routes numbered from movements, which carry natural keys only."""
+    return retail.routes(retail.movements(s.spark, s.sf_dir))
+
+
+@query
+def delay_percentiles(s: Star) -> DataFrame:
+    """Every flown fact's place among all arrival delays."""
+    known = flown(s.flights).filter(F.col("arr_delay_mins").isNotNull()).select("flight_id", "arr_delay_mins")
+    ranked = ranks.global_ranks(known, "arr_delay_mins", ["flight_id"])
+    return ranked.select(
+        "flight_id",
+        "arr_delay_mins",
+        F.col("rank").alias("delay_rank"),
+        F.col("dense_rank").alias("delay_dense_rank"),
+        F.col("percent_rank").alias("delay_percent_rank"),
+    )
+
+
+# Rules with a history
+
+
+@query
+def rule_history_versions(s: Star) -> DataFrame:
+    """Every version of every rule with the days it holds and who set it."""
+    found = rule_history.rule_versions(s.rule_changes)
+    rate = F.col("max_delay_rate_pct").cast("double").alias("max_delay_rate_pct")
+    return found.select(
+        "rule_id", "version", "carrier_code", rate, "window_days", "updated_by", "valid_from", "valid_to"
+    )
+
+
+@query
+def rules_in_force(s: Star) -> DataFrame:
+    """The rules as they stood at the end of September."""
+    found = rule_history.current_rules(s.rule_changes, dt.date(2023, 9, 30))
+    rate = F.col("max_delay_rate_pct").cast("double").alias("max_delay_rate_pct")
+    return found.select("rule_id", "carrier_code", rate, "min_flights_window", "window_days", "updated_by")
+
+
+@query
+def breaches_by_rule_version(s: Star) -> DataFrame:
+    """Weekly evaluations of the rule for all carriers, each by the version in force on its day."""
+    days = s.spark.createDataFrame([(day,) for day in WEEKLY], "breach_date date")
+    counters = flagging.daily_counters(s.flights)
+    return rule_history.breaches_by_version(
+        counters, rule_history.rule_versions(s.rule_changes), days, rule_id=1
     )
 
 
+@query
+def facts_in_rule_windows(s: Star) -> DataFrame:
+    """Flown and late facts of each carrier while each version of a rule for it was valid."""
+    versions = rule_history.rule_versions(s.rule_changes).select(
+        "rule_id", "version", "carrier_code", "valid_from", "valid_to"
+    )
+    counters = flagging.daily_counters(s.flights).join(s.routes.select("route_id", "carrier_code"), "route_id")
+    daily = counters.groupBy("carrier_code", "flight_date").agg(
+        F.sum("total_flights").alias("total_flights"), F.sum("delayed_flights").alias("delayed_flights")
+    )
+    span = ("flight_date", "valid_from", "valid_to")
+    own = intervals.days_in_intervals(
+        daily, versions.filter("carrier_code IS NOT NULL"), *span, keys=["carrier_code"]
+    )
+    shared = intervals.days_in_intervals(
+        daily, versions.filter("carrier_code IS NULL").drop("carrier_code"), *span
+    )
+    names = ["rule_id", "version", "carrier_code"]
+    met = own.select(*names, "total_flights", "delayed_flights").unionByName(
+        shared.select(*names, "total_flights", "delayed_flights")
+    )
+    return met.groupBy(*names).agg(
+        F.sum("total_flights").alias("total_flights"), F.sum("delayed_flights").alias("delayed_flights")
+    )
+
+
+@query
+def facts_as_of(s: Star) -> DataFrame:
+    """Facts rebuilt from their log as of an evening: after a day's updates, before December came in.
+
+    The log says nothing of which of two facts of one key stands, so keys that the given table
+    repeats are left to ingest_outcomes, which keeps one of them.
+    """
+    once = s.flights.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
+    facts = s.flights.join(once.select("flight_id"), "flight_id", "left_semi")
+    old = _old_state(s).join(once.select("flight_id"), "flight_id", "left_semi")
+    before = facts.filter(F.col("flight_date") < F.lit(dt.date(2023, 12, 1)))
+    hours = [dt.datetime(2023, 12, 1, hour) for hour in (6, 12, 20)]
+    log = (
+        audit.audit_new(old, "loader", hours[0])
+        .unionByName(audit.audit_updates(before, old, null_safe=True, changed_by="desk", changed_at=hours[1]))
+        .unionByName(audit.audit_inserts(facts, old, changed_by="loader", changed_at=hours[2]))
+    )
+    return state.facts_as_of(log, dt.datetime(2023, 12, 1, 18))
+
+
 # Sources and sinks
 
 
@@ -517,28 +612,58 @@ def ingest_outcomes(s: Star) -> DataFrame:
 
 @query
 def update_outcomes(s: Star) -> DataFrame:
-    """Stored facts of the old state, brought to the present one; what is stored and audited."""
+    """Stored facts of the old state, brought to the present one; what is stored, audited, refused.
+
+    Some facts are the only ones of their month and move to another, some are stored twice; some
+    changes come twice, some lack a date or a number. All of it is given a second time. Delays
+    are added up over keys that the given table holds once; of others either row may be kept.
+    """
     root = scratch_path(s.spark, "update")
-    paths = f"{root}/flights", f"{root}/audit"
-    write_flights(_old_state(s), paths[0])
+    facts, log, aside = (f"{root}/{name}" for name in ("flights", "audit", "aside"))
+    key = F.col("flight_id")
+    old = _old_state(s).select(*FLIGHTS.names)
+    alone = old.filter(key % 400 == 7).withColumns(
+        {"flight_id": -key, "flight_date": F.lit(dt.date(2022, 2, 10))}
+    )
+    write_flights(
+        reduce(DataFrame.unionByName, [old, old.filter(key % 70 == 3), alone]), facts
+    )
+    base = s.flights.select(*FLIGHTS.names)
+    changes = reduce(
+        DataFrame.unionByName,
+        [
+            base,
+            base.filter(key % 50 == 0),
+            base.filter(key % 90 == 1).withColumn("flight_number", F.lit(None).cast("string")),
+            base.filter(key % 110 == 2).withColumn("flight_date", F.lit(None).cast("date")),
+            alone.withColumn("flight_date", F.lit(dt.date(2023, 1, 15))),
+        ],
+    )
     for _ in range(2):
         unknown = update_flights(
-            s.flights.select(*FLIGHTS.names), *paths, changed_by="loader", changed_at=NOW
+            changes, facts, log, changed_by="loader", changed_at=NOW, quarantine_path=aside, clamp_early=True
         )
-    facts = read_flights(s.spark, paths[0]).agg(
-        F.count(F.lit(1)).alias("row_count"), F.sum("arr_delay_mins").alias("arr_delay_mins")
-    )
-    events = read_audit(s.spark, paths[1]).agg(F.count(F.lit(1)).alias("row_count"))
+    rows = F.count(F.lit(1)).alias("row_count")
     none = F.lit(None).cast("bigint").alias("arr_delay_mins")
-    return (
-        facts.select(F.lit("facts").alias("outcome"), "row_count", "arr_delay_mins")
-        .unionByName(events.select(F.lit("audit").alias("outcome"), "row_count", none))
-        .unionByName(
-            unknown.agg(F.count(F.lit(1)).alias("row_count")).select(
-                F.lit("unknown").alias("outcome"), "row_count", none
+    kept = read_flights(s.spark, facts)
+    several = s.flights.groupBy("flight_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    several = several.select(F.abs("flight_id").alias("_key"), F.lit(1).alias("_several"))
+    marked = kept.join(several, F.abs("flight_id") == F.col("_key"), "left")
+    delays = F.sum(F.when(F.col("_several").isNull(), F.col("arr_delay_mins"))).alias("arr_delay_mins")
+    refused = s.spark.read.schema(QUARANTINE_STORED).parquet(aside).groupBy("reject_reason").agg(rows)
+    lines = [
+        marked.agg(rows, delays).select(F.lit("facts").alias("outcome"), "row_count", "arr_delay_mins"),
+        *[
+            found.agg(rows).select(F.lit(name).alias("outcome"), "row_count", none)
+            for name, found in (
+                ("left in the month they moved from", kept.filter(F.col("flight_month") == 202202)),
+                ("audit", read_audit(s.spark, log)),
+                ("unknown", unknown),
             )
-        )
-    )
+        ],
+        refused.select(F.col("reject_reason").alias("outcome"), "row_count", none),
+    ]
+    return reduce(DataFrame.unionByName, lines)
 
 
 @query
@@ -693,3 +818,54 @@ def stream_breaches(s: Star) -> DataFrame:
     _run(jobs.breach_stream(_fact_stream(s), s.routes, s.rules, f"{path}/out", f"{path}/checkpoint"))
     log = jobs.log_breaches(s.spark, f"{path}/out", f"{path}/audit", NOW)
     return _found(log).drop("created_at")
+
+
+@query
+def stream_audit_once(s: Star) -> DataFrame:
+    """Insert events of a feed that delivers every file twice."""
+    path = scratch_path(s.spark, "stream-once")
+    for _ in range(2):
+        write_flights(s.flights, f"{path}/feed")
+    stream = jobs.delivered_flights(s.spark, f"{path}/feed", FILES)
+    _run(jobs.audit_once_stream(stream, f"{path}/out", f"{path}/checkpoint"))
+    return jobs.read_audited_once(s.spark, f"{path}/out").select(
+        "audit_id", "table_name", "operation", "record_id", "old_values", "new_values"
+    )
+
+
+def _resolutions(s: Star) -> DataFrame:
+    """Every third breach is resolved, between an hour and a month after it was logged."""
+    number = F.col("breach_id")
+    hours = ((number * 37) % 720 + 1).cast("int")
+    return s.breach_log.filter(number % 3 == 0).select(
+        "breach_id", F.timestamp_add("HOUR", hours, F.col("created_at")).alias("resolved_at")
+    )
+
+
+@query
+def stream_unresolved(s: Star) -> DataFrame:
+    """Breaches that nobody resolved in time, from streams of breaches and resolutions in any order."""
+    path = scratch_path(s.spark, "stream-unresolved")
+    log = s.breach_log.select(*SLA_BREACH_LOG.names)
+    by_chance = F.xxhash64("breach_id")
+    log.repartitionByRange(6, by_chance).write.parquet(f"{path}/log")
+    _resolutions(s).repartitionByRange(6, by_chance).write.parquet(f"{path}/resolved")
+    # both feeds go on, which closes what lies behind
+    later = F.lit("2030-01-01 00:00:00").cast("timestamp")
+    said = {"breach_id": F.lit(jobs.HEARTBEAT), "created_at": later}
+    beat = s.spark.range(1).select(
+        *[said.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in SLA_BREACH_LOG]
+    )
+    beat.write.mode("append").parquet(f"{path}/log")
+    beat.select("breach_id", later.alias("resolved_at")).write.mode("append").parquet(f"{path}/resolved")
+    _run(
+        jobs.unresolved_stream(
+            jobs.log_stream(s.spark, f"{path}/log", FILES),
+            jobs.resolution_stream(s.spark, f"{path}/resolved", FILES),
+            f"{path}/out",
+            f"{path}/checkpoint",
+            WITHIN_HOURS,
+            "400 days",
+        )
+    )
+    return jobs.read_unresolved(s.spark, f"{path}/out").select("breach_id", "route_id", "breach_date")

@@ -38,6 +38,14 @@ def write_flights(f: DataFrame, path: str, mode: str = "append") -> None:
     )
 
 
+def drop_months(spark: SparkSession, path: str, months: list[int | None]) -> None:
+    """Removes months that have lost all their rows; None is the month of rows without a date."""
+    for month in months:
+        name = "__HIVE_DEFAULT_PARTITION__" if month is None else month
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{MONTH_COLUMN}={name}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_quarantine(rejected: DataFrame, path: str) -> None:
     """Refused facts with their reason, by month like the accepted ones."""
     (

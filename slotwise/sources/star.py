@@ -31,6 +31,19 @@ RULES = [
      "min_flights_window": 5, "window_days": 270},
 ]
 
+# The same rules as they changed over the year, each state with the moment it was set.
+RULE_CHANGES = [
+    RULES[0] | {"updated_at": "2023-01-01 00:00:00", "updated_by": "loader"},
+    RULES[0] | {"max_delay_rate_pct": "12.00", "updated_at": "2023-08-15 09:00:00", "updated_by": "desk"},
+    RULES[0] | {"max_delay_rate_pct": "18.00", "window_days": 120,
+                "updated_at": "2023-08-15 17:30:00", "updated_by": "desk"},
+    RULES[0] | {"max_delay_rate_pct": "20.00", "window_days": 90,
+                "updated_at": "2023-11-01 08:00:00", "updated_by": "audit"},
+    RULES[1] | {"updated_at": "2023-03-01 00:00:00", "updated_by": "loader"},
+    RULES[1] | {"max_delay_rate_pct": "35.00", "window_days": 60,
+                "updated_at": "2023-10-10 12:00:00", "updated_by": "desk"},
+]
+
 
 @dataclass(frozen=True)
 class Star:
@@ -62,6 +75,10 @@ class Star:
     def rules(self) -> DataFrame:
         return rules_frame(self.spark)
 
+    @cached_property
+    def rule_changes(self) -> DataFrame:
+        return rules_frame(self.spark, RULE_CHANGES)
+
     @cached_property
     def breach_log(self) -> DataFrame:
         """Weekly evaluations of half a year, every fourth breach resolved."""

@@ -40,10 +40,19 @@ from slotwise.operators.flagging import (
 from slotwise.operators.quality import validate
 from slotwise.plans.jobs import audited_records, read_or_empty
 from slotwise.sources.layout import write_audit
-from slotwise.sources.schemas import FLIGHTS, FLIGHTS_STORED, SLA_BREACH_LOG
+from slotwise.sources.schemas import AUDIT_LOG, FLIGHTS, FLIGHTS_STORED, RESOLUTIONS, SLA_BREACH_LOG
 
 #: Files of one micro-batch, unless the caller says otherwise.
 FILES_PER_BATCH = 1000
+#: No fact is dated before this.
+EARLIEST = dt.date(1990, 1, 1)
+IMPLAUSIBLE_DATE = "implausible flight_date"
+#: For how long a feed may deliver something again.
+REDELIVERY = "7 days"
+#: When a row of a stream was delivered: what redelivery is measured by.
+DELIVERED = "_delivered"
+#: The id of a row that only says how far a feed has come; ids of breaches are positive.
+HEARTBEAT = -1
 
 COUNTERS = StructType(
     [
@@ -94,6 +103,14 @@ def flight_stream(
     )
 
 
+def delivered_flights(
+    spark: SparkSession, path: str, max_files_per_trigger: int = FILES_PER_BATCH
+) -> DataFrame:
+    """:func:`flight_stream` with the moment each file was delivered."""
+    stream = flight_stream(spark, path, max_files_per_trigger)
+    return stream.select("*", F.col("_metadata.file_modification_time").alias(DELIVERED))
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         return not spark.read.format("binaryFile").load(path).select("path").isEmpty()
@@ -158,6 +175,82 @@ def audit_stream(stream: DataFrame, path: str, checkpoint: str, **stamp) -> Stre
     return _each_batch(stream, write, path, checkpoint)
 
 
+def audit_once_stream(
+    stream: DataFrame, path: str, checkpoint: str, within: str = REDELIVERY, **stamp
+) -> StreamingQuery:
+    """Insert events of arriving facts, each once, however often a feed delivers it ``within`` that time.
+
+    An event is known by the id of what it says. State holds the ids of the last ``within`` of
+    deliveries and drops older ones, so no stored event is read back; facts of any date, or of none, are
+    treated alike. Something delivered again later than that is audited again. ``stream`` comes from
+    :func:`delivered_flights`.
+    """
+    audited = with_audit_ids(audit_new(stream, kept=(DELIVERED,), **stamp), extra=(DELIVERED,))
+    once = audited.withWatermark(DELIVERED, within).dropDuplicatesWithinWatermark(["audit_id"])
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.drop(DELIVERED)
+        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _each_batch(once, write, path, checkpoint)
+
+
+def read_audited_once(spark: SparkSession, path: str) -> DataFrame:
+    return read_or_empty(spark, path, AUDIT_LOG)
+
+
+def log_stream(spark: SparkSession, path: str, max_files_per_trigger: int = FILES_PER_BATCH) -> DataFrame:
+    """A breach log as a stream; its rows are taken as they were logged."""
+    files = spark.readStream.schema(SLA_BREACH_LOG).option("maxFilesPerTrigger", max_files_per_trigger)
+    return files.parquet(path)
+
+
+def resolution_stream(
+    spark: SparkSession, path: str, max_files_per_trigger: int = FILES_PER_BATCH
+) -> DataFrame:
+    files = spark.readStream.schema(RESOLUTIONS).option("maxFilesPerTrigger", max_files_per_trigger)
+    return files.parquet(path)
+
+
+def unresolved_stream(
+    log: DataFrame,
+    resolutions: DataFrame,
+    path: str,
+    checkpoint: str,
+    within_hours: int = 24,
+    lateness: str = "3 days",
+) -> StreamingQuery:
+    """Breaches that nobody resolved within ``within_hours`` of their being logged, each once.
+
+    Both sides are streams. A breach waits in state for an event of its own in that time, and comes out
+    once no such event can still arrive: when both sides have passed its deadline by ``lateness``.
+    Then it leaves the state, as do events that no breach can still ask for. What comes later than
+    ``lateness`` is not met any more. A side that is silent holds the other up; a row with the id
+    ``HEARTBEAT`` moves its time on and is reported nowhere.
+    """
+    logged = log.select("breach_id", "route_id", "breach_date", "created_at").withWatermark("created_at", lateness)
+    events = resolutions.select(F.col("breach_id").alias("_id"), "resolved_at").withWatermark("resolved_at", lateness)
+    in_time = F.expr(
+        f"breach_id = _id AND resolved_at >= created_at"
+        f" AND resolved_at <= created_at + INTERVAL {int(within_hours)} HOURS"
+    )
+    met = logged.join(events, in_time, "left_outer")
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        overdue = batch.filter(F.col("_id").isNull() & (F.col("breach_id") != HEARTBEAT))
+        overdue.select("breach_id", "route_id", "breach_date", "created_at").write.mode("overwrite").parquet(
+            f"{path}/batch_id={batch_id}"
+        )
+
+    return _each_batch(met, write, path, checkpoint)
+
+
+def read_unresolved(spark: SparkSession, path: str) -> DataFrame:
+    """Every overdue breach that :func:`unresolved_stream` has reported."""
+    names = ["breach_id", "route_id", "breach_date", "created_at"]
+    return read_or_empty(spark, path, StructType([SLA_BREACH_LOG[n] for n in names]))
+
+
 def counter_stream(
     stream: DataFrame, path: str, checkpoint: str, limits: Limits = DEFAULT_LIMITS
 ) -> StreamingQuery:
@@ -225,19 +318,30 @@ def breach_stream(
     checkpoint: str,
     per_carrier_rules: bool = False,
     limits: Limits = DEFAULT_LIMITS,
+    plausible: tuple[dt.date, dt.date] | None = None,
 ) -> StreamingQuery:
     """Counts each batch and evaluates every day that it touched or that has passed since.
 
+    Rows dated outside ``plausible`` (by default from 1990 to a year from today) are kept in
+    ``aside`` with a reason, not counted: one wrong date would make days without end to evaluate.
+
     ``path`` holds the counters, the days that each batch evaluated and what it found. A batch's
     outcome for a day replaces earlier ones (see :func:`read_breaches`), so late rows reopen
     their days. Counters of earlier batches are read back, in the months of the windows only,
     instead of being held in state.
     """
+    today = dt.datetime.now(dt.UTC).date()
+    bounds = plausible or (EARLIEST, today + dt.timedelta(days=366))
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         counters, days, found = (f"{path}/{name}" for name in ("counters", "days", "found"))
-        _write_counters(batch, batch_id, counters, limits)
+        date = F.col("flight_date")
+        strange = F.coalesce((date < F.lit(bounds[0])) | (date > F.lit(bounds[1])), F.lit(False))
+        batch.filter(strange).select(*FLIGHTS.names, F.lit(IMPLAUSIBLE_DATE).alias("reject_reason")).write.mode(
+            "overwrite"
+        ).parquet(f"{path}/aside/batch_id={batch_id}")
+        _write_counters(batch.filter(~strange), batch_id, counters, limits)
         own = spark.read.schema(COUNTERS).parquet(f"{counters}/batch_id={batch_id}")
         # rows without a date are counted, but lie on no day that could be evaluated
         dated = own.select("flight_date").filter("flight_date IS NOT NULL").distinct()
