@@ -91,8 +91,11 @@ def contamination(docs, items, size=13):
     return out
 
 
-def without_lines(docs, size=3):
-    """Texts without the lines that a later place of a window of lines covers."""
+def without_lines(docs, size=3, passage=None):
+    """Texts without the lines that a later place of a window of lines covers.
+
+    ``passage`` lets shorter runs of that many words count too, and texts of fewer lines as a whole.
+    """
     held = {
         i: [n for n, x in enumerate(t.split("\n")) if BLANK_WORD.search(x)]
         for i, t in docs.items()
@@ -106,6 +109,14 @@ def without_lines(docs, size=3):
             if window in seen:
                 gone[i] |= set(held[i][k : k + size])
             seen.add(window)
+        for few in range(1, size) if passage is not None else ():
+            for k in range(len(held[i]) - few + 1):
+                run = held[i][k : k + few]
+                window = tuple(lines[n] for n in run)
+                if len(held[i]) == few or sum(len(words(x)) for x in window) >= passage:
+                    if window in seen:
+                        gone[i] |= set(run)
+                    seen.add(window)
     return {
         i: None if t is None else "\n".join(x for n, x in enumerate(t.split("\n")) if n not in gone[i])
         for i, t in docs.items()

@@ -97,7 +97,7 @@ def test_pipeline_against_loops(spark, con, documents):
     encoders = language.Encoders(language.learn(read(spark, SMALL, "documents")))
     kept = {i: t for i, t in documents.items() if not encoders.decide(t, language.MARGIN)[2]}
     assert 0.95 * len(documents) < len(kept)
-    kept = brute.without_lines(kept)
+    kept = brute.without_lines(kept, passage=50)
     component = brute.similar(kept)
     kept = {i: t for i, t in kept.items() if component[i] == i}
     items = con.execute("SELECT item_id, text FROM benchmark").fetchall()
