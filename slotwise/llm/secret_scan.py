@@ -97,10 +97,17 @@ def fixed_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def dense_spans(text: str, base: list[tuple[int, int, int]], encode, ratio: float):
-    """(start, kind, end, characters to a token) of runs the vocabulary finds hard to spell."""
+    """(start, kind, end, characters to a token) of runs the vocabulary finds hard to spell.
+
+    Runs that meet a span of ``base`` are left out. Both come in order, so each span is looked at once.
+    """
+    seen = reach = 0
     for m in RUN.finditer(text):
         a, b = m.span()
-        if any(a < end and start < b for start, _, end in base):
+        while seen < len(base) and base[seen][0] < b:
+            reach = max(reach, base[seen][2])
+            seen += 1
+        if a < reach:
             continue
         run = m.group()
         if KNOWN.match(run) or is_identifier(run):
