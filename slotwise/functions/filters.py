@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MONTH_COLUMN = "flight_month"
+BREACH_MONTH = "breach_month"
+#: The partition column that goes with a date.
+MONTHS = {"flight_date": MONTH_COLUMN, "breach_date": BREACH_MONTH}
 
 
 def month_number(day: Column) -> Column:
@@ -34,15 +37,16 @@ def date_range(
     """
     if start is not None and end is not None and start > end:
         start, end = end, start
-    by_month = column == "flight_date" and MONTH_COLUMN in f.columns
+    month = MONTHS.get(column)
+    by_month = month in f.columns
     if start is not None:
         f = f.filter(F.col(column) >= F.lit(start))
         if by_month:
-            f = f.filter(F.col(MONTH_COLUMN) >= start.year * 100 + start.month)
+            f = f.filter(F.col(month) >= start.year * 100 + start.month)
     if end is not None:
         f = f.filter(F.col(column) <= F.lit(end))
         if by_month:
-            f = f.filter(F.col(MONTH_COLUMN) <= end.year * 100 + end.month)
+            f = f.filter(F.col(month) <= end.year * 100 + end.month)
     return f
 
 

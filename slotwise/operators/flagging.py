@@ -228,6 +228,16 @@ def number_breaches(
     )
 
 
+def keyed_breaches(found: DataFrame, created_at) -> DataFrame:
+    """Log rows for new breaches, known by their day and route.
+
+    Such an id needs no look at the log, stays when a day is evaluated anew, and is the same on a retry.
+    """
+    day = F.datediff("breach_date", F.lit(dt.date(1970, 1, 1))).cast("bigint")
+    given = {"breach_id": day * 2**32 + F.col("route_id"), "resolved": F.lit(0), "created_at": created_at}
+    return found.withColumns(given).select(*SLA_BREACH_LOG.names)
+
+
 class UnknownBreaches(LookupError):
     """Raised for ids that are not in the log; ``ids`` holds all of them, as a frame."""
 

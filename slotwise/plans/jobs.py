@@ -15,18 +15,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from slotwise.config import DEFAULT_LIMITS, Limits
-from slotwise.functions.filters import MONTH_COLUMN, date_range, days_before, moment
+from slotwise.functions.filters import BREACH_MONTH, MONTH_COLUMN, moment, month_number
 from slotwise.operators.audit import (
     audit_new,
     audit_updates,
-    missing_alerts,
+    breach_alerts,
     repeated_old_keys,
     with_audit_ids,
 )
 from slotwise.operators.flagging import (
     current_log,
     flag_breaches,
-    number_breaches,
+    keyed_breaches,
     resolve_breaches,
 )
 from slotwise.operators.quality import (
@@ -38,20 +38,28 @@ from slotwise.operators.quality import (
     rejected,
     validate,
 )
-from slotwise.sources.layout import drop_months, with_month, write_audit, write_flights, write_quarantine
+from slotwise.sources.counters import Counters
+from slotwise.sources.layout import (
+    drop_months,
+    with_month,
+    write_audit,
+    write_breaches,
+    write_flights,
+    write_quarantine,
+)
 from slotwise.sources.schemas import (
     AUDIT_STORED,
+    BREACHES_STORED,
     FLIGHTS,
     FLIGHTS_STORED,
     PERIOD_COLUMN,
     QUARANTINE_STORED,
     RESOLUTIONS,
-    SLA_BREACH_LOG,
 )
 from slotwise.sources.scratch import settle
 
-#: How far back a daily run looks for alerts that were never sent.
-REPAIR_DAYS = 31
+#: What an ingest counts: rows it was given, stored, kept aside and audited.
+INGEST_COUNTERS = ("given", "stored", "aside", "audited")
 
 
 def read_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
@@ -73,17 +81,24 @@ def ingest_flights(
     changed_at: dt.datetime | None = None,
     limits: Limits = DEFAULT_LIMITS,
     clamp_early: bool = False,
-) -> None:
+) -> dict[str, int]:
     """Stores the facts that may be stored, keeps all others aside under a reason, audits.
 
     Refused are rows that break a rule or lack a required value, further rows of a key in the
     batch, and rows whose key is stored already with other values, in whatever month. A row that
     is stored as it is counts as done, so a batch may be given again.
+
+    Returns how many rows were given, stored, kept aside and audited, as the writes counted them.
     """
     spark = incoming.sparkSession
+    counters = Counters()
+
+    def counted(name: str) -> Callable[[DataFrame], DataFrame]:
+        return lambda rows: counters.watch(name, rows)
+
     checked = validate(incoming.select(*FLIGHTS.names), limits, clamp_early)
     reason = F.coalesce(missing_reason(), F.col("reject_reason"))
-    checked = settle(checked.withColumn("reject_reason", reason), "checked")
+    checked = settle(counters.watch("given", checked.withColumn("reject_reason", reason)), "checked")
     first, further = one_of_each_key(accepted(checked))
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
     here = settle(_clashes(first, stored), "keys-stored")
@@ -97,15 +112,17 @@ def ingest_flights(
             other.withColumn("reject_reason", F.lit(STORED_KEY)),
         ],
     )
-    write_quarantine(_not_aside(spark, bad, quarantine_path), quarantine_path)
-    write_flights(fresh, flights_path)
+    write_quarantine(_not_aside(spark, bad, quarantine_path), quarantine_path, counted("aside"))
+    write_flights(fresh, flights_path, watch=counted("stored"))
     # rows of an earlier run that failed before it audited are audited now
     done = _unless_in(first, here.filter("not same"))
     start, end = done.agg(F.min("flight_date"), F.max("flight_date")).head()
     if start is not None:
         audited = audited_records(spark, audit_path, "flights", start, end)
         unaudited = _unless_in(done, audited.select(F.col("record_id").alias("flight_id")))
-        write_audit(with_audit_ids(audit_new(unaudited, changed_by, changed_at)), audit_path)
+        events = with_audit_ids(audit_new(unaudited, changed_by, changed_at))
+        write_audit(events, audit_path, counted("audited"))
+    return counters.read(*INGEST_COUNTERS)
 
 
 def _row_digest(names: Sequence[str]) -> Column:
@@ -163,20 +180,28 @@ def _clashes(f: DataFrame, stored: DataFrame) -> DataFrame:
 
 
 def _not_aside(spark: SparkSession, bad: DataFrame, path: str) -> DataFrame:
-    """Refused rows that are not kept aside yet; of equal rows, those beyond the number kept."""
-    aside = read_or_empty(spark, path, QUARANTINE_STORED)
+    """Refused rows that are not kept aside yet; of equal rows, those beyond the number kept.
+
+    A row is known by the digest that is stored with it. Equal rows have one date, so only the months
+    of the refused rows are looked at, and of these only the digests.
+    """
     names = [*CONTENT, "reject_reason"]
-    digest = _row_digest(names)
-    held = aside.groupBy(digest.alias("_digest")).agg(F.count(F.lit(1)).alias("_held"))
     made = F.max("created_at").alias("created_at")
     kinds = bad.groupBy(*names).agg(F.count(F.lit(1)).alias("_copies"), made)
+    kinds = settle(kinds.withColumn("row_digest", _row_digest(names)), "refused")
+    months = _months(kinds.select(month_number(F.col("flight_date")).alias(MONTH_COLUMN)), MONTH_COLUMN)
+    aside = read_or_empty(spark, path, QUARANTINE_STORED).filter(_in_months(F.col(MONTH_COLUMN), months))
+    held = aside.groupBy("row_digest").agg(F.count(F.lit(1)).alias("_held"))
     left = F.col("_copies") - F.coalesce("_held", F.lit(0))
     return (
-        kinds.withColumn("_digest", digest)
-        .join(held, "_digest", "left")
+        kinds.join(held, "row_digest", "left")
         .withColumn("_left", left)
         .filter("_left > 0")
-        .select(*bad.columns, F.explode(F.sequence(F.lit(1).cast("bigint"), "_left")).alias("_copy"))
+        .select(
+            *bad.columns,
+            "row_digest",
+            F.explode(F.sequence(F.lit(1).cast("bigint"), "_left")).alias("_copy"),
+        )
         .drop("_copy")
     )
 
@@ -319,18 +344,35 @@ def append_breaches(
     day: dt.date,
     now: dt.datetime | None = None,
 ) -> int:
-    """Appends what ``find`` returns for the current log, then the alerts the day still lacks."""
-    log = read_or_empty(spark, log_path, SLA_BREACH_LOG)
-    last = log.agg(F.coalesce(F.max("breach_id"), F.lit(0))).head()[0]
+    """Appends what ``find`` returns for the current log, then every alert that the log still lacks.
+
+    A run that died between log and alerts is made good by the next one, however long that takes:
+    ids of the log and of alerts are compared over all months, two narrow columns, and whole rows are read
+    in the months that lack an alert. The log is stored by month and known by day and route.
+    """
+    counters = Counters()
     stamp = F.current_timestamp() if now is None else moment(now)
-    fresh = settle(number_breaches(find(log), stamp, last), "new-breaches")
-    fresh.write.mode("append").parquet(log_path)
-    # a run that died between log and alerts may lie some days back
-    since = days_before(day, REPAIR_DAYS)
-    recent = date_range(spark.read.schema(SLA_BREACH_LOG).parquet(log_path), since, day, "breach_date")
-    sent = audited_records(spark, audit_path, "sla_breach_log", since, day)
-    write_audit(with_audit_ids(missing_alerts(recent, sent, changed_at=now)), audit_path)
-    return fresh.count()
+    fresh = keyed_breaches(find(read_log(spark, log_path)), stamp)
+    write_breaches(fresh, log_path, lambda rows: counters.watch("logged", rows))
+    log = read_log(spark, log_path)
+    sent = read_or_empty(spark, audit_path, AUDIT_STORED).filter(
+        (F.col("table_name") == "sla_breach_log") & (F.col("operation") == "INSERT")
+    )
+    silent = log.select("breach_id", BREACH_MONTH).join(
+        sent.select(F.col("record_id").alias("breach_id")), "breach_id", "left_anti"
+    )
+    silent = settle(silent, "unannounced")
+    months = _months(silent, BREACH_MONTH)
+    if months:
+        here = log.filter(_in_months(F.col(BREACH_MONTH), months))
+        lost = here.join(silent.select("breach_id"), "breach_id", "left_semi")
+        write_audit(with_audit_ids(breach_alerts(lost, changed_at=now)), audit_path)
+    return counters.read("logged")["logged"]
+
+
+def read_log(spark: SparkSession, path: str) -> DataFrame:
+    """The stored breach log with the month it is partitioned by."""
+    return read_or_empty(spark, path, BREACHES_STORED)
 
 
 def record_resolutions(
@@ -341,7 +383,7 @@ def record_resolutions(
     An unknown id raises before anything is written. The log itself is never rewritten.
     """
     spark = ids.sparkSession
-    log = read_or_empty(spark, log_path, SLA_BREACH_LOG)
+    log = read_log(spark, log_path)
     _, status = resolve_breaches(log, ids)
     stamp = F.current_timestamp() if resolved_at is None else moment(resolved_at)
     events = status.select(
@@ -354,6 +396,6 @@ def record_resolutions(
 def read_current_log(spark: SparkSession, log_path: str, events_path: str) -> DataFrame:
     """The breach log with its resolutions applied."""
     return current_log(
-        read_or_empty(spark, log_path, SLA_BREACH_LOG),
+        read_log(spark, log_path),
         read_or_empty(spark, events_path, RESOLUTIONS),
     )

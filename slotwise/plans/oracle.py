@@ -765,6 +765,43 @@ def all_sql() -> dict[str, str]:
                     FROM flights WHERE {_REJECT} HAVING count(*) > 0""",
             f"good AS (SELECT * FROM flights WHERE NOT ({_REJECT}))",
         ),
+        "job_counters": sql(
+            """SELECT batch, counter, CASE
+                       WHEN counter = 'given' THEN CASE WHEN batch = 2 THEN moved ELSE given END
+                       WHEN counter = 'aside' THEN CASE batch WHEN 1 THEN given - kept WHEN 2 THEN moved ELSE 0 END
+                       WHEN batch = 1 THEN kept ELSE 0 END AS row_count
+               FROM totals, (VALUES (1), (2), (3)) AS b(batch),
+                    (VALUES ('given'), ('stored'), ('aside'), ('audited')) AS c(counter)""",
+            f"""totals AS (SELECT
+                   count(*) + count(*) FILTER (WHERE flight_id % 50 = 0) + count(*) FILTER (WHERE flight_id % 90 = 1)
+                       + count(*) FILTER (WHERE flight_id % 110 = 2) AS given,
+                   count(*) FILTER (WHERE flight_id % 70 = 3) AS moved,
+                   count(DISTINCT flight_id) FILTER (WHERE NOT ({_REJECT})) AS kept FROM flights)""",
+        ),
+        "daily_run_outcomes": sql(
+            f"""SELECT route_id, breach_date, delay_rate_pct, total_flights, delayed_flights,
+                       1::BIGINT AS alerts
+                FROM breach_log WHERE breach_date IN ({", ".join(day(d) for d in q.RUNS)})"""
+        ),
+        "window_sketches": sql(
+            """SELECT (year(flight_date) * 100 + month(flight_date))::INTEGER AS month,
+                      count(*) AS total_flights, count(DISTINCT route_id) AS routes,
+                      quantile_cont(arr_delay_mins, 0.5)::DOUBLE AS p50,
+                      quantile_cont(arr_delay_mins, 0.9)::DOUBLE AS p90,
+                      true AS routes_agree, true AS p50_agrees, true AS p90_agrees
+               FROM flown GROUP BY 1"""
+        ),
+        "sql_carrier_delays": sql(
+            f"""SELECT carrier_code, count(*) AS total_flights,
+                       {n_if("arr_delay_mins >= 15")} AS delayed_flights,
+                       {pct(n_if("arr_delay_mins >= 15"), "count(*)")} AS delay_rate_pct
+                FROM flown WHERE flight_date BETWEEN {day(q.QUARTER[0])} AND {day(q.QUARTER[1])}
+                GROUP BY carrier_code"""
+        ),
+        "sql_route_days": sql(
+            f"""SELECT flight_date, count(*) AS total_flights, sum(arr_delay_mins)::BIGINT AS arr_delay_mins
+                FROM flights WHERE route_id = {q.ROUTE_ID} GROUP BY flight_date"""
+        ),
         "update_outcomes": sql(
             """SELECT 'facts' AS outcome, count(*) AS row_count, sum(arr)::BIGINT AS arr_delay_mins
                FROM (SELECT CASE WHEN any_value(n) = 1 THEN any_value(arr_delay_mins) END AS arr FROM keyed

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from slotwise.config import Limits
-from slotwise.functions.filters import flown, months_before
+from slotwise.functions.filters import flown, month_number, months_before
 from slotwise.operators import (
     airports,
     audit,
@@ -23,17 +23,19 @@ from slotwise.operators import (
     rule_history,
     scorecard,
     selection,
+    sketches,
     state,
     views,
 )
-from slotwise.plans.jobs import ingest_flights, update_flights
+from slotwise.plans import catalog
+from slotwise.plans.jobs import ingest_flights, read_log, run_daily_breaches, update_flights
 from slotwise.sources import retail
 from slotwise.sources import tables as stored
 from slotwise.sources.exports import displayed, export_reports
 from slotwise.sources.layout import read_audit, read_flights, write_flights
 from slotwise.sources.ontime_csv import COLUMNS, ontime_flights, ontime_routes, read_ontime
 from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, SLA_BREACH_LOG, TABLES
-from slotwise.sources.scratch import scratch_path
+from slotwise.sources.scratch import scratch_path, settle
 from slotwise.sources.star import AS_OF, WEEKLY, Star, open_star
 from slotwise.streaming import jobs
 
@@ -49,6 +51,8 @@ RARE = Limits(severe_mins=478)
 NATIONS = [str(nation) for nation in range(25)]
 #: Hours in which a breach should be resolved.
 WITHIN_HOURS = 240
+#: Days of three daily runs; the first is long past when the others come.
+RUNS = [AS_OF - dt.timedelta(days=days) for days in (42, 7, 0)]
 DAILY = [dt.date(2023, 10, 1) + dt.timedelta(days=day) for day in range(92)]
 
 _QUERIES: dict[str, Callable[[Star], DataFrame]] = {}
@@ -578,12 +582,8 @@ def declared_counts(s: Star) -> DataFrame:
     return reduce(DataFrame.unionByName, found)
 
 
-@query
-def ingest_outcomes(s: Star) -> DataFrame:
-    """Three batches: facts with copies and missing values, other rows of stored keys, and the
-    first batch again."""
-    root = scratch_path(s.spark, "ingest")
-    paths = [f"{root}/{name}" for name in ("flights", "quarantine", "audit")]
+def _batches(s: Star) -> list[DataFrame]:
+    """Facts with copies and missing values, other rows of stored keys, and the first batch again."""
     base = s.flights.select(*FLIGHTS.names)
     key = F.col("flight_id")
     first = reduce(
@@ -596,7 +596,93 @@ def ingest_outcomes(s: Star) -> DataFrame:
         ],
     )
     moved = base.filter(key % 70 == 3).withColumn("flight_date", F.date_add("flight_date", 31))
-    for batch in (first, moved, first):
+    return [first, moved, first]
+
+
+@query
+def job_counters(s: Star) -> DataFrame:
+    """What each of three ingests was given, stored, kept aside and audited, as its writes counted it."""
+    root = scratch_path(s.spark, "counters")
+    paths = [f"{root}/{name}" for name in ("flights", "quarantine", "audit")]
+    counted = [ingest_flights(batch, *paths, changed_by="loader", changed_at=NOW) for batch in _batches(s)]
+    lines = [(n, name, rows) for n, found in enumerate(counted, 1) for name, rows in found.items()]
+    return s.spark.createDataFrame(lines, "batch int, counter string, row_count bigint")
+
+
+@query
+def daily_run_outcomes(s: Star) -> DataFrame:
+    """The log after three daily runs, the later ones given twice, and how often each breach was announced.
+
+    The first run died between log and alerts, six weeks before the last.
+    """
+    root = scratch_path(s.spark, "daily")
+    log, events = f"{root}/log", f"{root}/audit"
+    run_daily_breaches(s.flights, s.routes, s.rules, log, f"{root}/lost", RUNS[0], NOW)
+    for day in RUNS[1:]:
+        for _ in range(2):
+            run_daily_breaches(s.flights, s.routes, s.rules, log, events, day, NOW)
+    alerts = read_audit(s.spark, events).groupBy(F.col("record_id").alias("breach_id")).agg(
+        F.count(F.lit(1)).alias("alerts")
+    )
+    found = read_log(s.spark, log).join(alerts, "breach_id", "left")
+    return _found(found).select(
+        "route_id", "breach_date", "delay_rate_pct", "total_flights", "delayed_flights", "alerts"
+    )
+
+
+@query
+def window_sketches(s: Star) -> DataFrame:
+    """Routes and delay percentiles of each month, exact, and whether sketches merged from days agree.
+
+    A distinct count agrees within three standard errors, a percentile if its rank is within the
+    stated error.
+    """
+    month = month_number(F.col("flight_date"))
+    daily = settle(sketches.daily_sketches(s.flights), "daily-sketches")
+    found = settle(sketches.estimates(sketches.merged(daily, month.alias("month"))), "window-sketches")
+    exact = sketches.exact_windows(s.flights, month, "month").join(found, "month")
+    for name, share in (("p50", 0.5), ("p90", 0.9)):
+        near = sketches.rank_shares(s.flights, month, "month", found, f"{name}_estimate")
+        low, high = share - sketches.RANK_ERROR, share + sketches.RANK_ERROR
+        exact = exact.join(
+            near.select("month", ((F.col("below") <= high) & (F.col("upto") >= low)).alias(f"{name}_agrees")),
+            "month",
+        )
+    off = F.abs(F.col("routes_estimate") - F.col("routes")) <= sketches.DISTINCT_ERROR * F.col("routes")
+    return exact.select(
+        "month", "total_flights", "routes", "p50", "p90", off.alias("routes_agree"), "p50_agrees", "p90_agrees"
+    )
+
+
+def _reports(s: Star) -> None:
+    catalog.register(s.flights, s.routes, s.airlines, s.airports, s.rules, s.breach_log)
+    catalog.register_reports(s.spark)
+
+
+@query
+def sql_carrier_delays(s: Star) -> DataFrame:
+    """A report that is a table function, called from SQL text by name."""
+    _reports(s)
+    return s.spark.sql(
+        "SELECT * FROM carrier_delays(first_day => :first, last_day => :last)",
+        {"first": QUARTER[0], "last": QUARTER[1]},
+    )
+
+
+@query
+def sql_route_days(s: Star) -> DataFrame:
+    """The days of one route; the second argument is left at its default."""
+    _reports(s)
+    return s.spark.sql("SELECT * FROM route_days(:which)", {"which": ROUTE_ID})
+
+
+@query
+def ingest_outcomes(s: Star) -> DataFrame:
+    """Three batches: facts with copies and missing values, other rows of stored keys, and the
+    first batch again."""
+    root = scratch_path(s.spark, "ingest")
+    paths = [f"{root}/{name}" for name in ("flights", "quarantine", "audit")]
+    for batch in _batches(s):
         ingest_flights(batch, *paths, changed_by="loader", changed_at=NOW)
     facts = read_flights(s.spark, paths[0]).agg(F.count(F.lit(1)).alias("row_count"))
     events = read_audit(s.spark, paths[2]).agg(F.count(F.lit(1)).alias("row_count"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import (
     TimestampType,
 )
 
-from slotwise.functions.filters import MONTH_COLUMN
+from slotwise.functions.filters import BREACH_MONTH, MONTH_COLUMN
 
 
 def _table(required: dict, optional: dict) -> StructType:
@@ -130,8 +130,13 @@ PERIOD_COLUMN = "period"
 FLIGHTS_STORED = StructType(FLIGHTS.fields + [StructField(MONTH_COLUMN, IntegerType(), False)])
 QUARANTINE_STORED = StructType(
     [StructField(field.name, field.dataType) for field in FLIGHTS]
-    + [StructField("reject_reason", StringType()), StructField(MONTH_COLUMN, IntegerType())]
+    + [
+        StructField("reject_reason", StringType()),
+        StructField("row_digest", StringType()),
+        StructField(MONTH_COLUMN, IntegerType()),
+    ]
 )
+BREACHES_STORED = StructType(SLA_BREACH_LOG.fields + [StructField(BREACH_MONTH, IntegerType())])
 AUDIT_STORED = StructType(AUDIT_LOG.fields + [StructField(PERIOD_COLUMN, IntegerType(), False)])
 
 # Unique keys, foreign keys, defaults and closed value lists per table.

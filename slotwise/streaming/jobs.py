@@ -34,6 +34,7 @@ from slotwise.functions.filters import (
 from slotwise.operators.audit import audit_new, breach_alerts, with_audit_ids
 from slotwise.operators.flagging import (
     daily_counters,
+    keyed_breaches,
     ruled_routes,
     trailing_breaches,
 )
@@ -394,14 +395,7 @@ def log_breaches(
     An alert is known by what it says, so a breach that late rows change is announced again.
     """
     stamp = F.current_timestamp() if now is None else moment(now)
-    # day and route make an id that stays when late rows add or remove other breaches
-    day = F.datediff("breach_date", F.lit(dt.date(1970, 1, 1))).cast("bigint")
-    log = read_breaches(spark, path).select(
-        (day * 2**32 + F.col("route_id")).alias("breach_id"),
-        *[name for name in SLA_BREACH_LOG.names if name in EVALUATED.names],
-        F.lit(0).alias("resolved"),
-        stamp.alias("created_at"),
-    )
+    log = keyed_breaches(read_breaches(spark, path), stamp)
     start, end = log.agg(F.min("breach_date"), F.max("breach_date")).head()
     if start is not None:
         alerts = with_audit_ids(breach_alerts(log, changed_at=now))

@@ -52,13 +52,16 @@ def test_daily_run_twice_adds_nothing(spark, tmp_path):
     args = (f, r, rules, log, audit, DAY, NOW)
     assert [run_daily_breaches(*args), run_daily_breaches(*args)] == [2, 0]
     logged = spark.read.schema(SLA_BREACH_LOG).parquet(log)
-    assert sorted(rows(logged, "breach_id", "route_id", "created_at")) == [(1, 1, NOW), (2, 2, NOW)]
+    key = (DAY - dt.date(1970, 1, 1)).days * 2**32
+    found = sorted(rows(logged, "breach_id", "route_id", "created_at"))
+    assert found == [(key + 1, 1, NOW), (key + 2, 2, NOW)]
     events = read_audit(spark, audit)
-    assert sorted(rows(events, "record_id")) == [(1,), (2,)]
+    assert sorted(rows(events, "record_id")) == [(key + 1,), (key + 2,)]
     assert {json.loads(e.new_values)["severity"] for e in events.collect()} == {"CRITICAL"}
     next_day = (f, r, rules, log, audit, DAY + dt.timedelta(days=1), NOW)
     assert run_daily_breaches(*next_day) == 2
-    assert spark.read.parquet(log).agg(F.max("breach_id")).head()[0] == 4
+    later = rows(spark.read.parquet(log), "breach_id")
+    assert sorted(later) == [(key + 1,), (key + 2,), (key + 2**32 + 1,), (key + 2**32 + 2,)]
 
 
 def test_lost_alerts_are_sent_by_the_next_run(spark, tmp_path):
@@ -68,6 +71,9 @@ def test_lost_alerts_are_sent_by_the_next_run(spark, tmp_path):
     run_daily_breaches(*args, f"{tmp_path}/elsewhere", DAY, NOW)
     assert run_daily_breaches(*args, audit, DAY, NOW) == 0
     assert spark.read.parquet(audit).count() == 1
+    # nor does it matter how long ago that was
+    assert run_daily_breaches(*args, f"{tmp_path}/late", DAY + dt.timedelta(days=400), NOW) == 0
+    assert spark.read.parquet(f"{tmp_path}/late").count() == 1
 
 
 def test_resolutions_are_events(spark, tmp_path):
