@@ -39,6 +39,7 @@ from slotwise.operators.quality import (
     validate,
 )
 from slotwise.sources.counters import Counters
+from slotwise.sources.keyed import KeyIndex
 from slotwise.sources.layout import (
     drop_months,
     with_month,
@@ -81,6 +82,7 @@ def ingest_flights(
     changed_at: dt.datetime | None = None,
     limits: Limits = DEFAULT_LIMITS,
     clamp_early: bool = False,
+    index: KeyIndex | None = None,
 ) -> dict[str, int]:
     """Stores the facts that may be stored, keeps all others aside under a reason, audits.
 
@@ -88,6 +90,9 @@ def ingest_flights(
     batch, and rows whose key is stored already with other values, in whatever month. A row that
     is stored as it is counts as done, so a batch may be given again.
 
+    With an ``index`` that every job on these facts is given, stored keys are looked up there
+    instead of in the key column of all months.
+
     Returns how many rows were given, stored, kept aside and audited, as the writes counted them.
     """
     spark = incoming.sparkSession
@@ -101,7 +106,7 @@ def ingest_flights(
     checked = settle(counters.watch("given", checked.withColumn("reject_reason", reason)), "checked")
     first, further = one_of_each_key(accepted(checked))
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
-    here = settle(_clashes(first, stored), "keys-stored")
+    here = settle(_clashes(first, stored, index), "keys-stored")
     fresh = settle(_unless_in(first, here), "fresh")
     other = first.join(here.filter("not same").select("flight_id"), "flight_id", "left_semi")
     bad = reduce(
@@ -113,6 +118,8 @@ def ingest_flights(
         ],
     )
     write_quarantine(_not_aside(spark, bad, quarantine_path), quarantine_path, counted("aside"))
+    if index is not None:
+        index.add(fresh)
     write_flights(fresh, flights_path, watch=counted("stored"))
     # rows of an earlier run that failed before it audited are audited now
     done = _unless_in(first, here.filter("not same"))
@@ -157,20 +164,24 @@ def one_of_each_key(f: DataFrame) -> tuple[DataFrame, DataFrame]:
     return single.unionByName(kept), further.select(*f.columns)
 
 
-def _clashes(f: DataFrame, stored: DataFrame) -> DataFrame:
+def _hits(f: DataFrame, stored: DataFrame, index: KeyIndex | None) -> DataFrame:
+    """(flight_id, flight_month): keys of ``f`` and the months in which they are, or may be, stored."""
+    if index is not None:
+        return settle(index.places(f), "hit-keys")
+    keys = f.select("flight_id")
+    return settle(stored.select("flight_id", MONTH_COLUMN).join(keys, "flight_id", "left_semi"), "hit-keys")
+
+
+def _clashes(f: DataFrame, stored: DataFrame, index: KeyIndex | None) -> DataFrame:
     """(flight_id, same): keys of ``f`` that are stored, and whether the stored row is the same.
 
-    Of the stored facts only the key is read in all months; whole rows are read for keys that are
-    found, in the months that hold them.
+    Of the stored facts only the key is read in all months, or the index instead; whole rows are
+    read for keys that are found, in the months that hold them.
     """
     given = f.select("flight_id", _row_digest(CONTENT).alias("_given"))
-    hit = settle(
-        stored.select("flight_id", MONTH_COLUMN).join(f.select("flight_id"), "flight_id", "left_semi"),
-        "hit-keys",
-    )
-    months = [row[0] for row in hit.select(MONTH_COLUMN).distinct().collect()]
+    hit = _hits(f, stored, index)
     known = (
-        stored.filter(F.col(MONTH_COLUMN).isin(months))
+        stored.filter(_in_months(F.col(MONTH_COLUMN), _months(hit, MONTH_COLUMN)))
         .join(hit.select("flight_id"), "flight_id", "left_semi")
         .select("flight_id", _row_digest(CONTENT).alias("_stored"))
     )
@@ -217,6 +228,7 @@ def update_flights(
     quarantine_path: str | None = None,
     limits: Limits = DEFAULT_LIMITS,
     clamp_early: bool = False,
+    index: KeyIndex | None = None,
 ) -> DataFrame:
     """Replaces stored facts by changed ones and audits the change; unknown keys are returned.
 
@@ -230,7 +242,8 @@ def update_flights(
     Only the months that hold a changed key, before or after, are written anew, and a month
     that loses its last row is removed. The audit goes first: a run that fails in between finds the
     same changes, under the same ids, again. If it fails before a month is removed, a fact that
-    moved is stored in both, and the next run takes the copies for what they are.
+    moved is stored in both, and the next run takes the copies for what they are. ``index`` is the one
+    that the ingest keeps, if it keeps one.
     """
     spark = changes.sparkSession
     checked = validate(changes.select(*FLIGHTS.names), limits, clamp_early)
@@ -240,7 +253,10 @@ def update_flights(
     changes = settle(changes, "changes")
     stored = read_or_empty(spark, flights_path, FLIGHTS_STORED)
     keys = changes.select("flight_id")
-    old = settle(stored.join(keys, "flight_id", "left_semi"), "old-facts")
+    before = stored
+    if index is not None:
+        before = stored.filter(_in_months(F.col(MONTH_COLUMN), _months(_hits(changes, stored, index), MONTH_COLUMN)))
+    old = settle(before.join(keys, "flight_id", "left_semi"), "old-facts")
     copies = old.join(repeated_old_keys(changes, old).select("flight_id"), "flight_id", "left_semi")
     bad = reduce(
         DataFrame.unionByName,
@@ -272,6 +288,8 @@ def update_flights(
         here = stored.filter(_in_months(F.col(MONTH_COLUMN), touched))
         rest = here.join(keys, "flight_id", "left_anti")
         whole = settle(rest.select(*FLIGHTS.names).unionByName(found), "touched-months")
+        if index is not None:
+            index.add(found)
         write_flights(whole, flights_path, "overwrite")
         left = set(_months(with_month(whole), MONTH_COLUMN))
         drop_months(spark, flights_path, [month for month in touched if month not in left])

@@ -373,6 +373,25 @@ _COUNTERS = f"""
     FROM flown GROUP BY route_id, flight_date"""
 
 
+_GOOD = f"good AS (SELECT * FROM flights WHERE NOT ({_REJECT}))"
+_INGESTED = f"""SELECT 'facts' AS outcome, count(DISTINCT flight_id) AS row_count FROM good
+        UNION ALL SELECT 'audit', count(DISTINCT flight_id) FROM good
+        UNION ALL SELECT 'missing flight_number', count(*) FROM flights
+            WHERE flight_id % 90 = 1 HAVING count(*) > 0
+        UNION ALL SELECT 'missing flight_date', count(*) FROM flights
+            WHERE flight_id % 110 = 2 HAVING count(*) > 0
+        UNION ALL SELECT 'second row of a key', sum(n)::BIGINT FROM (
+            SELECT count(*) - count(DISTINCT flight_id)
+                   + count(*) FILTER (WHERE flight_id % 50 = 0) AS n FROM good
+            UNION ALL SELECT count(*) - count(DISTINCT flight_id) FROM good
+            WHERE flight_id % 70 = 3) HAVING sum(n) > 0
+        UNION ALL SELECT 'key is stored already', count(DISTINCT flight_id) FROM good
+            WHERE flight_id % 70 = 3 HAVING count(*) > 0
+        UNION ALL SELECT 'cause minutes exceed arrival delay', sum(1
+            + (flight_id % 50 = 0)::INTEGER + (flight_id % 70 = 3)::INTEGER)::BIGINT
+            FROM flights WHERE {_REJECT} HAVING count(*) > 0"""
+
+
 def all_sql() -> dict[str, str]:
     today = f"(SELECT {day(AS_OF)} AS breach_date)"
     found = {
@@ -733,6 +752,12 @@ def all_sql() -> dict[str, str]:
                 FROM ({_COUNTERS})"""
         ),
         "stream_counters": sql(_COUNTERS),
+        "stream_windowed_counts": sql(
+            f"""SELECT flight_date - (date_diff('day', DATE '1970-01-01', flight_date) % 7)::INTEGER
+                       AS window_start, route_id, sum(total_flights)::BIGINT AS total_flights,
+                       sum(delayed_flights)::BIGINT AS delayed_flights
+                FROM ({_COUNTERS}) GROUP BY ALL"""
+        ),
         "stream_breaches": sql(
             f"""SELECT date_diff('day', DATE '1970-01-01', breach_date) * 4294967296 + route_id
                        AS breach_id, {_BREACH_COLUMNS}, 0 AS resolved
@@ -746,25 +771,14 @@ def all_sql() -> dict[str, str]:
             """last_quarter AS (SELECT unnest(generate_series(DATE '2023-10-01',
                    DATE '2023-12-31', INTERVAL 1 DAY))::DATE AS breach_date)""",
         ),
-        "ingest_outcomes": sql(
-            f"""SELECT 'facts' AS outcome, count(DISTINCT flight_id) AS row_count FROM good
-                UNION ALL SELECT 'audit', count(DISTINCT flight_id) FROM good
-                UNION ALL SELECT 'missing flight_number', count(*) FROM flights
-                    WHERE flight_id % 90 = 1 HAVING count(*) > 0
-                UNION ALL SELECT 'missing flight_date', count(*) FROM flights
-                    WHERE flight_id % 110 = 2 HAVING count(*) > 0
-                UNION ALL SELECT 'second row of a key', sum(n)::BIGINT FROM (
-                    SELECT count(*) - count(DISTINCT flight_id)
-                           + count(*) FILTER (WHERE flight_id % 50 = 0) AS n FROM good
-                    UNION ALL SELECT count(*) - count(DISTINCT flight_id) FROM good
-                    WHERE flight_id % 70 = 3) HAVING sum(n) > 0
-                UNION ALL SELECT 'key is stored already', count(DISTINCT flight_id) FROM good
-                    WHERE flight_id % 70 = 3 HAVING count(*) > 0
-                UNION ALL SELECT 'cause minutes exceed arrival delay', sum(1
-                    + (flight_id % 50 = 0)::INTEGER + (flight_id % 70 = 3)::INTEGER)::BIGINT
-                    FROM flights WHERE {_REJECT} HAVING count(*) > 0""",
-            f"good AS (SELECT * FROM flights WHERE NOT ({_REJECT}))",
+        "key_lookup": sql(
+            """SELECT flight_id, flight_date, flight_number, route_id, arr_delay_mins, cancelled FROM flights
+               WHERE flight_id IN (SELECT flight_id FROM flown WHERE arr_delay_mins >= 60)"""
+        ),
+        "indexed_ingest_outcomes": sql(
+            f"""{_INGESTED} UNION ALL SELECT 'indexed', count(DISTINCT flight_id) FROM good""", _GOOD
         ),
+        "ingest_outcomes": sql(_INGESTED, _GOOD),
         "job_counters": sql(
             """SELECT batch, counter, CASE
                        WHEN counter = 'given' THEN CASE WHEN batch = 2 THEN moved ELSE given END

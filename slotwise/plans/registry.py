@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from slotwise.config import Limits
+from slotwise.functions.bands import is_late
 from slotwise.functions.filters import flown, month_number, months_before
 from slotwise.operators import (
     airports,
@@ -32,6 +33,7 @@ from slotwise.plans.jobs import ingest_flights, read_log, run_daily_breaches, up
 from slotwise.sources import retail
 from slotwise.sources import tables as stored
 from slotwise.sources.exports import displayed, export_reports
+from slotwise.sources.keyed import KeyIndex, find_facts
 from slotwise.sources.layout import read_audit, read_flights, write_flights
 from slotwise.sources.ontime_csv import COLUMNS, ontime_flights, ontime_routes, read_ontime
 from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, SLA_BREACH_LOG, TABLES
@@ -53,6 +55,8 @@ NATIONS = [str(nation) for nation in range(25)]
 WITHIN_HOURS = 240
 #: Days of three daily runs; the first is long past when the others come.
 RUNS = [AS_OF - dt.timedelta(days=days) for days in (42, 7, 0)]
+#: Buckets of the indexes made here, fit for the given tables.
+LOOKUP_BUCKETS = 8
 DAILY = [dt.date(2023, 10, 1) + dt.timedelta(days=day) for day in range(92)]
 
 _QUERIES: dict[str, Callable[[Star], DataFrame]] = {}
@@ -609,6 +613,37 @@ def job_counters(s: Star) -> DataFrame:
     return s.spark.createDataFrame(lines, "batch int, counter string, row_count bigint")
 
 
+@query
+def key_lookup(s: Star) -> DataFrame:
+    """Whole facts of every key that is known to be severely late, by an index of keys and months."""
+    index = KeyIndex(s.spark, scratch_path(s.spark, "keys"), LOOKUP_BUCKETS)
+    index.add(s.flights)
+    severe = flown(s.flights).filter(is_late(F.col("arr_delay_mins"), Limits().severe_mins))
+    places = settle(index.places(severe), "places")
+    found = find_facts(s.spark, s.flights_path, places)
+    return found.select("flight_id", "flight_date", "flight_number", "route_id", "arr_delay_mins", "cancelled")
+
+
+@query
+def indexed_ingest_outcomes(s: Star) -> DataFrame:
+    """What ingest_outcomes reports, of jobs that look stored keys up in an index, and what the index holds."""
+    root = scratch_path(s.spark, "indexed")
+    paths = [f"{root}/{name}" for name in ("flights", "quarantine", "audit")]
+    index = KeyIndex(s.spark, f"{root}/keys", LOOKUP_BUCKETS)
+    for batch in _batches(s):
+        ingest_flights(batch, *paths, changed_by="loader", changed_at=NOW, index=index)
+    rows = F.count(F.lit(1)).alias("row_count")
+    counted = {
+        "facts": read_flights(s.spark, paths[0]),
+        "audit": read_audit(s.spark, paths[2]),
+        "indexed": index.read().distinct(),
+    }
+    aside = s.spark.read.schema(QUARANTINE_STORED).parquet(paths[1])
+    lines = [df.agg(rows).select(F.lit(name).alias("outcome"), "row_count") for name, df in counted.items()]
+    lines.append(aside.groupBy(F.col("reject_reason").alias("outcome")).agg(rows))
+    return reduce(DataFrame.unionByName, lines)
+
+
 @query
 def daily_run_outcomes(s: Star) -> DataFrame:
     """The log after three daily runs, the later ones given twice, and how often each breach was announced.
@@ -897,6 +932,18 @@ def stream_counters(s: Star) -> DataFrame:
     return jobs.read_counters(s.spark, f"{path}/out")
 
 
+@query
+def stream_windowed_counts(s: Star) -> DataFrame:
+    """Weekly counts held in state, and what came too late for it, of a feed that is restarted half way."""
+    path = scratch_path(s.spark, "stream-windows")
+    halves = F.xxhash64("flight_id") % 2 == 0
+    for half in (halves, ~halves):
+        write_flights(s.flights.filter(half), f"{path}/feed")
+        stream = jobs.flight_stream(s.spark, f"{path}/feed", FILES)
+        _run(jobs.windowed_stream(stream, f"{path}/out", f"{path}/checkpoint", lateness="30 days"))
+    return jobs.read_windows(s.spark, f"{path}/out").drop("late_flights")
+
+
 @query
 def stream_breaches(s: Star) -> DataFrame:
     """The breaches of every day of the feed, as they stand once all of it has come."""

@@ -11,10 +11,11 @@ import datetime as dt
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import (
+    BooleanType,
     DateType,
     IntegerType,
     LongType,
@@ -24,10 +25,12 @@ from pyspark.sql.types import (
 )
 
 from slotwise.config import DEFAULT_LIMITS, Limits
+from slotwise.functions.bands import is_late
 from slotwise.functions.filters import (
     MONTH_COLUMN,
     date_range,
     days_before,
+    flown,
     moment,
     month_number,
 )
@@ -50,6 +53,8 @@ EARLIEST = dt.date(1990, 1, 1)
 IMPLAUSIBLE_DATE = "implausible flight_date"
 #: For how long a feed may deliver something again.
 REDELIVERY = "7 days"
+#: Days of an event-time window.
+WINDOW_DAYS = 7
 #: When a row of a stream was delivered: what redelivery is measured by.
 DELIVERED = "_delivered"
 #: The id of a row that only says how far a feed has come; ids of breaches are positive.
@@ -72,6 +77,16 @@ DAYS = StructType(
         StructField("batch_id", IntegerType()),
     ]
 )
+WINDOW_PARTS = StructType(
+    [
+        StructField("window_start", DateType()),
+        FLIGHTS["route_id"],
+        StructField("total_flights", LongType()),
+        StructField("delayed_flights", LongType()),
+        StructField("late", BooleanType()),
+        StructField("batch_id", IntegerType()),
+    ]
+)
 EVALUATED = StructType(
     [
         StructField("breach_date", DateType()),
@@ -121,7 +136,9 @@ def _exists(spark: SparkSession, path: str) -> bool:
         return False
 
 
-def _each_batch(stream: DataFrame, write, path: str, checkpoint: str) -> StreamingQuery:
+def _each_batch(
+    stream: DataFrame, write, path: str, checkpoint: str, mode: str = "append"
+) -> StreamingQuery:
     """Runs ``write`` for every batch; ``path`` is where it leaves a folder for each."""
     spark = stream.sparkSession
     batches = f"{path}/batch_id=*"
@@ -131,7 +148,7 @@ def _each_batch(stream: DataFrame, write, path: str, checkpoint: str) -> Streami
         )
     return (
         stream.writeStream.foreachBatch(write)
-        .outputMode("append")
+        .outputMode(mode)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -297,6 +314,84 @@ def read_closed_counters(spark: SparkSession, path: str, lateness_days: int = 3)
     return counters.withColumn("closed", F.col("flight_date") < F.lit(edge))
 
 
+def window_start(date: Column, days: int) -> Column:
+    """The first day of the tumbling window of ``days`` days that holds a date, counted from 1970-01-01."""
+    return F.date_sub(date, F.pmod(F.unix_date(date), F.lit(days)))
+
+
+def windowed_stream(
+    stream: DataFrame,
+    path: str,
+    checkpoint: str,
+    days: int = WINDOW_DAYS,
+    lateness: str = "3 days",
+    limits: Limits = DEFAULT_LIMITS,
+) -> StreamingQuery:
+    """Flown and late rows per route and event-time window, open windows held in state.
+
+    A window is in state until the watermark, ``lateness`` behind the latest date seen, has passed
+    its end; then its counts are final there. Rows that come later still, and rows without a date,
+    go to a side output as additive parts, so none is lost (:func:`read_windows` adds them up).
+
+    Both outputs are branches of one query, so they are cut alike: in update mode a batch tells every
+    window that took a row, and a window takes all rows of a batch or none. What the batch brought for a
+    window that it does not tell is what the watermark kept out. One shuffle of counts tells them apart.
+    """
+    given = flown(stream).select(
+        "route_id",
+        "flight_date",
+        F.timestamp_seconds(F.unix_date("flight_date") * 86400).alias("_at"),
+        F.coalesce(is_late(F.col("arr_delay_mins"), limits.delayed_mins).cast("bigint"), F.lit(0)).alias("_delayed"),
+    )
+    total, delayed = F.count(F.lit(1)), F.sum("_delayed")
+    held = (
+        given.withWatermark("_at", lateness)
+        .groupBy(F.window("_at", f"{int(days)} days").alias("_window"), "route_id")
+        .agg(total.alias("_total"), delayed.alias("_late"))
+    )
+    first_day = F.date_from_unix_date((F.unix_seconds("_window.start") / 86400).cast("int"))
+    told = held.select(
+        first_day.alias("window_start"), "route_id", F.lit(True).alias("_held"), "_total", "_late"
+    )
+    brought = given.select(
+        window_start(F.col("flight_date"), days).alias("window_start"),
+        "route_id",
+        F.lit(False).alias("_held"),
+        F.lit(1).cast("bigint").alias("_total"),
+        F.col("_delayed").alias("_late"),
+    )
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        def of(name: str, held: bool) -> Column:
+            return F.sum(F.when(F.col("_held") == F.lit(held), F.col(name)))
+
+        late = of("_total", True).isNull()
+        batch.groupBy("window_start", "route_id").agg(
+            F.coalesce(of("_total", True), of("_total", False)).alias("total_flights"),
+            F.coalesce(of("_late", True), of("_late", False)).alias("delayed_flights"),
+            late.alias("late"),
+        ).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+    return _each_batch(told.unionByName(brought), write, path, checkpoint, "update")
+
+
+def read_windows(spark: SparkSession, path: str) -> DataFrame:
+    """Counts of each window and route: what its state came to, and what came too late for it.
+
+    Counts in state only grow, so the greatest is the last one told.
+    """
+    parts = read_or_empty(spark, path, WINDOW_PARTS)
+    of = {
+        name: F.coalesce(F.max(F.when(~F.col("late"), F.col(name))), F.lit(0))
+        + F.coalesce(F.sum(F.when(F.col("late"), F.col(name))), F.lit(0))
+        for name in ("total_flights", "delayed_flights")
+    }
+    after = F.coalesce(F.sum(F.when(F.col("late"), F.col("total_flights"))), F.lit(0))
+    return parts.groupBy("window_start", "route_id").agg(
+        *[value.alias(name) for name, value in of.items()], after.alias("late_flights")
+    )
+
+
 def days_to_evaluate(
     touched: Iterable[dt.date], latest: dt.date, before: dt.date | None, window: int
 ) -> list[dt.date]:
