@@ -97,6 +97,42 @@ def marked(docs: DataFrame, units: Units) -> DataFrame:
     return docs.where("id is not null").select("id", "text").mapInArrow(run, schema)
 
 
+def told_apart(docs: DataFrame) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """``docs`` (id, text) with an id of its own for every text, and what gives results the first ids back.
+
+    Where an id has several texts, each of them gets a number below all ids. Tables without such
+    ids are left as they are, after one count of ids; only tables with some are dealt out by their texts.
+    Rows that repeat an id with one text share it.
+    """
+
+    def as_they_are(found: DataFrame) -> DataFrame:
+        return found
+
+    ids = docs.where("id is not null").groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    ids = settle(ids.select("id"), "repeated-ids")
+    if ids.isEmpty():
+        return docs, as_they_are
+    marked_rows = docs.withColumn("kind", F.md5(F.coalesce("text", F.lit(""))))
+    kinds = marked_rows.select("id", "kind").join(ids.hint("merge"), "id", "left_semi").distinct()
+    kinds = settle(kinds, "texts-of-ids")
+    several = kinds.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    kinds = settle(kinds.join(several, "id", "left_semi"), "several-texts")
+    if kinds.isEmpty():
+        return docs, as_they_are
+    lowest = docs.agg(F.min("id")).first()[0]
+    number = F.lit(lowest - 1) - F.monotonically_increasing_id()
+    kinds = settle(kinds.select("id", "kind", number.alias("number")), "numbered-texts")
+    rows = marked_rows.join(kinds.hint("merge"), ["id", "kind"], "left")
+    rows = settle(rows.select(F.coalesce("number", "id").alias("id"), "text"), "texts-told-apart")
+    given = kinds.select(F.col("number").alias("id"), F.col("id").alias("given"))
+
+    def restored(found: DataFrame) -> DataFrame:
+        named = found.join(given.hint("merge"), "id", "left")
+        return named.select(F.coalesce("given", "id").alias("id"), *[c for c in found.columns if c != "id"])
+
+    return rows, restored
+
+
 def packed(docs: DataFrame) -> DataFrame:
     """(id, blob): texts made small before they are sent anywhere."""
 

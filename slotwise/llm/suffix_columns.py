@@ -15,8 +15,8 @@ that column's part of the transform and lets the one before go.
 
 Defined results: a null text is empty; a text shorter than the length loses nothing; strings that
 overlap in one text count, and what they cover is removed together; all places of a repeated
-string go, so exact copies lose everything; a row without an id stays whole. Further columns are
-ignored.
+string go, so exact copies lose everything; a row without an id stays whole; rows that repeat
+an id are a row each, judged by their own texts. Further columns are ignored.
 """
 
 import tempfile
@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from slotwise.llm.frames import keyed_text
-from slotwise.llm.stretches import Units, repeated_spans, without_spans
+from slotwise.llm.stretches import Units, repeated_spans, told_apart, without_spans
 
 LENGTH = 200
 #: Bytes whose hash marks a window; windows of one mark are compared.
@@ -134,6 +134,6 @@ def without_repeats(
     """doc_id, n_units (bytes), n_removed, n_spans and kept (text, or its SHA-256) of every document,
     without each byte in a string of ``length`` bytes that also begins elsewhere."""
     units = Units(length, gram, words=False)
-    rows = keyed_text(docs, doc_id, text)
+    rows, restored = told_apart(keyed_text(docs, doc_id, text))
     found = repeated_spans(rows, units, shared_windows)
-    return without_spans(rows, found, units, digests).withColumnRenamed("id", "doc_id")
+    return restored(without_spans(rows, found, units, digests)).withColumnRenamed("id", "doc_id")

@@ -8,8 +8,8 @@ matching statistic of that end. Runs that reach the threshold are intervals that
 
 Defined results: a null text has no words; a text of fewer words than the threshold loses nothing;
 runs that overlap in one text count, and what they cover is removed together; all places of a
-repeated run go, so exact copies lose everything; a row without an id stays whole. Words are compared
-as they are. Further columns are ignored.
+repeated run go, so exact copies lose everything; a row without an id stays whole; rows that repeat
+an id are a row each, judged by their own texts. Words are compared as they are. Further columns are ignored.
 """
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 
 from slotwise.llm import spans
 from slotwise.llm.frames import keyed_text
-from slotwise.llm.stretches import Units, repeated_spans, without_spans
+from slotwise.llm.stretches import Units, repeated_spans, told_apart, without_spans
 
 WORDS = 35
 #: Words whose hash marks a window; windows of one mark are compared.
@@ -164,6 +164,6 @@ def without_repeats(
     """doc_id, n_units (words), n_removed, n_spans and kept (text, or its SHA-256) of every document,
     without each word in a run of ``words`` words that also begins elsewhere."""
     units = Units(words, gram, words=True)
-    rows = keyed_text(docs, doc_id, text)
+    rows, restored = told_apart(keyed_text(docs, doc_id, text))
     found = repeated_spans(rows, units, shared_windows)
-    return without_spans(rows, found, units, digests).withColumnRenamed("id", "doc_id")
+    return restored(without_spans(rows, found, units, digests)).withColumnRenamed("id", "doc_id")
