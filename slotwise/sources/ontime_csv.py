@@ -8,6 +8,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from slotwise.operators.keys import route_dimension
 from slotwise.sources.schemas import DEFAULTS, FLIGHTS
+from slotwise.sources.scratch import settle
 from slotwise.sources.tables import fill_defaults, normalise_codes
 
 # Target field and its column in the public on-time performance download.
@@ -51,6 +52,8 @@ def read_ontime(
     Every field is then cast by what it is for. A blank is a missing value; anything else that
     cannot be cast, or is no whole number, makes the line one that does not fit. The delays of a
     cancelled movement are 0 where they are blank. Columns that the file lacks are left out.
+
+    Texts are parsed once: the typed lines are written out, and whoever reads the result reads these.
     """
     header = spark.read.option("header", True).csv(path).columns
     schema = StructType([StructField(name, StringType()) for name in [*header, BROKEN]])
@@ -60,7 +63,7 @@ def read_ontime(
         .option("enforceSchema", False)
         .csv(path)
     )
-    fields, wrong = {}, F.lit(False)
+    fields, numeric = {}, {}
     for field, source in columns.items():
         if source not in header and field not in REQUIRED:
             continue
@@ -70,9 +73,18 @@ def read_ontime(
         elif field in TEXTS:
             fields[field] = given
         else:
-            number = given.try_cast("double")
-            fields[field] = F.when(number == F.floor(number), number).try_cast("int")
-            wrong = wrong | ((given != "") & fields[field].isNull())
+            numeric[field] = given
+            fields[field] = F.col("_whole")[len(numeric) - 1]
+    # one expression over the list of all numbers: written out per column, the code that Spark makes of it
+    # is too long to be compiled
+    given = F.col("_given")
+    whole = F.transform(
+        F.transform(given, lambda text: text.try_cast("double")),
+        lambda number: F.when(number == F.floor(number), number).try_cast("int"),
+    )
+    wrong = F.exists(F.zip_with(given, whole, lambda text, value: (text != "") & value.isNull()), lambda x: x)
+    raw = raw.withColumn("_given", F.array(*numeric.values()))
+    raw = raw.withColumns({"_whole": whole, WRONG: F.coalesce(wrong, F.lit(False))})
     if "cancelled" in fields:
         gone = fields["cancelled"] == 1
         for field in ("dep_delay_mins", "arr_delay_mins"):
@@ -83,8 +95,9 @@ def read_ontime(
     typed = raw.select(
         *[value.alias(name) for name, value in fields.items()],
         BROKEN,
-        F.coalesce(wrong, F.lit(False)).alias(WRONG),
+        WRONG,
     )
+    typed = settle(typed, "ontime-typed")
     complete = F.col(BROKEN).isNull() & ~F.col(WRONG)
     for name in REQUIRED:
         complete = complete & F.col(name).isNotNull()
