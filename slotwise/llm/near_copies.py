@@ -7,7 +7,8 @@ the left, the others to the right, and those that lie within the radius of the b
 pair within the radius of one another then meets in some shard. The top of each tree is laid out
 from a bounded sample, and every fingerprint finds its shards by it. Within a shard the tree goes on
 in memory to small leaves, where fingerprints are compared in full. A shard or leaf gives a forest
-of links, never all its pairs, and the links of all shards are joined to components.
+of links, never all its pairs, and the links of all shards are joined to components. A wider radius takes
+more blocks than two halves, each with its share of the radius.
 
 Defined results: a null or wordless text has fingerprint zero and is linked like any other; a text
 of fewer words than a shingle is one shingle; equal fingerprints are one component; a row without
@@ -29,8 +30,8 @@ from slotwise.llm.frames import fresh, keyed_text, settle
 
 SEED = 42
 RADIUS = 3
-#: What two fingerprints within RADIUS differ by at most in the half where they differ less.
-HALF_RADIUS = RADIUS // 2
+#: Equal parts of a fingerprint; two within RADIUS differ in some part by at most RADIUS // HALVES.
+HALVES = 2
 #: Distinct fingerprints that one shard should hold, and that the top of a tree is laid out from.
 SHARD, SAMPLE = 8192, 16384
 LEAF = 128
@@ -160,8 +161,10 @@ def deal(points: np.ndarray, tree, radius: int) -> Iterator[tuple[int, np.ndarra
         todo.append((node.right, 2 * path + 1, at[d > node.reach - radius]))
 
 
-def half_of(fps: np.ndarray, half: int) -> np.ndarray:
-    return (fps >> np.uint64(32 * half)).astype(np.uint32)
+def half_of(fps: np.ndarray, half: int, blocks: int = HALVES) -> np.ndarray:
+    """The bits of a half of each fingerprint, or of one of more equal blocks."""
+    width = 64 // blocks
+    return (fps >> np.uint64(width * half) & np.uint64(2**width - 1)).astype(np.uint32)
 
 
 def links(fps: np.ndarray, keys: np.ndarray, key_radius: int, radius: int) -> list[np.ndarray]:
@@ -219,24 +222,30 @@ def _spread(own: np.ndarray, radius: int) -> list[np.ndarray]:
     return found
 
 
-def near_links(fps: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> DataFrame:
-    """(a, b): links of distinct fingerprints (column fp) that join all within RADIUS."""
+def near_links(
+    fps: DataFrame, shard: int = SHARD, sample: int = SAMPLE, radius: int = RADIUS, blocks: int = HALVES
+) -> DataFrame:
+    """(a, b): links of distinct fingerprints (column fp) that join all within ``radius``.
+
+    ``blocks`` divides 64; the trees work on blocks, each with its share of the radius.
+    """
+    reach = radius // blocks
     total = fps.count()
     share = min(1.0, sample / max(total, 1))
     drawn = fps.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 40)) < F.lit(int(share * (1 << 40))))
     # about ``sample`` rows, whatever the number of fingerprints
     points = np.sort(np.array([r.fp for r in drawn.collect()], np.int64)).view(np.uint64)
     scale = total / max(len(points), 1)
-    trees = [lay_out(half_of(points, h), scale, HALF_RADIUS, shard) for h in (0, 1)]
+    trees = [lay_out(half_of(points, n, blocks), scale, reach, shard) for n in range(blocks)]
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for half, tree in enumerate(trees):
-                for leaf, at in deal(half_of(own, half), tree, HALF_RADIUS):
+            for block, tree in enumerate(trees):
+                for leaf, at in deal(half_of(own, block, blocks), tree, reach):
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array(np.full(len(at), 2 * leaf + half, np.int64)),
+                            pa.array(np.full(len(at), blocks * leaf + block, np.int64)),
                             pa.array(own[at].view(np.int64)),
                         ],
                         ["shard", "fp"],
@@ -244,7 +253,7 @@ def near_links(fps: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Data
 
     def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         own = rows["fp"].to_numpy().view(np.uint64)
-        found = links(own, half_of(own, int(key[0]) & 1), HALF_RADIUS, RADIUS)
+        found = links(own, half_of(own, int(key[0]) % blocks, blocks), reach, radius)
         pairs = np.concatenate(found) if found else np.zeros((0, 2), np.uint64)
         return pd.DataFrame(np.unique(pairs, axis=0).view(np.int64), columns=["a", "b"])
 
@@ -252,6 +261,23 @@ def near_links(fps: DataFrame, shard: int = SHARD, sample: int = SAMPLE) -> Data
     return rows.groupBy("shard").applyInPandas(joined, "a bigint, b bigint")
 
 
+def likely_pairs(nodes: DataFrame, shingle: int, radius: int, blocks: int) -> DataFrame:
+    """(a, b): pairs of nodes (id, text) to be compared by what their fingerprints say.
+
+    Nodes of one fingerprint are paired with the least of them, and that one with those that the trees
+    link it to.
+    """
+    rows = settle(fingerprint_rows(nodes, shingle), "fingerprints")
+    fps = settle(rows.groupBy("fp").agg(F.min("id").alias("least")), "distinct-fingerprints")
+    met = settle(near_links(fps, radius=radius, blocks=blocks).distinct(), "fingerprint-links")
+    one = fps.select(F.col("fp").alias("a"), F.col("least").alias("_a"))
+    two = fps.select(F.col("fp").alias("b"), F.col("least").alias("_b"))
+    near = met.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("_a", "_b")
+    same = rows.join(fps.hint("merge"), "fp").select(F.col("least").alias("_a"), F.col("id").alias("_b"))
+    pairs = near.unionByName(same).where("_a != _b")
+    return pairs.select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b")).distinct()
+
+
 def near_copies(
     docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:

@@ -1,7 +1,11 @@
 """Groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
-The stage of the pipeline that keeps one document of each group of near copies. The groups are those of
-:mod:`slotwise.llm.sketches`, by five words.
+The stage of the pipeline that keeps one document of each group of near copies. SimHash fingerprints of
+five-word shingles that differ in up to ``RADIUS`` bits are met through the vantage-point trees of
+:mod:`slotwise.llm.near_copies`, over four blocks of 16 bits in which such a pair differs at most once
+somewhere; whole sets confirm them. Texts that are alike to 0.8 may lie further apart, and no number of bits
+reaches them all, so the sketches of :mod:`slotwise.llm.sketches` then go on from the groups found
+and join what the fingerprints leave apart.
 
 Defined results: words are lower-cased (ASCII) and lie between blanks; a text of fewer words than a
 shingle is one shingle; null and wordless texts are one group; a row without an id is in no group;
@@ -11,6 +15,7 @@ rows that repeat an id are one document, in the groups of all its texts.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from slotwise.llm import near_copies
 from slotwise.llm.frames import discard, fresh, settle
 from slotwise.llm.shingles import links_of_blocks as _links_of_blocks
 from slotwise.llm.sketches import BLOCK, CROWD, sketch_groups
@@ -18,13 +23,22 @@ from slotwise.llm.sketches import BLOCK, CROWD, sketch_groups
 __all__ = ["SHINGLE", "_links_of_blocks", "one_of_each", "similar_groups"]
 
 SHINGLE = 5
+#: Bits in which fingerprints of a pair may differ, and the blocks that the trees work on.
+RADIUS, BLOCKS = 7, 4
+
+
+def by_fingerprints(rows: DataFrame) -> DataFrame:
+    """(a, b): pairs of ids of (id, text) rows whose fingerprints lie close."""
+    return near_copies.likely_pairs(rows, SHINGLE, RADIUS, BLOCKS)
 
 
 def similar_groups(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", crowd: int = CROWD, block: int = BLOCK
 ) -> DataFrame:
     """doc_id and component (the least id reachable) of every document with an id."""
-    found = sketch_groups(docs, doc_id, text, SHINGLE, wordless=True, crowd=crowd, block=block)
+    found = sketch_groups(
+        docs, doc_id, text, SHINGLE, wordless=True, crowd=crowd, block=block, likely=by_fingerprints
+    )
     return found.where("doc_id is not null").select("doc_id", "component")
 
 

@@ -20,7 +20,7 @@ if asked, with each other). A row without an id has no component. Rows that repe
 node, so the groups of all its texts are one. Equal rows change nothing.
 """
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -242,16 +242,29 @@ def _crowd_links(members: DataFrame, docs: DataFrame, shingle: int, block: int)
     )
 
 
-def links(own: DataFrame, docs: DataFrame, shingle: int, crowd: int = CROWD, block: int = BLOCK) -> DataFrame:
-    """(a, b): links that join all similar nodes; ``own`` has node, n and sketch."""
+def links(
+    own: DataFrame,
+    docs: DataFrame,
+    shingle: int,
+    crowd: int = CROWD,
+    block: int = BLOCK,
+    likely: DataFrame | None = None,
+) -> DataFrame:
+    """(a, b): links that join all similar nodes; ``own`` has node, n and sketch.
+
+    ``likely`` pairs of nodes are compared first, and the lists go on from the components that they give.
+    """
     members = settle(leading_members(own), "lists").withColumn("root", F.col("node"))
     found = None
+    if likely is not None:
+        found = settle(alike_texts(settle(alike_sketches(likely, own), "pairs-likely"), docs, shingle), "links-likely")
+        members = _rooted(members, found, "lists-likely")
     for turn in range(ROUNDS):
         members = _unsettled(members, f"lists-{turn}")
         if members.isEmpty():
             return found if found is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        likely = settle(alike_sketches(_star_pairs(members, turn), own), "pairs-alike")
-        new = settle(alike_texts(likely, docs, shingle), "star-links")
+        alike = settle(alike_sketches(_star_pairs(members, turn), own), "pairs-alike")
+        new = settle(alike_texts(alike, docs, shingle), "star-links")
         found = new if found is None else settle(found.unionByName(new), "links")
         members = _rooted(members, found, "lists-rooted")
     members = _unsettled(members, "lists-left")
@@ -275,10 +288,12 @@ def sketch_groups(
     wordless: bool = False,
     crowd: int = CROWD,
     block: int = BLOCK,
+    likely: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """doc_id, n_shingles and component (the least id reachable) of every row.
 
-    ``wordless`` makes texts without words one group; otherwise each is alone.
+    ``wordless`` makes texts without words one group; otherwise each is alone. ``likely`` gives, for rows
+    (id, text), pairs of ids (a, b) from another method; they are compared before the lists are.
     """
     given = keyed_text(docs, doc_id, text)
     with discard(docs.sparkSession) as keep:
@@ -297,7 +312,16 @@ def sketch_groups(
             .select(F.col("least").alias("a"), F.col("id").alias("b"))
         )
         texts = given.where("id is not null")
-        found = links(own, texts, shingle, crowd, block).unionByName(settle(one_id, "one-id"))
+        first_pairs = None
+        if likely is not None:
+            held = linked.join(same.hint("merge"), ["n", "high", "low"]).select("id", "least")
+            held = settle(held.distinct(), "nodes-of-ids")
+            met = settle(likely(texts), "pairs-given")
+            for side in ("a", "b"):
+                node = held.select(F.col("id").alias(side), F.col("least").alias(f"_{side}"))
+                met = met.join(node.hint("merge"), side)
+            first_pairs = met.where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
+        found = links(own, texts, shingle, crowd, block, first_pairs).unionByName(settle(one_id, "one-id"))
         roots = components(found)
         sets = same.join(roots.hint("merge"), same["least"] == roots["node"], "left").select(
             "n", "high", "low", F.coalesce("root", "least").alias("component")
