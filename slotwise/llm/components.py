@@ -4,13 +4,14 @@ Each round hangs every node's larger neighbours on the smallest node it knows, t
 ones, until the rows no longer change; they are then stars around each component's smallest node.
 Rounds are few (about the logarithm of the longest path). Only minima are gathered at a node; they
 are written, and other rows meet them in a join that can split a large node, so a node may have any
-number of links. Each round is written to the shared folder, which ends its lineage.
+number of links. Each round is written to the shared folder, which ends its lineage; what a round
+has written on its way is deleted after it, and older rounds once the last is known.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slotwise.llm.frames import settle
+from slotwise.llm.frames import discard, settle
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -42,11 +43,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Loops and repeated rows are allowed, and no edges give no rows.
     """
-    edges = settle(edges.where("a != b").distinct(), "edges")
-    before = None
-    while (now := _state(edges)) != before:
-        before = now
-        edges = settle(_small_star(_large_star(edges)), "stars")
+    with discard(edges.sparkSession) as keep:
+        edges = settle(edges.where("a != b").distinct(), "edges")
+        before = None
+        while (now := _state(edges)) != before:
+            before = now
+            with discard(edges.sparkSession) as keep_round:
+                edges = keep_round(settle(_small_star(_large_star(edges)), "stars"))
+        keep(edges)
     roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     tops = edges.select(F.col("b").alias("node"), F.col("b").alias("root"))
     return roots.unionByName(tops).distinct()

@@ -242,6 +242,13 @@ def _crowd_links(members: DataFrame, docs: DataFrame, shingle: int, block: int)
     )
 
 
+def _confirmed(pairs: DataFrame, own: DataFrame, docs: DataFrame, shingle: int, name: str) -> DataFrame:
+    """The pairs (a, b) that sketches, then whole sets, find alike; what leads there is deleted."""
+    with discard(docs.sparkSession) as keep:
+        alike = settle(alike_sketches(pairs, own), "pairs-alike")
+        return keep(settle(alike_texts(alike, docs, shingle), name))
+
+
 def links(
     own: DataFrame,
     docs: DataFrame,
@@ -249,32 +256,34 @@ def links(
     crowd: int = CROWD,
     block: int = BLOCK,
     likely: DataFrame | None = None,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """(a, b): links that join all similar nodes; ``own`` has node, n and sketch.
 
     ``likely`` pairs of nodes are compared first, and the lists go on from the components that they give.
+    ``rounds`` of pivots spare pairs and blocks; what they leave apart is compared in any case, so their number
+    changes no result.
     """
     members = settle(leading_members(own), "lists").withColumn("root", F.col("node"))
     found = None
     if likely is not None:
-        found = settle(alike_texts(settle(alike_sketches(likely, own), "pairs-likely"), docs, shingle), "links-likely")
+        found = _confirmed(likely, own, docs, shingle, "links-likely")
         members = _rooted(members, found, "lists-likely")
-    for turn in range(ROUNDS):
+    for turn in range(rounds):
         members = _unsettled(members, f"lists-{turn}")
         if members.isEmpty():
             return found if found is not None else members.select(F.col("node").alias("a"), F.col("node").alias("b"))
-        alike = settle(alike_sketches(_star_pairs(members, turn), own), "pairs-alike")
-        new = settle(alike_texts(alike, docs, shingle), "star-links")
+        new = _confirmed(_star_pairs(members, turn), own, docs, shingle, "star-links")
         found = new if found is None else settle(found.unionByName(new), "links")
         members = _rooted(members, found, "lists-rooted")
     members = _unsettled(members, "lists-left")
     sizes = members.groupBy("value").agg(F.count(F.lit(1)).alias("times"))
     sizes = settle(sizes, "list-sizes")
     few = members.join(sizes.where(F.col("times") <= crowd).hint("merge"), "value", "left_semi")
-    rest = alike_texts(settle(alike_sketches(_few_pairs(settle(few, "lists-short")), own), "pairs-left"), docs, shingle)
+    rest = _confirmed(_few_pairs(settle(few, "lists-short")), own, docs, shingle, "links-left")
     many = members.join(sizes.where(F.col("times") > crowd).hint("merge"), "value", "left_semi")
     many = settle(many, "lists-long")
-    found = found.unionByName(settle(rest, "links-left"))
+    found = rest if found is None else found.unionByName(rest)
     if many.isEmpty():
         return found
     return found.unionByName(settle(_crowd_links(many, docs, shingle, block), "links-crowd"))
@@ -289,11 +298,13 @@ def sketch_groups(
     crowd: int = CROWD,
     block: int = BLOCK,
     likely: Callable[[DataFrame], DataFrame] | None = None,
+    rounds: int = ROUNDS,
 ) -> DataFrame:
     """doc_id, n_shingles and component (the least id reachable) of every row.
 
     ``wordless`` makes texts without words one group; otherwise each is alone. ``likely`` gives, for rows
-    (id, text), pairs of ids (a, b) from another method; they are compared before the lists are.
+    (id, text), pairs of ids (a, b) from another method; they are compared before the lists are. ``rounds``: see
+    :func:`links`.
     """
     given = keyed_text(docs, doc_id, text)
     with discard(docs.sparkSession) as keep:
@@ -321,7 +332,7 @@ def sketch_groups(
                 node = held.select(F.col("id").alias(side), F.col("least").alias(f"_{side}"))
                 met = met.join(node.hint("merge"), side)
             first_pairs = met.where("_a != _b").select(F.col("_a").alias("a"), F.col("_b").alias("b")).distinct()
-        found = links(own, texts, shingle, crowd, block, first_pairs).unionByName(settle(one_id, "one-id"))
+        found = links(own, texts, shingle, crowd, block, first_pairs, rounds).unionByName(settle(one_id, "one-id"))
         roots = components(found)
         sets = same.join(roots.hint("merge"), same["least"] == roots["node"], "left").select(
             "n", "high", "low", F.coalesce("root", "least").alias("component")
