@@ -322,6 +322,13 @@ def audited_records(
 
     ``undated`` adds the events of records without a date; without a range they are all.
     """
+    return insert_events(read_or_empty(spark, path, AUDIT_STORED), table, first, last, undated)
+
+
+def insert_events(
+    events: DataFrame, table: str, first: dt.date | None, last: dt.date | None, undated: bool = False
+) -> DataFrame:
+    """:func:`audited_records` of a change log that is read already."""
     wanted = F.lit(False)
     if first is not None:
         wanted = F.col(PERIOD_COLUMN).between(
@@ -329,9 +336,7 @@ def audited_records(
         )
     if undated:
         wanted = wanted | (F.col(PERIOD_COLUMN) == 0)
-    return read_or_empty(spark, path, AUDIT_STORED).filter(
-        (F.col("table_name") == table) & wanted & (F.col("operation") == "INSERT")
-    )
+    return events.filter((F.col("table_name") == table) & wanted & (F.col("operation") == "INSERT"))
 
 
 def run_daily_breaches(
