@@ -97,35 +97,43 @@ class FmIndex:
 
     def narrow(self, symbol: np.ndarray, low: np.ndarray, high: np.ndarray):
         """Rows that begin with the symbol and go on as the given rows do."""
-        shift = self.begin[symbol] - self.base[symbol]
-        return self.matrix.place(symbol, low) + shift, self.matrix.place(symbol, high) + shift
+        both = np.concatenate([symbol, symbol])
+        found = self.matrix.place(both, np.concatenate([low, high])) + (self.begin[both] - self.base[both])
+        return found[: len(symbol)], found[len(symbol) :]
 
 
 def repeated_runs(index: FmIndex, symbols: np.ndarray, begins, ends, length: int):
-    """(text, first, last): places of windows of ``length`` symbols that occur at least twice.
-
-    Every text is streamed backwards from its end for as long as rows of a weight of two begin with
-    the run read so far; that is the matching statistic of this end. If it reaches the length, all windows within
-    the run are reported, and the next run ends where the first window begins that is still open;
-    otherwise it ends one symbol earlier. All texts go on at once.
+    """(first, last): places of windows of ``length`` symbols that occur at least twice.
+
+    Windows are judged in stretches, at first all those of a text. A search goes backwards from the end of one
+    window for as long as rows of a weight of two begin with the run read so far; that is the
+    matching statistic of this end. If it reaches the window's begin, all windows within the run are
+    reported. If not, the run and the symbol before it occur once, and so does every window that
+    holds them. What is left before and behind is searched again. All stretches go on at once, at first from
+    their last window, as a text may repeat whole, then from the middle.
     """
-    text = np.flatnonzero(ends - begins >= length)
-    end = ends[text].copy()
-    while len(text):
-        reach, going = end.copy(), np.arange(len(text))
-        low, high = np.zeros(len(text), np.int64), np.full(len(text), len(symbols), np.int64)
+    first, last = begins, ends - length
+    window = last
+    while True:
+        open_ = first <= last
+        first, last, window = first[open_], last[open_], window[open_]
+        if not len(first):
+            return
+        end = window + length
+        reach, going = end.copy(), np.arange(len(first))
+        low, high = np.zeros(len(first), np.int64), np.full(len(first), len(symbols), np.int64)
         while len(going):
             low, high = index.narrow(symbols[reach[going] - 1], low, high)
             more = index.weight_before[high] - index.weight_before[low] >= 2
             going, low, high = going[more], low[more], high[more]
             reach[going] -= 1
-            inside = reach[going] > begins[text[going]]
+            inside = reach[going] > first[going]
             going, low, high = going[inside], low[inside], high[inside]
-        hit = end - reach >= length
-        yield text[hit], reach[hit], end[hit] - length
-        end = np.where(hit, reach + length - 1, end - 1)
-        open_ = end - begins[text] >= length
-        text, end = text[open_], end[open_]
+        hit = reach <= window
+        yield reach[hit], window[hit]
+        before, behind = np.minimum(reach, window) - 1, np.maximum(reach, window + 1)
+        first, last = np.concatenate([first, behind]), np.concatenate([before, last])
+        window = (first + last) // 2
 
 
 def shared_windows(
@@ -149,7 +157,7 @@ def shared_windows(
     ends = begins + counts
     changes = np.zeros(len(symbols) + 1, np.int32)
     index = FmIndex(symbols, weights, length)
-    for _, first, last in repeated_runs(index, symbols, begins, ends, length):
+    for first, last in repeated_runs(index, symbols, begins, ends, length):
         np.add.at(changes, first, 1)
         np.add.at(changes, last + 1, -1)
     reached = np.cumsum(changes) > 0

@@ -67,6 +67,27 @@ def test_word_index_against_loops(seed):
         assert cover == expected[n]
 
 
+def test_a_short_run_rules_out_the_windows_that_hold_it(monkeypatch):
+    """Texts that share twelve words in surroundings of their own, and one that goes on as another does."""
+    steps, narrow = [], word_index.FmIndex.narrow
+
+    def counted(*given):
+        steps.append(1)
+        return narrow(*given)
+
+    monkeypatch.setattr(word_index.FmIndex, "narrow", counted)
+    shared = [f"m{k}" for k in range(12)]
+    own = [[f"{side}{t}x{k}" for k in range(23)] for t in range(20) for side in "ab"]
+    words = [own[2 * t] + shared + own[2 * t + 1] for t in range(20)]
+    words.append([*own[0][5:], *shared, *own[1][:9], "z"])
+    got = word_index.shared_windows([" ".join(w).encode() for w in words], [0] * 21, [False] * 21, 35)
+    assert np.flatnonzero(got[0]).tolist() == [5, 6, 7, 8, 9]
+    assert np.flatnonzero(got[20]).tolist() == [0, 1, 2, 3, 4]
+    assert not any(hit.any() for hit in got[1:20])
+    # 273 when each window that does not repeat was searched by itself
+    assert len(steps) < 200
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_suffix_columns_against_loops(seed):
     """Texts that share a mark at one place, as the stretches of a shard do."""
