@@ -1,13 +1,17 @@
 """The streams give what the batch operators give, in any number of batches."""
 
 import datetime as dt
+from pathlib import Path
 
 import pytest
 from frames import rows, table
 
 from slotwise.operators.audit import audit_new, with_audit_ids
 from slotwise.operators.flagging import backfill_breaches, daily_counters, flag_breaches
+from slotwise.plans import registry
 from slotwise.sources.layout import read_audit, read_flights, write_flights
+from slotwise.sources.schemas import FLIGHTS
+from slotwise.sources.scratch import scratch_root
 from slotwise.streaming import jobs
 
 NOW = dt.datetime(2023, 7, 1, 8)
@@ -169,3 +173,29 @@ def test_breaches_beside_rows_without_a_date(spark, undated, tmp_path, files):
     assert sorted(found) == [(dt.date(2023, 1, 1), 2), (dt.date(2023, 1, 2), 3)]
     undated_flights = jobs.read_counters(spark, f"{out}/counters").filter("flight_date IS NULL")
     assert rows(undated_flights, "total_flights") == [(3,)]
+
+
+def test_a_feed_is_delivered_as_it_is_read(spark, stored, tmp_path):
+    """Neither dealt out nor sorted: a file for each task that reads, whatever months it holds."""
+    facts = read_flights(spark, stored)
+    sent = facts.rdd.getNumPartitions()
+    for times in (1, 2):
+        registry._deliver(facts, f"{tmp_path}/feed")
+        assert len(list(tmp_path.glob("feed/**/*.parquet"))) == times * sent
+    got = rows(stream_once(spark, f"{tmp_path}/feed", tmp_path))
+    assert sorted(got, key=repr) == sorted(rows(facts, *FLIGHTS.names) * 2, key=repr)
+
+
+def stream_once(spark, feed, tmp_path):
+    jobs.validate_stream(stream(spark, feed, 1), f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    return jobs.read_validated(spark, f"{tmp_path}/out").select(*FLIGHTS.names)
+
+
+@pytest.mark.parametrize("name", ["stream_windowed_counts", "stream_audit_once"])
+def test_batches_of_a_feed_do_not_go_by_months(spark, name):
+    """A year of a few rows is a few files, not one and more for each month."""
+    root = Path(scratch_root(spark))
+    before = set(root.glob("stream-*"))
+    registry.all_queries()[name](spark, "/root/testdata/sf0.001").collect()
+    (made,) = set(root.glob("stream-*")) - before
+    assert 2 <= len(list(made.glob("out/batch_id=*"))) <= 4
