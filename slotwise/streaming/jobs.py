@@ -8,7 +8,8 @@ What is read back does not depend on how the input was cut into batches or in wh
 """
 
 import datetime as dt
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -34,7 +35,7 @@ from slotwise.functions.filters import (
     moment,
     month_number,
 )
-from slotwise.operators.audit import audit_new, breach_alerts, with_audit_ids
+from slotwise.operators.audit import INSERT_IMAGE, audit_new, breach_alerts, with_audit_ids
 from slotwise.operators.flagging import (
     daily_counters,
     keyed_breaches,
@@ -60,6 +61,18 @@ DELIVERED = "_delivered"
 #: The id of a row that only says how far a feed has come; ids of breaches are positive.
 HEARTBEAT = -1
 
+#: Names the state store of a session.
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKS = "spark.sql.streaming.stateStore.rocksdb"
+#: State on the executors' disks, of bounded memory; a batch checkpoints what it changed.
+STATE_ON_DISK = {
+    STATE_STORE: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_ROCKS}.changelogCheckpointing.enabled": "true",
+    f"{_ROCKS}.trackTotalNumberOfRows": "false",
+    f"{_ROCKS}.boundedMemoryUsage": "true",
+    f"{_ROCKS}.maxMemoryUsageMB": "2000",
+}
+
 COUNTERS = StructType(
     [
         FLIGHTS["route_id"],
@@ -155,6 +168,23 @@ def _each_batch(
     )
 
 
+@contextmanager
+def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+    """For queries started inside, unless the session names a state store; a query keeps what it was started with."""
+    own = {} if spark.conf.get(STATE_STORE, None) else STATE_ON_DISK
+    before = {name: spark.conf.get(name, None) for name in own}
+    for name, value in own.items():
+        spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
 def validate_stream(
     stream: DataFrame, path: str, checkpoint: str, limits: Limits = DEFAULT_LIMITS
 ) -> StreamingQuery:
@@ -208,19 +238,24 @@ def audit_once_stream(
 ) -> StreamingQuery:
     """Insert events of arriving facts, each once, however often a feed delivers it ``within`` that time.
 
-    An event is known by the id of what it says. State holds the ids of the last ``within`` of
-    deliveries and drops older ones, so no stored event is read back; facts of any date, or of none, are
+    An event is known by what it says, as two hashes of 64 bits; the image and the id of an event are made once it is known to
+    be new. State holds the hashes of the last ``within`` of deliveries, on the executors' disks unless the session names
+    a state store, and drops older ones, so no stored event is read back; facts of any date, or of none, are
     treated alike. Something delivered again later than that is audited again. ``stream`` comes from
-    :func:`delivered_flights`.
+    :func:`delivered_flights`. A checkpoint of the form that kept ids in state cannot be gone on with.
     """
-    audited = with_audit_ids(audit_new(stream, kept=(DELIVERED,), **stamp), extra=(DELIVERED,))
-    once = audited.withWatermark(DELIVERED, within).dropDuplicatesWithinWatermark(["audit_id"])
+    said = ["flight_id", *INSERT_IMAGE.values()]
+    # a hash passes over nulls, so it is told which there are
+    missing = sum((F.col(name).isNull().cast("int") * 2**n for n, name in enumerate(said)), F.lit(0))
+    hashes = {"_first": F.xxhash64(missing, *said), "_second": F.xxhash64(F.lit(1), missing, *said)}
+    given = stream.select(*said, DELIVERED).withColumns(hashes).withWatermark(DELIVERED, within)
+    once = with_audit_ids(audit_new(given.dropDuplicatesWithinWatermark(list(hashes)), **stamp))
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = batch.drop(DELIVERED)
-        rows.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+        batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-    return _each_batch(once, write, path, checkpoint)
+    with _state_on_disk(stream.sparkSession):
+        return _each_batch(once, write, path, checkpoint)
 
 
 def read_audited_once(spark: SparkSession, path: str) -> DataFrame:

@@ -199,3 +199,16 @@ def test_batches_of_a_feed_do_not_go_by_months(spark, name):
     registry.all_queries()[name](spark, "/root/testdata/sf0.001").collect()
     (made,) = set(root.glob("stream-*")) - before
     assert 2 <= len(list(made.glob("out/batch_id=*"))) <= 4
+
+
+def test_ids_of_events_are_held_on_disk(spark, tmp_path):
+    """What is known is held outside the executors' memory; nulls in other places are another event."""
+    said = [{}, {}, {"dep_delay_mins": None, "arr_delay_mins": 5}, {"dep_delay_mins": 5, "arr_delay_mins": None}]
+    write_flights(table(spark, "flights", [{"flight_id": 1} | some for some in said]), f"{tmp_path}/feed")
+    feed = jobs.delivered_flights(spark, f"{tmp_path}/feed")
+    query = jobs.audit_once_stream(feed, f"{tmp_path}/out", f"{tmp_path}/c")
+    query.awaitTermination()
+    assert jobs.read_audited_once(spark, f"{tmp_path}/out").count() == 3
+    (state,) = query.lastProgress["stateOperators"]
+    assert any(name.startswith("rocksdb") for name in state["customMetrics"])
+    assert spark.conf.get(jobs.STATE_STORE, None) is None
