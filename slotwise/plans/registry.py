@@ -37,7 +37,7 @@ from slotwise.sources.keyed import KeyIndex, find_facts
 from slotwise.sources.layout import read_audit, read_flights, write_flights
 from slotwise.sources.ontime_csv import COLUMNS, ontime_flights, ontime_routes, read_ontime
 from slotwise.sources.schemas import FLIGHTS, QUARANTINE_STORED, SLA_BREACH_LOG, TABLES
-from slotwise.sources.scratch import scratch_path, settle
+from slotwise.sources.scratch import SPARING, scratch_path, settings, settle
 from slotwise.sources.star import AS_OF, WEEKLY, Star, open_star
 from slotwise.streaming import jobs
 
@@ -893,7 +893,8 @@ def _run(started) -> None:
 
 def _deliver(facts: DataFrame, path: str) -> None:
     """Facts as the next files of a feed, which has no layout: they are neither dealt out nor sorted."""
-    facts.write.mode("append").parquet(path)
+    with settings(facts.sparkSession, SPARING):
+        facts.write.mode("append").parquet(path)
 
 
 def _fact_stream(s: Star) -> DataFrame:

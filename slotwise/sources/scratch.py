@@ -3,13 +3,20 @@
 import tempfile
 import threading
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Mapping
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
 
+#: What keeps a job's disk small: shuffle files go when their query has ended, not when the driver collects its
+#: garbage, and tables are stored in the smaller code.
+SPARING = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.parquet.compression.codec": "zstd",
+}
+
 
 class _Scopes(threading.local):
     """Per thread: the tables settled in each open scope, as (frame, path)."""
@@ -67,6 +74,26 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextmanager
+def settings(spark: SparkSession, values: Mapping[str, str]) -> Iterator[None]:
+    """Settings for what is run inside, but for those that the session names itself."""
+    own = [name for name in values if spark.conf.get(name, None) is None]
+    for name in own:
+        spark.conf.set(name, values[name])
+    try:
+        yield
+    finally:
+        for name in own:
+            spark.conf.unset(name)
+
+
+@contextmanager
+def sparing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """:func:`discard` under the settings of :data:`SPARING`."""
+    with settings(spark, SPARING), discard(spark) as keep:
+        yield keep
+
+
 @contextmanager
 def discard(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables settled inside are deleted at the end, but for those given to what this yields.

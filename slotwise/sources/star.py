@@ -18,7 +18,7 @@ from slotwise.operators.flagging import backfill_breaches, number_breaches
 from slotwise.sources import retail
 from slotwise.sources.layout import read_flights, write_flights
 from slotwise.sources.schemas import SLA_BREACH_LOG, SLA_RULES, TABLES
-from slotwise.sources.scratch import scratch_path
+from slotwise.sources.scratch import scratch_path, settle, sparing
 
 AS_OF = dt.date(2023, 12, 31)
 WEEKLY = [dt.date(2023, 7, 2) + dt.timedelta(weeks=week) for week in range(27)]
@@ -129,11 +129,10 @@ def _local_versions(sf_dir: str) -> tuple:
 
 def _build(spark: SparkSession, sf_dir: str) -> Star:
     star = Star(spark, sf_dir, scratch_path(spark, "star"))
-    staged_path = f"{star.root}/staged"
-    retail.movements(spark, sf_dir).write.parquet(staged_path)
-    staged = spark.read.parquet(staged_path)
-    retail.routes(staged).write.parquet(f"{star.root}/routes")
-    write_flights(retail.flights(staged, star.routes), star.flights_path)
+    with sparing(spark):
+        staged = settle(retail.movements(spark, sf_dir), "staged")
+        retail.routes(staged).write.parquet(f"{star.root}/routes")
+        write_flights(retail.flights(staged, star.routes), star.flights_path)
     return star
 
 

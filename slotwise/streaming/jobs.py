@@ -8,8 +8,8 @@ What is read back does not depend on how the input was cut into batches or in wh
 """
 
 import datetime as dt
-from collections.abc import Iterable, Iterator
-from contextlib import contextmanager
+from collections.abc import Iterable
+from contextlib import AbstractContextManager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,7 @@ from slotwise.operators.quality import validate
 from slotwise.plans.jobs import audited_records, insert_events, read_or_empty
 from slotwise.sources.layout import write_audit
 from slotwise.sources.schemas import AUDIT_LOG, AUDIT_STORED, FLIGHTS, FLIGHTS_STORED, RESOLUTIONS, SLA_BREACH_LOG
+from slotwise.sources.scratch import SPARING, settings
 
 #: Files of one micro-batch, unless the caller says otherwise.
 FILES_PER_BATCH = 1000
@@ -72,6 +73,8 @@ STATE_ON_DISK = {
     f"{_ROCKS}.boundedMemoryUsage": "true",
     f"{_ROCKS}.maxMemoryUsageMB": "2000",
 }
+#: Versions of state that a checkpoint keeps: a restart goes on from the last one or the one before.
+FEW_VERSIONS = {"spark.sql.streaming.minBatchesToRetain": "2"}
 
 COUNTERS = StructType(
     [
@@ -168,21 +171,10 @@ def _each_batch(
     )
 
 
-@contextmanager
-def _state_on_disk(spark: SparkSession) -> Iterator[None]:
+def _state_on_disk(spark: SparkSession) -> AbstractContextManager[None]:
     """For queries started inside, unless the session names a state store; a query keeps what it was started with."""
-    own = {} if spark.conf.get(STATE_STORE, None) else STATE_ON_DISK
-    before = {name: spark.conf.get(name, None) for name in own}
-    for name, value in own.items():
-        spark.conf.set(name, value)
-    try:
-        yield
-    finally:
-        for name, value in before.items():
-            if value is None:
-                spark.conf.unset(name)
-            else:
-                spark.conf.set(name, value)
+    store = {} if spark.conf.get(STATE_STORE, None) else STATE_ON_DISK
+    return settings(spark, store | FEW_VERSIONS | SPARING)
 
 
 def validate_stream(
@@ -240,9 +232,9 @@ def audit_once_stream(
 
     An event is known by what it says, as two hashes of 64 bits; the image and the id of an event are made once it is known to
     be new. State holds the hashes of the last ``within`` of deliveries, on the executors' disks unless the session names
-    a state store, and drops older ones, so no stored event is read back; facts of any date, or of none, are
-    treated alike. Something delivered again later than that is audited again. ``stream`` comes from
-    :func:`delivered_flights`. A checkpoint of the form that kept ids in state cannot be gone on with.
+    a state store, and drops older ones, so no stored event is read back; a checkpoint keeps the last versions of it, and a
+    batch leaves no shuffle files. Facts of any date, or of none, are treated alike. Something delivered again later than that
+    is audited again. ``stream`` comes from :func:`delivered_flights`. A checkpoint of the form that kept ids in state cannot be gone on with.
     """
     said = ["flight_id", *INSERT_IMAGE.values()]
     # a hash passes over nulls, so it is told which there are

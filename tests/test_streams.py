@@ -212,3 +212,13 @@ def test_ids_of_events_are_held_on_disk(spark, tmp_path):
     (state,) = query.lastProgress["stateOperators"]
     assert any(name.startswith("rocksdb") for name in state["customMetrics"])
     assert spark.conf.get(jobs.STATE_STORE, None) is None
+
+
+def test_a_checkpoint_keeps_few_versions(spark, tmp_path):
+    for n in range(6):
+        one = table(spark, "flights", [{"flight_id": n, "flight_date": dt.date(2023, 6, 5)}])
+        one.coalesce(1).write.mode("append").parquet(f"{tmp_path}/feed")
+    feed = jobs.delivered_flights(spark, f"{tmp_path}/feed", 1)
+    jobs.audit_once_stream(feed, f"{tmp_path}/out", f"{tmp_path}/c").awaitTermination()
+    assert jobs.read_audited_once(spark, f"{tmp_path}/out").count() == 6
+    assert len(list(Path(tmp_path, "c", "offsets").glob("[0-9]*"))) <= 4
