@@ -7,7 +7,7 @@ import pytest
 from frames import rows, table
 
 from slotwise.operators import keysets
-from slotwise.plans.jobs import ingest_flights
+from slotwise.plans.jobs import ingest_flights, update_flights
 from slotwise.sources.layout import read_flights, write_flights
 from slotwise.sources.scratch import SPARING, scratch_root, settings
 
@@ -26,6 +26,10 @@ def test_jobs_leave_no_tables_of_their_own(spark, tmp_path):
     for _ in range(2):
         ingest_flights(f, *paths, changed_by="loader", changed_at=NOW)
     assert left_behind(spark) == before
+    changes = table(spark, "flights", [{"flight_date": JUNE, "arr_delay_mins": 9}, {"flight_id": 8}])
+    unknown = update_flights(changes, paths[0], paths[2], changed_by="loader", changed_at=NOW)
+    (kept,) = left_behind(spark) - before
+    assert "/unknown-" in kept and rows(unknown, "flight_id") == [(8,)]
     assert all(spark.conf.get(name, None) is None for name in SPARING)
 
 
